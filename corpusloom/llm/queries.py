@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from . import line_dedup
+from .line_dedup import op1_line_dedup
 from .packing import op2_packing
 from .rans import op9_rans
+from .sharding import op10_sharding
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op9_rans": op9_rans,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.SQL,
+}
