@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, warc
+from .chat import op5_chat
+from .fingerprint import op3_fingerprint
+from .langid import op4_langid
 from .line_dedup import op1_line_dedup
 from .packing import op2_packing
 from .rans import op9_rans
 from .sharding import op10_sharding
+from .warc import op7_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op3_fingerprint": op3_fingerprint,
+    "op4_langid": op4_langid,
+    "op5_chat": op5_chat,
+    "op7_warc": op7_warc,
     "op9_rans": op9_rans,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
+    "op7_warc": warc.SQL,
 }
