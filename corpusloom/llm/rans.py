@@ -24,9 +24,9 @@ from .packing import tokenise
 from .tokens import default_path
 
 PRECISION = 20
-LANES = 256
-BLOCK_TOKENS = 131_072
-CHECKPOINT_STEPS = 256
+LANES = 1024
+BLOCK_TOKENS = 262_144
+CHECKPOINT_STEPS = 128
 MAGIC = b"LRN1"
 _HEAD = struct.Struct("<4s7I")
 _LOW = np.uint64(1 << 31)
@@ -141,10 +141,9 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for raw, n in zip(b.column("ids").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
-                total += np.bincount(np.frombuffer(raw, f"<u{len(raw) // n}"), minlength=vocabulary) if n > 4096 else 0
-                if n <= 4096:
-                    np.add.at(total, np.frombuffer(raw, f"<u{len(raw) // n}"), 1)
+            raw, n = b"".join(b.column("ids").to_pylist()), sum(b.column("n_tokens").to_pylist())
+            if n:
+                total += np.bincount(np.frombuffer(raw, f"<u{len(raw) // n}"), minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
