@@ -37,8 +37,12 @@ def pieces(text: Column) -> Column:
     return F.array_distinct(F.transform(F.flatten(cut), lambda x: F.hash(x)))
 
 
-def sections(text: Column) -> Column:
-    leaves = F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256))
+def paragraphs(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256))
+
+
+def sections(leaves: Column) -> Column:
+    """leaves: a column of the frame, not an expression, which would be computed anew for each section."""
     starts = F.sequence(F.lit(0), (F.size(leaves) - 1) - (F.size(leaves) - 1) % SECTION, F.lit(SECTION))
     return F.transform(starts, lambda i: F.sha2(F.array_join(F.slice(leaves, i + 1, SECTION), ""), 256))
 
@@ -89,7 +93,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
     d = d.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("_next.text"), F.lit(1), k)))
-    d = d.select("doc_id", "n_chars", "_pieces", F.col("_next._pieces").alias("_next_pieces"), sections(F.col("text")).alias("_sections"), F.sha2("_edited", 256).alias("edited_sha256"), sections(F.col("_edited")).alias("_edited_sections"), pieces(F.col("_edited")).alias("_edited_pieces"))
+    d = d.select("doc_id", "n_chars", "_pieces", F.col("_next._pieces").alias("_next_pieces"), paragraphs(F.col("text")).alias("_leaves"), F.sha2("_edited", 256).alias("edited_sha256"), paragraphs(F.col("_edited")).alias("_edited_leaves"), pieces(F.col("_edited")).alias("_edited_pieces"))
+    d = d.withColumn("_sections", sections(F.col("_leaves"))).withColumn("_edited_sections", sections(F.col("_edited_leaves")))
     return d.select(
         "doc_id", "n_chars", "edited_sha256",
         written(root(F.col("_sections")), F.col("_sections"), F.col("_pieces")).alias("fingerprint"),
