@@ -57,6 +57,13 @@ def windows(toks: str, temp: str) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(temp, i + 1, WINDOW)).alias("h")))
 
 
+def exploded(d: DataFrame, hits: Column) -> DataFrame:
+    """Rows of d for each of `hits`. The partition number, which no optimiser rule may move or copy,
+    keeps the filter for empty arrays above the windows; below them they would be computed anew for every window."""
+    d = d.withColumns({"hits": hits, "_at": F.spark_partition_id()}).filter((F.size("hits") > 0) & (F.col("_at") >= 0))
+    return d.withColumn("w", F.explode("hits")).drop("hits", "_at")
+
+
 def wordy(raw: Column) -> Column:
     return F.size(F.filter(raw, lambda x: ~x.startswith(OPEN))) >= MIN_WORDS
 
@@ -72,7 +79,7 @@ def bit_set(hashes: list[int]) -> tuple[str, int]:
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("toks")).withColumn("temp", template(F.col("toks")))
-    w = items.select("item_id", "toks", F.explode(windows("toks", "temp")).alias("w"))
+    w = exploded(items, windows("toks", "temp"))
     w = w.select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.h").alias("h"), F.slice("toks", F.col("w.pos") + 1, WINDOW).alias("item_raw")).filter(wordy(F.col("item_raw")))
     return w.dropDuplicates(["item_id", "item_pos", "h"])
 
@@ -83,7 +90,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, small: int = SMALL_BENCHMARK)
     sample = [r["h"] for r in own.select("h").limit(small + 1).collect()]
     few = len(sample) <= small
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text").cast("string")).alias("toks")).withColumn("temp", template(F.col("toks")))
-    d = d.withColumn("hits", windows("toks", "temp"))
+    hits = windows("toks", "temp")
     if few:
         words, bits = bit_set(sample)
         stored = F.lit(np.array(words, np.int64))
@@ -93,8 +100,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, small: int = SMALL_BENCHMARK)
             word = F.element_at(stored, (F.floor(low / 64) + 1).cast("int"))
             return F.expr("1L") == F.call_function("shiftright", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
 
-        d = d.withColumn("hits", F.filter("hits", met)).filter(F.size("hits") > 0)
-    hit = d.select("doc_id", "toks", F.explode("hits").alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.slice("toks", F.col("w.pos") + 1, WINDOW).alias("raw"))
+        hits = F.filter(hits, met)
+    hit = exploded(d, hits).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.slice("toks", F.col("w.pos") + 1, WINDOW).alias("raw"))
     pairs = hit.join(F.broadcast(own) if few else own, "h")
     both = F.filter(F.arrays_zip("raw", "item_raw"), lambda p: p["raw"].startswith(OPEN))
     pairs = pairs.filter(template(F.col("raw")) == template(F.col("item_raw"))).select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "pos", both.alias("slots"))

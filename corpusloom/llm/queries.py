@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from . import line_dedup, warc
 from .chat import op5_chat
+from .decontam import op6_decontam
 from .fingerprint import op3_fingerprint
+from .jaccard import op8_jaccard
 from .langid import op4_langid
 from .line_dedup import op1_line_dedup
 from .packing import op2_packing
@@ -18,7 +20,9 @@ QUERIES = {
     "op3_fingerprint": op3_fingerprint,
     "op4_langid": op4_langid,
     "op5_chat": op5_chat,
+    "op6_decontam": op6_decontam,
     "op7_warc": op7_warc,
+    "op8_jaccard": op8_jaccard,
     "op9_rans": op9_rans,
     "op10_sharding": op10_sharding,
 }
