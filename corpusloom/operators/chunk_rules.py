@@ -1,0 +1,128 @@
+"""Greedy chunk rules for one text. Each step depends on the one before, so they run as small helpers inside Spark tasks."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from math import sqrt
+
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z\"])|(?<=\n)\s*\n")
+_SEPARATORS = ("\n\n", "\n", " ")
+
+
+def tokens(s: str) -> int:
+    return max(1, round(len(s.split()) * 1.3)) if s else 0
+
+
+def sentences(text: str) -> list[str]:
+    return [s for s in (x.strip() for x in _SENTENCE.split(text)) if s]
+
+
+def windows(text: str, size: int) -> list[str]:
+    w, n = text.split(), int(size / 1.3)
+    return [" ".join(w[i : i + n]) for i in range(0, len(w), n)]
+
+
+def tail(units: list[str], overlap: int) -> list[str]:
+    """The longest run of whole units at the end with at most `overlap` tokens."""
+    keep, total = len(units), 0
+    while keep and total + tokens(units[keep - 1]) <= overlap:
+        keep -= 1
+        total += tokens(units[keep])
+    return units[keep:]
+
+
+def by_sentence(text: str, size: int, overlap: int) -> list[str]:
+    out: list[str] = []
+    held: list[str] = []
+    fresh = False
+    for s in sentences(text):
+        if tokens(s) > size:
+            if fresh:
+                out.append(" ".join(held))
+            *full, last = windows(s, size)
+            out += full
+            held, fresh = [last], True
+            continue
+        if held and sum(map(tokens, held)) + tokens(s) > size:
+            if fresh:
+                out.append(" ".join(held))
+            held = tail(held, overlap)
+        held.append(s)
+        fresh = True
+    return [*out, " ".join(held)] if held and fresh else out
+
+
+def recursive(text: str, size: int, overlap: int, level: int = 0) -> list[str]:
+    if tokens(text) <= size:
+        return [text] if text.strip() else []
+    if level == len(_SEPARATORS):
+        return [text[i : i + 4 * size] for i in range(0, len(text), 4 * size)]
+    sep = _SEPARATORS[level]
+    out: list[str] = []
+    held: list[str] = []
+    total, fresh = 0, False
+    for piece in text.split(sep):
+        n = tokens(piece)
+        if not n:
+            continue
+        if n > size:
+            if fresh:
+                out.append(sep.join(held))
+            out += recursive(piece, size, overlap, level + 1)
+            held, total, fresh = [], 0, False
+            continue
+        if held and total + n > size:
+            if fresh:
+                out.append(sep.join(held))
+            held = tail(held, overlap)
+            total = sum(map(tokens, held))
+        held.append(piece)
+        total, fresh = total + n, True
+    return [*out, sep.join(held)] if fresh else out
+
+
+def cosine(a: Counter, b: Counter) -> float:
+    if not a or not b:
+        return 0.0
+    dot = sum(n * b[t] for t, n in a.items())
+    return dot / sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+
+
+def similarities(parts: list[str], buffer: int = 1) -> list[float]:
+    bags = [Counter(re.findall(r"[a-z0-9]+", s.lower())) for s in parts]
+    join = lambda xs: sum(xs, Counter())
+    return [cosine(join(bags[max(0, i - buffer) : i]), join(bags[i : i + buffer])) for i in range(1, len(bags))]
+
+
+def threshold(sims: list[float], percentile: int = 95) -> float:
+    return sorted(sims)[max(0, int(len(sims) * (100 - percentile) / 100) - 1)] if sims else 0.3
+
+
+def semantic(text: str, size: int, overlap: int, percentile: int = 95) -> list[str]:
+    parts = sentences(text)
+    sims = similarities(parts)
+    cut = threshold(sims, percentile)
+    out: list[str] = []
+    held: list[str] = []
+    for i, s in enumerate(parts):
+        if held and (sims[i - 1] < cut or sum(map(tokens, held)) + tokens(s) > size):
+            out.append(" ".join(held))
+            held = tail(held, overlap)
+        held.append(s)
+    return [*out, " ".join(held)] if held else out
+
+
+def hierarchy(text: str, sizes: tuple[int, int, int] = (2048, 512, 128)) -> list[tuple[str, str | None, str, str]]:
+    """(key, parent key, kind, text) of parents, children and grandchildren."""
+    out: list[tuple[str, str | None, str, str]] = []
+    c = g = 0
+    for p, parent in enumerate(recursive(text, sizes[0], 0)):
+        out.append((f"P{p}", None, "parent", parent))
+        for child in recursive(parent, sizes[1], 0):
+            out.append((f"C{c}", f"P{p}", "child", child))
+            for grand in recursive(child, sizes[2], 0):
+                out.append((f"G{g}", f"C{c}", "grandchild", grand))
+                g += 1
+            c += 1
+    return out
