@@ -10,9 +10,10 @@ Sets of distinct 5-word shingles that share at least 75 % are linked; components
    tokens within prefixes of n - ceil(t n) + l and m - ceil(t m) + l tokens. Each set lengthens its prefix (larger l) while
    the estimated cost of its candidates falls: more tokens are posted, but a candidate must share l of them before it is verified.
    A pair needs the smaller l of its two. Single tokens are never posted.
-3. Tokens' buckets are first compared with one leader each (linear in the bucket), links are
-   contracted to components, and only pairs whose components still differ are compared after that, so a
-   group of thousands of near copies makes no pairs within. Every bucket pair ends up verified or in one component.
+3. Buckets of few records make pairs. A larger bucket's records are compared with one leader (linear in the bucket), and
+   links are contracted to components. What large buckets then still have in different components is compared
+   in blocks of records, as one matrix product inside a task that gives only the links that join components, so a
+   group of thousands of near copies makes no rows for its pairs. Every pair of a bucket ends up verified or in one component.
 
 Equal sets are one record from the start. Words: [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased. Fewer than five words: the
 whole sequence is the one shingle. No words, empty or null text: empty set, linked with nothing.
@@ -37,7 +38,9 @@ FILTER_BITS = 1 << 27
 FREQUENT = 1 << 18
 FREQUENT_FROM = 16
 MAX_MATCH = 8
-STAR_ROUNDS = 6
+#: Buckets up to this size make pairs; records in a block, about.
+SMALL_BUCKET = 16
+BLOCK = 128
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -217,7 +220,7 @@ def stars(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
@@ -228,44 +231,97 @@ def stars(edges: DataFrame) -> DataFrame:
     return e
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of records that share enough prefix tokens, then enough tokens."""
-    side = lambda x: sets.select(F.col("rid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "match", "prefix", "tokens")])
+def matched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share as many prefix tokens as the smaller match of the two asks for."""
+    side = lambda x: sets.select(F.col("rid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("match", "prefix")])
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.filter(F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("match_a", "match_b")).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose whole sets are similar enough, as links (u, v)."""
+    side = lambda x: sets.select(F.col("rid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "tokens")])
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    close = (F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("match_a", "match_b")) & (shared * 100 >= PERCENT * (F.col("n_a") + F.col("n_b") - shared))
-    return both.filter(close).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return both.filter(shared * 100 >= PERCENT * (F.col("n_a") + F.col("n_b") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def block_links(open_large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between components inside clusters of records that large buckets tie together.
+
+    open_large: (rid, n, token, root) of large buckets whose records are in more than one component.
+    Blocks hold records of one component, or of several small ones; two blocks of one component are not compared.
+    """
+    lead = open_large.groupBy("token").agg(F.min("rid").alias("v"))
+    ties = stars(open_large.join(lead, "token").select(F.col("rid").alias("u"), "v"))
+    records = open_large.select("rid", "n", "root").distinct().join(ties.withColumnRenamed("u", "rid"), "rid", "left").select("rid", "n", "root", F.coalesce("v", "rid").alias("cluster"))
+    size = records.groupBy("cluster", "root").agg(F.count("*").alias("c")).withColumn("kind", F.when(F.col("c") >= BLOCK // 2, F.col("root")).otherwise(-1))
+    kinds = size.groupBy("cluster", "kind").agg(F.ceil(F.sum("c") / BLOCK).alias("k"))
+    dealt = records.join(size.join(kinds, ["cluster", "kind"]).select("cluster", "root", "kind", "k"), ["cluster", "root"])
+    dealt = dealt.select("rid", "n", "root", "cluster", "kind", F.xxhash64("cluster", "kind", F.pmod(F.xxhash64("rid"), "k")).alias("block"))
+    dealt = materialise(dealt, "jaccard-blocks")
+    ends = dealt.groupBy("cluster", "kind", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    other = ends.select("cluster", F.col("kind").alias("kind2"), F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = ends.join(other, "cluster").filter((F.col("block") <= F.col("block2")) & ((F.col("kind") == -1) | (F.col("kind") != F.col("kind2"))) & (F.col("hi") * 100 >= PERCENT * F.col("lo2")) & (F.col("hi2") * 100 >= PERCENT * F.col("lo"))).select("block", "block2")
+    held = sets.join(dealt.select("rid", "root", "block"), "rid").groupBy("block").agg(F.collect_list(F.struct("rid", "root", "tokens")).alias("held"))
+    both = pairs.join(held.select(F.col("block").alias("block2"), F.col("held").alias("held2")), "block2").join(held, "block").select("held", "held2")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def read(cell):
+            t = cell.values.field("tokens")
+            return cell.values.field("rid").to_pylist(), cell.values.field("root").to_pylist(), t.flatten().to_numpy(), np.diff(t.offsets.to_numpy())
+
+        for b in batches:
+            for i in range(b.num_rows):
+                (ra, ca, ta, na), (rb, cb, tb, nb) = read(b.column("held")[i]), read(b.column("held2")[i])
+                vocabulary, at = np.unique(np.concatenate([ta, tb]), return_inverse=True)
+                shared = np.zeros((len(na), len(nb)), np.float32)
+                rows_a, rows_b = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+                for lo in range(0, len(vocabulary), 8192):  # slices of the vocabulary keep the matrices small
+                    x, y = np.zeros((len(na), 8192), np.float32), np.zeros((len(nb), 8192), np.float32)
+                    for m, rows, cols in ((x, rows_a, at[: len(ta)]), (y, rows_b, at[len(ta) :])):
+                        own = (cols >= lo) & (cols < lo + 8192)
+                        m[rows[own], cols[own] - lo] = 1
+                    shared += x @ y.T
+                union = na[:, None] + nb[None, :] - shared
+                parent: dict[int, int] = {}
+
+                def find(r):
+                    while parent.get(r, r) != r:  # noqa: B023
+                        r = parent[r]  # noqa: B023
+                    return r
+
+                u, v = [], []
+                for j, k in zip(*np.nonzero(shared * 100 >= PERCENT * union), strict=True):
+                    p, q = find(ca[j]), find(cb[k])
+                    if p != q:
+                        parent[p] = q
+                        u.append(ra[j]), v.append(rb[k])
+                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return both.mapInArrow(run, "u long, v long")
 
 
 def link_components(sets: DataFrame) -> DataFrame:
     """sets (rid, n, match, prefix, tokens), one row for each record: components as rows (u, v), see `stars`."""
-    spark = sets.sparkSession
     posted = materialise(sets.select("rid", "n", F.explode("prefix").alias("token")), "jaccard-postings")
     fits = lambda a, b: F.least(a, b) * 100 >= PERCENT * F.greatest(a, b)
-    roots = spark.createDataFrame([], "u long, v long")
-    tried = spark.createDataFrame([], "a long, b long")
-    open_postings = posted.withColumn("root", F.col("rid"))
-    for turn in range(STAR_ROUNDS + 1):
-        buckets = open_postings.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid", "n", "root")).alias("lead")).filter("lo < hi")
-        buckets = materialise(buckets, "jaccard-buckets")
-        load = buckets.agg(F.count("*").alias("k"), F.sum(F.col("size") * (F.col("size") - 1) / 2).alias("p"), F.sum("size").alias("s")).first()
-        if not load["k"]:
-            break
-        last = turn == STAR_ROUNDS or load["p"] <= 8 * load["s"]
-        mine = open_postings.join(buckets.select("token", "lead"), "token")
-        if last:
-            other = mine.select("token", F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            pairs = mine.join(other, "token").filter((F.col("rid") < F.col("rid2")) & (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2"))).select(F.col("rid").alias("a"), F.col("rid2").alias("b"))
-        else:
-            pairs = mine.filter((F.col("rid") != F.col("lead.rid")) & (F.col("root") != F.col("lead.root")) & fits(F.col("n"), F.col("lead.n"))).select(F.least("rid", "lead.rid").alias("a"), F.greatest("rid", "lead.rid").alias("b"))
-        pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        roots = stars(roots.unionByName(verify(pairs, sets)))
-        if last:
-            break
-        tried = tried.unionByName(pairs)
-        labelled = posted.join(roots.select(F.col("u").alias("rid"), F.col("v").alias("root")), "rid", "left")
-        open_postings = materialise(labelled.select("rid", "n", "token", F.coalesce("root", "rid").alias("root")).join(buckets.select("token"), "token", "left_semi"), "jaccard-open")
-    return roots
+    buckets = materialise(posted.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("rid", "n")).alias("lead")).filter("size > 1"), "jaccard-buckets")
+    mine = posted.join(buckets.filter(F.col("size") <= SMALL_BUCKET).select("token"), "token")
+    other = mine.select("token", F.col("rid").alias("b"), F.col("n").alias("n2"))
+    few = mine.join(other, "token").filter((F.col("rid") < F.col("b")) & fits(F.col("n"), F.col("n2"))).select(F.col("rid").alias("a"), "b")
+    large = posted.join(buckets.filter(F.col("size") > SMALL_BUCKET).select("token", "lead"), "token")
+    led = large.filter((F.col("rid") != F.col("lead.rid")) & fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.rid").alias("a"), F.col("rid").alias("b"))
+    pairs = materialise(matched(few.unionByName(led).distinct(), sets), "jaccard-pairs")
+    links = materialise(verified(pairs, sets), "jaccard-links")
+    roots = stars(links)
+    rooted = large.select("rid", "n", "token").join(roots.select(F.col("u").alias("rid"), F.col("v").alias("root")), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    unsettled = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    open_large = materialise(rooted.join(unsettled, "token", "left_semi"), "jaccard-open")
+    more = materialise(block_links(open_large, sets), "jaccard-block-links")
+    return stars(roots.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, filter_bits: int = FILTER_BITS, frequent: int = FREQUENT) -> DataFrame:
