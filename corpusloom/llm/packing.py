@@ -32,6 +32,9 @@ WINDOW_TOKENS = 64 * SEQUENCE_TOKENS
 #: Sources beyond so many share queues by their hash, which bounds the schedule that tasks get.
 MAX_QUEUES = 1000
 
+#: Rows (one for each partition and queue, 16 bytes) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BASES = 500_000
+
 TOKENS = "doc_id long, queue int, part int, local_start long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
 
@@ -121,7 +124,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, weights: dict[str, float]
         share = [float(weights.get(named.get(q) or "", 0.0)) for q in range(len(sizes))]
     plan = Schedule(sizes, share, window_tokens)
     bases = running_total(parts, "part", ["n"], ["queue"]).withColumnRenamed("n_before", "base")
-    placed = tokens.join(bases, ["part", "queue"])
+    few = parts.limit(BROADCAST_BASES + 1).count() <= BROADCAST_BASES
+    placed = tokens.join(F.broadcast(bases) if few else bases, ["part", "queue"])
 
     def cut(batches):
         import pyarrow as pa
