@@ -22,14 +22,20 @@ def term_stats(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, tf, weight. Needs two shuffles: by document and term for counts, by term for their documents."""
-    tf = term_frequency(docs)
-    dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    n = docs.agg(F.count("*").alias("n"))
-    col = dl.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).crossJoin(n).select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row
+def postings(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """term, doc_id, tf, weight; of the terms in `asked` (term, ...) only, if given.
+
+    A document's length travels with its terms, so lengths need no join; what nobody asks for is dropped
+    before the first shuffle, while counts and lengths stay those of the whole collection.
+    """
+    d = docs.select("doc_id", X.bag(F.col("text")).alias("bag"))
+    t = d.select("doc_id", F.size("bag").alias("dl"), F.explode("bag").alias("term"))
+    if asked is not None:
+        t = t.join(asked.select("term").distinct(), "term", "left_semi")
+    tf = t.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    col = d.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.size("bag")), F.lit(0)) / F.count("*")).alias("avgdl"))  # one row
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    x = tf.join(df, "term").join(dl, "doc_id").join(F.broadcast(col))
+    x = tf.join(df, "term").join(F.broadcast(col))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return x.select("term", "doc_id", "tf", F.round(weight, 6).alias("weight"))

@@ -20,9 +20,15 @@ def asked(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def found(spark, d):
+    """query_id, doc_id, score of all matches."""
+    q = asked(spark, d)
+    return bm25.scores(q, bm25.postings(docs(spark, d), bm25.terms(q, "query_id")))
+
+
 def hits(spark, d, k=50):
     """query_id, id, score, rank of the best k documents."""
-    return bm25.top(bm25.scores(asked(spark, d), bm25.postings(docs(spark, d))), k).withColumnRenamed("doc_id", "id")
+    return bm25.top(found(spark, d), k).withColumnRenamed("doc_id", "id")
 
 
 _TOP = f"WITH {S.BM25}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)"
@@ -60,7 +66,7 @@ def sparse_topk_terms(spark, d):
 
 @query(f"WITH {S.BM25} SELECT * FROM scores")
 def bm25_scores(spark, d):
-    return bm25.scores(asked(spark, d), bm25.postings(docs(spark, d)))
+    return found(spark, d)
 
 
 @query(f"{_TOP} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
@@ -72,14 +78,13 @@ def bm25_topk(spark, d):
 def bm25_allowlist(spark, d):
     """Statistics stay those of the whole collection."""
     allowed = table(spark, d, "labels").filter("quality = 1").select("doc_id")
-    return bm25.top(bm25.scores(asked(spark, d), bm25.postings(docs(spark, d))).join(allowed, "doc_id", "left_semi"), 10)
+    return bm25.top(found(spark, d).join(allowed, "doc_id", "left_semi"), 10)
 
 
 @query(f"""WITH {S.BM25}, n AS (SELECT query_id, doc_id, score, CASE WHEN count(*) OVER w < (SELECT count(*) FROM documents) THEN 0 ELSE min(score) OVER w END AS lo, max(score) OVER w AS hi FROM scores WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, doc_id, score, CASE WHEN hi > lo THEN round((score - lo) / (hi - lo), 6) ELSE 0 END AS norm FROM n""")
 def bm25_minmax(spark, d):
-    t = docs(spark, d)
-    return bm25.min_max(bm25.scores(asked(spark, d), bm25.postings(t)), t.count())
+    return bm25.min_max(found(spark, d), docs(spark, d).count())
 
 
 def vector_hits(spark, d, k=50):
