@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, table
+from corpusloom.llm.common import few_or_shuffled, materialise, table
 from corpusloom.llm.decontam import decontaminate
 from corpusloom.llm.jaccard import near_duplicates
 from corpusloom.llm.langid import keep_known, prototypes
@@ -37,6 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = few_or_shuffled(materialise(gone, "near-copies"))
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
 
 

@@ -38,6 +38,15 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd", partition_by: list
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a written list of ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
+
+
+def few_or_shuffled(written: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written frame, marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(written) if written.limit(most + 1).count() <= most else written
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small intermediate (loop state)."""
     scratch(df.sparkSession, "x")

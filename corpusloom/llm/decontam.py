@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few_or_shuffled, materialise, table
 
 WINDOW = 8
 MIN_WORDS = 5
@@ -116,6 +116,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, small: int = SMALL_BENCHMARK)
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones. Rows without a doc_id stay."""
     bad = matches(docs, benchmark).select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().withColumnRenamed("doc_id", "_bad")
+    bad = few_or_shuffled(materialise(bad, "contaminated"))
     return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
 
 
