@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, docs_of, materialise, table
+from .common import checkpointed, docs_of, few_or_shuffled, materialise, table
 from .tokens import slices
 
 WORDS = 5
@@ -39,7 +39,7 @@ FREQUENT = 1 << 18
 FREQUENT_FROM = 16
 MAX_MATCH = 8
 #: Buckets up to this size make pairs; records in a block, about.
-SMALL_BUCKET = 16
+SMALL_BUCKET = 4
 BLOCK = 128
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -232,14 +232,21 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def matched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share as many prefix tokens as the smaller match of the two asks for."""
-    side = lambda x: sets.select(F.col("rid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("match", "prefix")])
+    """Pairs (a, b) that share as many prefix tokens as the smaller match of the two asks for.
+
+    Tokens are compared by 31 of their bits here. Tokens of one prefix that fall together lower its count, so that
+    many are allowed for: a pair may be let through in error, none is kept back.
+    """
+    short = F.transform("prefix", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
+    side = lambda x: sets.select(F.col("rid").alias(x), F.col("match").alias(f"match_{x}"), F.array_distinct(short).alias(f"prefix_{x}"), (F.size("prefix") - F.size(F.array_distinct(short))).alias(f"lost_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.filter(F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("match_a", "match_b")).select("a", "b")
+    return both.filter(F.size(F.array_intersect("prefix_a", "prefix_b")) + F.col("lost_a") + F.col("lost_b") >= F.least("match_a", "match_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar enough, as links (u, v)."""
+    """Pairs (a, b), written, whose whole sets are similar enough, as links (u, v). Only sets that are in a pair are shuffled."""
+    named = few_or_shuffled(materialise(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "jaccard-named"))
+    sets = sets.join(named, "rid", "left_semi")
     side = lambda x: sets.select(F.col("rid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "tokens")])
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
