@@ -338,8 +338,8 @@ def near_duplicates(docs: DataFrame, filter_bits: int = FILTER_BITS, frequent: i
     learned = count_shingles(d, bucket_bits, filter_bits, frequent)
     rows = prefixes(d, bucket_bits, filter_bits, learned)
     groups = materialise(rows.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.when(F.col("prefix").isNotNull(), F.col("rid"))).alias("owner")), "jaccard-records")
-    owners = groups.filter("owner IS NOT NULL").select(F.col("owner").alias("rid"), "fp")
-    sets = rows.filter("prefix IS NOT NULL").join(owners.select("rid"), "rid", "left_semi")
+    owners = few_or_shuffled(materialise(groups.filter("owner IS NOT NULL").select(F.col("owner").alias("rid")), "jaccard-owners"))
+    sets = rows.filter("prefix IS NOT NULL").join(owners, "rid", "left_semi")
     roots = link_components(sets)
     linked = groups.filter("owner IS NOT NULL").join(roots, F.col("owner") == F.col("u")).select("fp", "first", F.col("v").alias("root"))
     centres = groups.join(roots.select(F.col("v").alias("owner")).distinct(), "owner").select("fp", "first", F.col("owner").alias("root"))
