@@ -4,14 +4,35 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 from math import sqrt
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z\"])|(?<=\n)\s*\n")
 _SEPARATORS = ("\n\n", "\n", " ")
+#: Longer texts are walked word by word and piece by piece: a list of all their words would be many times their size.
+_LONG = 1_000_000
+
+
+def words(s: str) -> Iterator[str]:
+    return iter(s.split()) if len(s) <= _LONG else (m[0] for m in re.finditer(r"\S+", s))
+
+
+def pieces(s: str, sep: str) -> Iterator[str]:
+    """What s.split(sep) gives, one after the other."""
+    if len(s) <= _LONG:
+        yield from s.split(sep)
+        return
+    at = 0
+    while (end := s.find(sep, at)) >= 0:
+        yield s[at:end]
+        at = end + len(sep)
+    yield s[at:]
 
 
 def tokens(s: str) -> int:
-    return max(1, round(len(s.split()) * 1.3)) if s else 0
+    n = len(s.split()) if len(s) <= _LONG else sum(1 for _ in words(s))
+    return max(1, round(n * 1.3)) if s else 0
 
 
 def sentences(text: str) -> list[str]:
@@ -19,8 +40,8 @@ def sentences(text: str) -> list[str]:
 
 
 def windows(text: str, size: int) -> list[str]:
-    w, n = text.split(), int(size / 1.3)
-    return [" ".join(w[i : i + n]) for i in range(0, len(w), n)]
+    w, n = words(text), int(size / 1.3)
+    return list(iter(lambda: " ".join(islice(w, n)), ""))
 
 
 def tail(units: list[str], overlap: int) -> list[str]:
@@ -62,7 +83,7 @@ def recursive(text: str, size: int, overlap: int, level: int = 0) -> list[str]:
     out: list[str] = []
     held: list[str] = []
     total, fresh = 0, False
-    for piece in text.split(sep):
+    for piece in pieces(text, sep):
         n = tokens(piece)
         if not n:
             continue
@@ -90,9 +111,16 @@ def cosine(a: Counter, b: Counter) -> float:
 
 
 def similarities(parts: list[str], buffer: int = 1) -> list[float]:
-    bags = [Counter(re.findall(r"[a-z0-9]+", s.lower())) for s in parts]
-    join = lambda xs: sum(xs, Counter())
-    return [cosine(join(bags[max(0, i - buffer) : i]), join(bags[i : i + buffer])) for i in range(1, len(bags))]
+    join = lambda ks: sum((bags[k] for k in ks), Counter())
+    bags: dict[int, Counter] = {}  # of the sentences around the break only
+    out, made = [], 0
+    for i in range(1, len(parts)):
+        for k in range(made, min(len(parts), i + buffer)):
+            bags[k] = Counter(m[0] for m in re.finditer(r"[a-z0-9]+", parts[k].lower()))
+            made = k + 1
+        bags.pop(i - buffer - 1, None)
+        out.append(cosine(join(range(max(0, i - buffer), i)), join(range(i, min(len(parts), i + buffer)))))
+    return out
 
 
 def threshold(sims: list[float], percentile: int = 95) -> float:

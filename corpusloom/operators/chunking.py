@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import chunk_rules
 
-SIZE, OVERLAP, MIN_TOKENS, MAX_CHARS = 512, 50, 50, 2_000_000
+SIZE, OVERLAP, MIN_TOKENS = 512, 50, 50
 TABLE_TOKENS = 600
 
 
@@ -36,7 +36,7 @@ def _ruled(docs: DataFrame, rule: Callable[[str], list[str]], min_tokens: int) -
 
         for b in batches:
             for k, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                kept = [c for c in rule((t or "")[:MAX_CHARS]) if c.strip() and chunk_rules.tokens(c) >= max(min_tokens, 1)]
+                kept = [c for c in rule(t or "") if c.strip() and chunk_rules.tokens(c) >= max(min_tokens, 1)]
                 yield pa.record_batch([pa.array([k] * len(kept), pa.int64()), pa.array(range(len(kept)), pa.int32()), pa.array(kept, pa.string()), pa.array([chunk_rules.tokens(c) for c in kept], pa.int32())], names=["doc_id", "chunk_index", "text", "token_count"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, chunk_index int, text string, token_count int")
@@ -62,7 +62,7 @@ def hierarchical(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for k, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                rows = chunk_rules.hierarchy((t or "")[:MAX_CHARS])
+                rows = chunk_rules.hierarchy(t or "")
                 yield pa.record_batch([pa.array([k] * len(rows), pa.int64()), pa.array([f"{k}:{r[0]}" for r in rows], pa.string()), pa.array([r[1] and f"{k}:{r[1]}" for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], names=["doc_id", "chunk_id", "parent_chunk_id", "chunk_type", "text"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, chunk_id string, parent_chunk_id string, chunk_type string, text string")

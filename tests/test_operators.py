@@ -168,3 +168,23 @@ def test_answers(spark):
     assert 0 < h["1"] < 1 and h["2"] == 0.0
     c = {r.answer_id: r for r in safety.citations(a).collect()}
     assert c["1"].valid == [1] and c["1"].invalid == [9] and "Source 9" not in c["1"].clean
+
+
+def test_long_texts_are_chunked_whole(spark):
+    """Beyond 2,000,000 characters: every word is in a chunk, and the walk over long texts gives what lists give."""
+    prose = "\n\n".join(" ".join(f"S{i}x{j} has some words here." for j in range(40)) for i in range(2000))
+    bare = " ".join(f"w{i}" for i in range(300_000))
+    assert min(len(prose), len(bare)) > 2_000_000
+    d = spark.createDataFrame([(1, prose), (2, bare)], "doc_id long, text string")
+    for split in (chunking.sentence, chunking.recursive, chunking.semantic, chunking.hierarchical):
+        got = split(d)
+        by = {1: set(), 2: set()}
+        for r in got.select("doc_id", "text").toLocalIterator():
+            by[r.doc_id].update(r.text.split())
+        assert by == {1: set(prose.split()), 2: set(bare.split())}, split.__name__
+    for text in (prose, bare):
+        for rule in (chunk_rules.by_sentence, chunk_rules.recursive, chunk_rules.semantic):
+            walked = rule(text, 512, 50)
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(chunk_rules, "_LONG", 1 << 40)
+                assert rule(text, 512, 50) == walked
