@@ -30,7 +30,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # The library finds these strings in the raw text; a text that holds one goes to it whole.
+        self.added = sorted({a.lower() if lower_words else a for a in (t.content for t in self.tokenizer.get_added_tokens_decoder().values())})
         self.lower_words = lower_words
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memory: dict[str, bytes] = {}
@@ -57,8 +58,10 @@ class ChunkEncoder:
         signs = not _SIGNS(text)
         if self.lower_words:  # white space is dropped, case folded: each word stands alone
             text = text.lower()
+            if any(a in text for a in self.added):
+                return None
             return (text.replace(".", " . ").replace(",", " , ") if signs else text).split()
-        if _WIDE(text):
+        if _WIDE(text) or any(a in text for a in self.added):
             return None
         if signs:
             text = text.replace(".", "\0.\0").replace(",", "\0,\0")

@@ -109,6 +109,24 @@ def test_chunks_of_tokenizers(texts):
             assert np.frombuffer(got, enc.dtype).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+def test_added_tokens_as_the_library_has_them(spark):
+    """Ids are those of the plain library with the given file, also where a text holds an added token's string."""
+    from tokenizers import Tokenizer
+
+    for name, lower in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        plain, enc = Tokenizer.from_file(default_path(name)), encoder(default_path(name), lower)
+        added = [a.content for a in plain.get_added_tokens_decoder().values()]
+        assert added
+        said = [f(a) for a in added for f in (str, str.upper, lambda a: f"hi {a} there", lambda a: f"hi{a}.\nthere, {a}{a} ", lambda a: a[:-1], lambda a: f"{a[:4]} {a[4:]}")]
+        for t, got in zip(said, enc.encode(said), strict=True):
+            assert np.frombuffer(got, enc.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    d = spark.createDataFrame([(1, "hi <|endoftext|> there", "a"), (2, "next", "a")], "doc_id long, text string, source string")
+    assert packing.pack(d, default_path("byte_bpe_50k.json")).filter("doc_id = 1").first().doc_tokens == 5
+    blocks, t = rans.write_ids(d, default_path("word_bpe_49k.json"))
+    got = rans.read_blocks(blocks, t).join(rans.starts_of(blocks), ["part", "first_seq"]).filter("doc_id = 2").first()
+    assert got.base + got.local_start == 4
+
+
 def test_fingerprint(docs, texts, empty):
     got = {r.doc_id: r for r in fingerprint.fingerprint(docs).collect()}
     plain = [t or "" for t in texts]
