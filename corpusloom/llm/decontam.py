@@ -13,8 +13,12 @@ Only DataFrame functions. Windows of documents are tested against a bit set of t
 hashes inside each row, so only hits leave the row. The bit set and a broadcast of the benchmark's windows
 are used up to `SMALL_BENCHMARK` windows; a larger benchmark is joined by a shuffle.
 
-Null or empty text: no windows. Items with fewer than WINDOW template tokens name nothing and are not searched for.
-Windows with fewer than `MIN_WORDS` words that aren't slots are left out. Repeated documents or items: pairs of ids appear once,
+Case doesn't decide: windows are hashed a second time with names as plain words. Each character of a script without
+spaces is a word.
+
+Null or empty text: no windows. Windows with fewer than `MIN_WORDS` words that aren't slots are left out of items that
+have others. An item without any usable window is searched for as a whole by its template, or, with fewer than `MIN_WORDS`
+words, by its words and values as they are (without a letter: by what white space parts), in windows of its own length up to WINDOW. Repeated documents or items: pairs of ids appear once,
 with the best diagonal. Null doc_id: a pair with a null. Empty tables: no rows. Other columns pass through `decontaminate`.
 """
 
@@ -37,24 +41,53 @@ UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles?|ft|feet|inch|inches|l|ml|litres?
 OPEN, CLOSE = "\x01", "\x02"
 
 
+# Scripts written without spaces; each of their characters is a word.
+_UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+
+
 def tokens(text: Column) -> Column:
     """Words and slots of a text, in order; a slot is OPEN, its kind's letter, its value, CLOSE."""
     t = F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}[\p{L}\p{M}]*)", f"{OPEN}p$1{CLOSE}")
     t = F.regexp_replace(t, r"(\p{N}(?:[\p{N}.,]*\p{N})?)", f"{OPEN}n$1{CLOSE}")
     t = F.regexp_replace(t, rf"(?i)(?<={CLOSE}|{CLOSE} )({UNITS})(?![\p{{L}}])|(?<={CLOSE})([%°€$])", f"{OPEN}u$1$2{CLOSE}")
-    return F.regexp_extract_all(F.lower(t), F.lit(rf"{OPEN}[^{CLOSE}]*{CLOSE}|[\p{{L}}\p{{M}}]+"), F.lit(0))
+    # Behind numbers and units, so that a word is a unit there in capitals too.
+    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}},;{CLOSE}] )(\p{{Lu}}[\p{{L}}\p{{M}}]*)", f"{OPEN}p$1{CLOSE}")
+    return F.regexp_extract_all(F.lower(t), F.lit(rf"{OPEN}[^{CLOSE}]*{CLOSE}|[{_UNSPACED}]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]+"), F.lit(0))
 
 
 def template(toks: Column) -> Column:
     return F.transform(toks, lambda x: F.when(x.startswith(OPEN), F.substring(x, 1, 2)).otherwise(x))
 
 
-def windows(toks: str, temp: str) -> Column:
-    """(pos, h) of each window. toks and temp are columns of the frame, so that they are computed once."""
-    n = F.size(temp)
-    places = F.when(n >= WINDOW, F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(temp, i + 1, WINDOW)).alias("h")))
+def _value(x: Column) -> Column:
+    return F.when(x.startswith(OPEN), x.substr(F.lit(3), F.length(x) - 3)).otherwise(x)
+
+
+def folded(toks: Column) -> Column:
+    """The template with names as plain words: the same whatever case a text is in."""
+    return F.transform(toks, lambda x: F.when(x.startswith(OPEN + "p"), _value(x)).when(x.startswith(OPEN), F.substring(x, 1, 2)).otherwise(x))
+
+
+def values(toks: Column) -> Column:
+    return F.transform(toks, _value)
+
+
+def spaced(text: Column) -> Column:
+    """Lower-cased words as white space parts them, for items without any letter."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
+
+
+def windows(key: str, size: int | Column = WINDOW, names_only: bool = False) -> Column:
+    """(pos, h) of each window, or of those with a name. key is a column of the frame, so that it is computed once."""
+    n, size = F.size(key), F.lit(size) if isinstance(size, int) else size
+    fits, none = (n >= size) & (size > 0), F.array().cast("array<int>")
+    if names_only:
+        names = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.get("temp", i) == OPEN + "p")
+        near = F.transform(names, lambda i: F.sequence(F.greatest(i - size + 1, F.lit(0)), F.least(i, n - size)))
+        places = F.when(fits, F.array_distinct(F.flatten(near))).otherwise(none)
+    else:
+        places = F.when(fits, F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))).otherwise(none)
+    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(key, i + 1, size)).alias("h")))
 
 
 def exploded(d: DataFrame, hits: Column) -> DataFrame:
@@ -64,8 +97,12 @@ def exploded(d: DataFrame, hits: Column) -> DataFrame:
     return d.withColumn("w", F.explode("hits")).drop("hits", "_at")
 
 
+def n_words(raw: Column) -> Column:
+    return F.size(F.filter(raw, lambda x: ~x.startswith(OPEN)))
+
+
 def wordy(raw: Column) -> Column:
-    return F.size(F.filter(raw, lambda x: ~x.startswith(OPEN))) >= MIN_WORDS
+    return n_words(raw) >= MIN_WORDS
 
 
 def bit_set(hashes: list[int]) -> tuple[str, int]:
@@ -77,20 +114,42 @@ def bit_set(hashes: list[int]) -> tuple[str, int]:
     return words.view(np.int64).tolist(), bits
 
 
+def keyed(d: DataFrame, id_col: str) -> DataFrame:
+    """The columns whose windows are hashed."""
+    d = d.select(F.col(id_col).cast("long").alias(id_col), F.col("text").cast("string").alias("text")).withColumn("toks", tokens(F.col("text")))
+    return d.withColumns({"temp": template(F.col("toks")), "fold": folded(F.col("toks")), "val": values(F.col("toks")), "spa": spaced(F.col("text"))})
+
+
+def raw_of(kind: str) -> str:
+    return {"t": "toks", "v": "val", "s": "spa"}[kind]
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("toks")).withColumn("temp", template(F.col("toks")))
-    w = exploded(items, windows("toks", "temp"))
-    w = w.select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.h").alias("h"), F.slice("toks", F.col("w.pos") + 1, WINDOW).alias("item_raw")).filter(wordy(F.col("item_raw")))
-    return w.dropDuplicates(["item_id", "item_pos", "h"])
+    """item_id, item_pos, kind, len, h, item_raw. Kinds: t (template), v (words and values as they are), s (parted by white space)."""
+    items = keyed(benchmark, "item_id")
+    usable = F.exists(F.transform(windows("temp"), lambda w: F.slice("toks", w["pos"] + 1, WINDOW)), wordy)
+    least = lambda c: F.least(F.size(c), F.lit(WINDOW))
+    items = items.withColumns({"usable": usable, "words": n_words(F.col("toks"))})
+    kind = F.when(F.col("usable") | (F.col("words") >= MIN_WORDS), "t").when(F.col("words") > 0, "v").otherwise("s")
+    size = F.when(F.col("usable"), WINDOW).when(F.col("words") >= MIN_WORDS, F.size("toks")).when(F.col("words") > 0, least("val")).otherwise(least("spa"))
+    items = items.withColumns({"kind": kind, "len": size})
+    out = None
+    for k, keys in (("t", ("temp", "fold")), ("v", ("val",)), ("s", ("spa",))):
+        own = items.filter(F.col("kind") == k)
+        w = exploded(own, F.concat(*[windows(c, F.col("len")) for c in keys]))
+        w = w.select("item_id", F.col("w.pos").alias("item_pos"), "kind", "len", F.col("w.h").alias("h"), F.slice(raw_of(k), F.col("w.pos") + 1, F.col("len")).alias("item_raw"))
+        w = w.filter(wordy(F.col("item_raw"))) if k == "t" else w
+        out = w if out is None else out.unionByName(w)
+    return out.dropDuplicates(["item_id", "item_pos", "kind", "len", "h"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, small: int = SMALL_BENCHMARK) -> DataFrame:
     """Contaminated pairs: doc_id, item_id, n_windows (on the best diagonal), item_windows, doc_pos (word at which it starts)."""
-    own = item_windows(benchmark)
+    own = materialise(item_windows(benchmark), "item-windows")
     sample = [r["h"] for r in own.select("h").limit(small + 1).collect()]
     few = len(sample) <= small
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text").cast("string")).alias("toks")).withColumn("temp", template(F.col("toks")))
-    hits = windows("toks", "temp")
+    shapes = sorted((r["kind"], r["len"]) for r in own.select("kind", "len").distinct().collect()) or [("t", WINDOW)]
+    met = None
     if few:
         words, bits = bit_set(sample)
         stored = F.lit(np.array(words, np.int64))
@@ -100,11 +159,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, small: int = SMALL_BENCHMARK)
             word = F.element_at(stored, (F.floor(low / 64) + 1).cast("int"))
             return F.expr("1L") == F.call_function("shiftright", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
 
-        hits = F.filter(hits, met)
-    hit = exploded(d, hits).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.slice("toks", F.col("w.pos") + 1, WINDOW).alias("raw"))
-    pairs = hit.join(F.broadcast(own) if few else own, "h")
-    both = F.filter(F.arrays_zip("raw", "item_raw"), lambda p: p["raw"].startswith(OPEN))
-    pairs = pairs.filter(template(F.col("raw")) == template(F.col("item_raw"))).select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "pos", both.alias("slots"))
+    def found(key, kind, size):
+        # Without names, a window has one template in either case.
+        w = windows(key, size, key == "fold")
+        w = F.filter(w, met) if few else w
+        return F.transform(w, lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), F.lit(kind).alias("kind"), F.lit(size).alias("len")))
+
+    hits = [found(key, k, n) for k, n in shapes for key in ({"t": ("temp", "fold")}.get(k) or (raw_of(k),))]
+    hit = exploded(keyed(docs, "doc_id"), F.concat(*hits))
+    raw = F.coalesce(*[F.when(F.col("w.kind") == k, F.slice(raw_of(k), F.col("w.pos") + 1, F.col("w.len"))) for k in sorted({k for k, _ in shapes})])
+    hit = hit.select("doc_id", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.col("w.kind").alias("kind"), F.col("w.len").alias("len"), raw.alias("raw"))
+    pairs = hit.join(F.broadcast(own) if few else own, ["h", "kind", "len"])
+    same = lambda f: f(F.col("raw")) == f(F.col("item_raw"))
+    slots = F.filter(F.arrays_zip("raw", "item_raw"), lambda p: p["raw"].startswith(OPEN))
+    plain = F.filter(slots, lambda p: ~p["raw"].startswith(OPEN + "p"))
+    pairs = pairs.filter(same(template) | same(folded)).select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "pos", F.when(same(template), slots).otherwise(plain).alias("slots"))
     lines = pairs.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("pos").alias("n_windows"), F.min("pos").alias("doc_pos"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     size = F.size("slots")
     consistent = (F.size(F.array_distinct("slots.raw")) == size) & (F.size(F.array_distinct("slots.item_raw")) == size)

@@ -216,6 +216,26 @@ def test_decontamination(spark, docs, empty):
     assert decontam.matches(docs, b).count() == 0 and decontam.matches(empty, b).count() == 0 and decontam.matches(d, b.filter("false")).count() == 0
 
 
+def test_decontamination_of_odd_items(spark):
+    """Short, number-heavy, wordless and unspaced items, and copies in another case, are found, with a bit set and without."""
+    items = [
+        (1, "What is the capital of France?"), (2, "2 + 2 = 5"), (3, "too short"), (4, "解释什么是量子纠缠以及它为什么重要"), (5, "?! ++"),
+        (6, "Add 3 4 5 6 to 7 8 9 10 then divide by 11 12 13 14 and print 15 16 17 18"),
+        (7, "we saw how Tom Miller gave 5 Miles of rope to his sister in Paris, and Ann Baker sold all of it on Monday to Bob"),
+    ]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    said = [f"so then , {t} , and so on" for _, t in items] + [f"so then , {t.upper()} , and so on" for _, t in items] + [f"SO THEN , {t.lower()} , AND" for _, t in items]
+    said[3] = "他说解释什么是量子纠缠以及它为什么重要吗"
+    rest = [(100, "nothing of it is here at all, 2 + 3 = 5"), (101, "Add 3 4 5 6 to other things"), (102, None), (103, "is that short or what")]
+    d = spark.createDataFrame([*enumerate(said), *rest], "doc_id long, text string").repartition(3)
+    for small in (200_000, 0):
+        got = {(r.doc_id, r.item_id) for r in decontam.matches(d, b, small).collect()}
+        assert got == {(i, items[i % 7][0]) for i in range(len(said))}, small
+    old = spark.createDataFrame([(2, "the quick brown fox jumps over the lazy dog and runs far away from here again")], "item_id long, text string")
+    up = spark.createDataFrame([(7, "THE QUICK BROWN FOX JUMPS OVER THE LAZY DOG AND RUNS FAR AWAY FROM HERE AGAIN")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.matches(up, old).collect()] == [(7, 2)]
+
+
 def test_warc(spark):
     rows = [(i, f"http://x/{i}", "<p>" + "y" * (i % 7) + "</p>") for i in range(300)] + [(300, None, None), (None, "u", "é"), (5, "http://x/5", "<p>yyyyy</p>")]
     p = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, node int").repartition(4)
