@@ -11,8 +11,12 @@ Round-robin with carried deficits has a closed form (what queue q has given befo
 no task needs another's state: documents are tokenised once into a shared table, queues are
 numbered by partition totals, and each task cuts its own documents.
 
-Null or empty text: one piece with the end id. Empty table: no rows. Null or many sources: see `queue_of`.
-Repeated rows are packed as often as they occur. Other columns are not read.
+Every source has a queue, however many there are: windows are at least `LEAST_QUANTUM` tokens long for each source, so
+that a mean quantum is worth a piece. The driver and the tasks hold one total for each source.
+
+Null or empty text: one piece with the end id. Very long text: as many pieces as it needs; a task holds its ids whole. Empty table: no rows.
+Null source: a source of its own, beside the empty one. Ties, that is repeated rows and equal doc_ids: packed as often as they
+occur, one behind the other. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, running_total, table
-from .tokens import default_path, encoder, slices
+from .tokens import binary_column, default_path, encoder, slices
 
 SEQUENCE_TOKENS = 1024
 WINDOW_TOKENS = 64 * SEQUENCE_TOKENS
-#: Sources beyond so many share queues by their hash, which bounds the schedule that tasks get.
-MAX_QUEUES = 1000
+#: Tokens that a window has for each source at least.
+LEAST_QUANTUM = 1024
+
+#: Bytes of text that a worker tokenises at once (or one longer text); it takes about 20 times as many.
+TOKENISED_AT_ONCE = 6_000_000
 
 #: Rows (one for each partition and queue, 16 bytes) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_BASES = 500_000
@@ -73,15 +80,13 @@ class Schedule:
         return w
 
 
-def queue_of(docs: DataFrame, max_queues: int) -> DataFrame:
-    """A small number for each source; null is a source of its own. Beyond `max_queues`, sources are dealt by hash."""
-    names = sorted(r[0] or "" for r in docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s")).distinct().limit(max_queues + 1).collect())
-    s = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    if len(names) > max_queues:
-        return docs.withColumn("queue", F.pmod(F.xxhash64(s), F.lit(max_queues)).cast("int"))
-    if not names:
-        return docs.withColumn("queue", F.lit(0))
-    return docs.withColumn("queue", (F.array_position(F.array(*map(F.lit, names)), s) - 1).cast("int"))
+def queue_of(docs: DataFrame) -> tuple[DataFrame, list[str | None]]:
+    """docs with a number for each source in `queue`, and the sources in that order. Null is a source of its own."""
+    named = docs.withColumn("source", F.col("source").cast("string"))
+    names = [r[0] for r in named.select("source").distinct().orderBy(F.col("source").asc_nulls_first()).collect()]
+    numbers = docs.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "_source string, queue int")
+    numbers = F.broadcast(numbers) if len(names) <= BROADCAST_BASES else numbers
+    return named.join(numbers, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), names
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int, lower_words: bool = False) -> DataFrame:
@@ -92,37 +97,35 @@ def tokenise(docs: DataFrame, path: str, end_id: int, lower_words: bool = False)
         from pyspark import TaskContext
 
         enc, part, given = encoder(path, lower_words), TaskContext.get().partitionId(), {}
-        end = np.array([end_id], enc.dtype).tobytes()
-        for b in slices(batches):
-            ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
-            queues, starts = b.column("queue").to_pylist(), []
-            sizes = [len(x) // enc.dtype.itemsize for x in ids]
-            for q, n in zip(queues, sizes, strict=True):
+        for b in slices(batches, TOKENISED_AT_ONCE):
+            ids, sizes = enc.encode(b.column("text"), end_id)
+            starts = []
+            for q, n in zip(b.column("queue").to_pylist(), sizes.tolist(), strict=True):
                 starts.append(given.get(q, 0))
                 given[q] = starts[-1] + n
-            yield pa.record_batch([b.column("doc_id"), b.column("queue"), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "queue", "part", "local_start", "n_tokens", "ids"])
+            cells = binary_column(ids.view(np.uint8), np.concatenate([[0], np.cumsum(sizes)]) * enc.dtype.itemsize)
+            yield pa.record_batch([b.column("doc_id"), b.column("queue"), pa.array([part] * len(sizes), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes), cells], names=["doc_id", "queue", "part", "local_start", "n_tokens", "ids"])
 
     return docs.select("doc_id", "queue", "text").mapInArrow(run, TOKENS)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, weights: dict[str, float] | None = None, window_tokens: int = WINDOW_TOKENS, sequence_tokens: int = SEQUENCE_TOKENS, max_queues: int = MAX_QUEUES) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 0, weights: dict[str, float] | None = None, window_tokens: int = WINDOW_TOKENS, sequence_tokens: int = SEQUENCE_TOKENS, least_quantum: int = LEAST_QUANTUM) -> DataFrame:
     """Pieces of all documents (doc_id, source, text) with their places in sequences.
 
-    weights: target share of each source, by default its share of the corpus' tokens.
+    weights: target share of each source (None for the null one), by default its share of the corpus' tokens.
     """
     spark = docs.sparkSession
-    docs = queue_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source"), max_queues)
+    docs, names = queue_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source"))
     tokens = materialise(tokenise(docs, path, end_id), "pack-tokens")
     parts = tokens.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return spark.createDataFrame([], PIECES)
-    sizes = [totals.get(q, 0) for q in range(max(totals) + 1)]
+    sizes = [totals.get(q, 0) for q in range(len(names))]
     share = [float(n) for n in sizes]
     if weights is not None:
-        named = {r["queue"]: r["source"] for r in docs.groupBy("queue").agg(F.min("source").alias("source")).collect()}
-        share = [float(weights.get(named.get(q) or "", 0.0)) for q in range(len(sizes))]
-    plan = Schedule(sizes, share, window_tokens)
+        share = [float(weights.get(n, 0.0)) for n in names]
+    plan = Schedule(sizes, share, max(window_tokens, least_quantum * len(names)))
     bases = running_total(parts, "part", ["n"], ["queue"]).withColumnRenamed("n_before", "base")
     few = parts.limit(BROADCAST_BASES + 1).count() <= BROADCAST_BASES
     placed = tokens.join(F.broadcast(bases) if few else bases, ["part", "queue"])
@@ -134,7 +137,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, weights: dict[str, float]
 
         def window(w: int) -> tuple[np.ndarray, int, np.ndarray]:
             if w not in known:
-                if len(known) > 4096:
+                if len(known) * len(names) > 500_000:
                     known.clear()
                 a = plan.before(w)
                 known[w] = a, int(a.sum()), np.cumsum(plan.before(w + 1) - a)

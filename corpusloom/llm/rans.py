@@ -2,8 +2,9 @@
 
 One frequency table, counted over all ids, is shared by all blocks. A block holds whole documents,
 codes its ids in interleaved lanes, keeps the lanes' states at checkpoints, so that it can be
-decoded from any of them, and carries a checksum of ids and of coded bytes. Blocks are the rows of a
-Parquet dataset, which gives every file system and lost executor what Spark's commit gives.
+decoded from any of them, and carries a checksum of ids and of coded bytes. A folder holds all that a reader
+needs: `blocks` (rows of a Parquet dataset, which gives every file system and lost executor what Spark's
+commit gives), `table` (id, frequency) and `meta` (tokenizer's name, end id, precision, vocabulary).
 
 Null or empty text: only the end id. Repeated doc_ids stay rows of their own, side by side; null doc_ids come first.
 Empty table: no rows. Very long texts make a block of their own. Other columns are not read.
@@ -11,6 +12,7 @@ Empty table: no rows. Very long texts make a block of their own. Other columns a
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from dataclasses import dataclass
@@ -19,9 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of, materialise, range_number, running_total, shuffle_partitions, split_points, table
-from .packing import tokenise
-from .tokens import default_path
+from .common import docs_of, materialise, range_number, running_total, scratch, shuffle_partitions, split_points, table
+from .packing import BROADCAST_BASES, tokenise
+from .tokens import default_path, encoder, utf8_parts
 
 PRECISION = 20
 LANES = 1024
@@ -31,6 +33,7 @@ MAGIC = b"LRN1"
 _HEAD = struct.Struct("<4s7I")
 _LOW = np.uint64(1 << 31)
 
+META = "tokenizer string, end_id int, precision int, vocabulary int"
 BLOCKS = "part int, first_seq long, n_docs long, n_tokens long, payload binary"
 READ = "part int, first_seq long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -141,9 +144,10 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            raw, n = b"".join(b.column("ids").to_pylist()), sum(b.column("n_tokens").to_pylist())
+            n = sum(b.column("n_tokens").to_pylist())
             if n:
-                total += np.bincount(np.frombuffer(raw, f"<u{len(raw) // n}"), minlength=vocabulary)
+                raw, _ = utf8_parts(b.column("ids"))
+                total += np.bincount(raw.view(f"<u{len(raw) // n}"), minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
@@ -163,8 +167,10 @@ def in_order(tokens: DataFrame) -> DataFrame:
     w = Window.partitionBy("part").orderBy("seq")
     steps = tokens.select("part", "seq", "doc_id").withColumn("last", F.lag("doc_id").over(w))
     spans = steps.groupBy("part").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bool_and(F.coalesce(F.col("last") <= F.col("doc_id"), F.col("seq") == 0)).alias("up"), F.count("*").alias("n"), F.count("doc_id").alias("known"))
-    byrange = Window.orderBy("lo")
-    bad = spans.withColumn("prev", F.max("hi").over(byrange.rowsBetween(Window.unboundedPreceding, -1))).withColumn("rank", F.row_number().over(byrange)).select(F.max(F.when(~F.col("up") | (F.col("n") > F.col("known")) | (F.col("prev") >= F.col("lo")), 1).otherwise(0)).alias("bad")).first()["bad"]
+    spans = materialise(spans, "rans-spans")
+    many = spans.limit(BROADCAST_BASES + 1).count() > BROADCAST_BASES
+    byrange = Window.orderBy("lo")  # one row for each input partition, checked
+    bad = many or spans.withColumn("prev", F.max("hi").over(byrange.rowsBetween(Window.unboundedPreceding, -1))).withColumn("rank", F.row_number().over(byrange)).select(F.max(F.when(~F.col("up") | (F.col("n") > F.col("known")) | (F.col("prev") >= F.col("lo")), 1).otherwise(0)).alias("bad")).first()["bad"]
     if not bad:
         ranks = spans.select("part", (F.row_number().over(byrange) - 1).alias("rank"))
         return tokens.join(F.broadcast(ranks), "part").select(F.col("rank").cast("int").alias("part"), "seq", "doc_id", "n_tokens", "ids")
@@ -173,8 +179,8 @@ def in_order(tokens: DataFrame) -> DataFrame:
     return dealt.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "doc_id")
 
 
-def write_blocks(rows: DataFrame, t: Table, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Rows in order to a written dataset of blocks."""
+def write_blocks(rows: DataFrame, t: Table, folder: str, block_tokens: int = BLOCK_TOKENS) -> None:
+    """Rows in order to a dataset of blocks in the folder."""
 
     def run(batches):
         import pyarrow as pa
@@ -202,7 +208,7 @@ def write_blocks(rows: DataFrame, t: Table, block_tokens: int = BLOCK_TOKENS) ->
         if docs:
             yield block()
 
-    return materialise(rows.mapInArrow(run, BLOCKS), "rans-blocks", "uncompressed")
+    rows.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
 def read_blocks(blocks: DataFrame, t: Table) -> DataFrame:
@@ -223,8 +229,9 @@ def read_blocks(blocks: DataFrame, t: Table) -> DataFrame:
     return blocks.select("part", "first_seq", "payload").mapInArrow(run, READ)
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int = 1, lower_words: bool = True) -> tuple[DataFrame, Table]:
-    """The written blocks of all documents (doc_id, text) in ascending doc_id order, and their frequency table."""
+def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1, lower_words: bool = True) -> None:
+    """Writes the ids of all documents (doc_id, text) in ascending doc_id order, and what it takes to read them, to the folder."""
+    spark = docs.sparkSession
     raw = tokenise(docs_of(docs).withColumn("queue", F.lit(0)), path, end_id, lower_words)
 
     def numbered(batches):
@@ -236,8 +243,30 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, lower_words: bool = T
             seen += b.num_rows
 
     tokens = materialise(raw.mapInArrow(numbered, "part int, seq long, doc_id long, n_tokens long, ids binary"), "rans-tokens")
-    t = Table.of(count_ids(tokens, 1 << 16))
-    return write_blocks(in_order(tokens), t), t
+    vocabulary = max(encoder(path, lower_words).vocabulary, end_id + 1)
+    t = Table.of(count_ids(tokens, vocabulary))
+    write_blocks(in_order(tokens), t, folder)
+    used = np.flatnonzero(t.freq)
+    spark.createDataFrame([(int(i), int(t.freq[i])) for i in used], "id int, freq long").coalesce(1).write.parquet(f"{folder}/table")
+    spark.createDataFrame([(os.path.basename(path), end_id, PRECISION, vocabulary)], META).coalesce(1).write.parquet(f"{folder}/meta")
+
+
+def read_table(spark: SparkSession, folder: str) -> Table:
+    """The frequency table as the folder has it; at most one row for each id of the vocabulary."""
+    meta = spark.read.schema(META).parquet(f"{folder}/meta").first()
+    if meta["precision"] != PRECISION:
+        raise ValueError(f"frequencies of {meta['precision']} bits can't be read")
+    freq = np.zeros(meta["vocabulary"], np.int64)
+    for r in spark.read.schema("id int, freq long").parquet(f"{folder}/table").collect():
+        freq[r["id"]] = r["freq"]
+    return Table(freq.astype(np.uint64), np.concatenate(([0], np.cumsum(freq))).astype(np.uint64))
+
+
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document of a folder, from its files alone: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    rows = read_blocks(blocks, read_table(spark, folder)).join(starts_of(blocks), ["part", "first_seq"])
+    return rows.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def starts_of(blocks: DataFrame) -> DataFrame:
@@ -249,5 +278,6 @@ def starts_of(blocks: DataFrame) -> DataFrame:
 
 
 def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, t = write_ids(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
-    return read_blocks(blocks, t).join(starts_of(blocks), ["part", "first_seq"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    folder = scratch(spark, "rans-files")
+    write_ids(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), folder)
+    return read_ids(spark, folder)

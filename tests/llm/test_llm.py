@@ -96,20 +96,61 @@ def test_packing(docs, texts, empty):
     for q, n in share.items():
         got = sum(r.length for r in half if r.queue == q)
         assert abs(got - n / total * sum(r.length for r in half)) <= 512
-    check_pieces(packing.pack(docs, path, window_tokens=256, sequence_tokens=64, weights={"a": 3.0, "b": 1.0}).collect(), ids, 64)
-    check_pieces(packing.pack(docs, path, window_tokens=256, sequence_tokens=64, max_queues=2).collect(), ids, 64)
+    check_pieces(packing.pack(docs, path, window_tokens=256, sequence_tokens=64, weights={"a": 3.0, "b": 1.0}, least_quantum=1).collect(), ids, 64)
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_of_many_sources(spark):
+    """Every source is a queue of its own with its own weight, null beside empty, however many there are."""
+    path = default_path("byte_bpe_50k.json")
+    rows = [(i, "some words in here", [None, "", *(f"s{k}" for k in range(1500))][i % 1502]) for i in range(3004)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(d, path, least_quantum=4).collect()
+    assert len({r.queue for r in got}) == 1502 and sum(r.length for r in got) == 5 * 3004
+    few = packing.pack(d.filter("coalesce(source, '') IN ('', 's7')"), path, weights={None: 4.0, "": 1.0}, window_tokens=5, sequence_tokens=5, least_quantum=1)
+    assert [r.queue for r in few.orderBy("sequence_id", "offset").collect() if r.sequence_id == 0].count(0) >= 1
+    assert few.filter("queue = 2").agg({"sequence_id": "min"}).first()[0] == 4  # what has no weight comes last
+
+
 def test_chunks_of_tokenizers(texts):
     for name, lower in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
         enc = encoder(default_path(name), lower)
         odd = ["don't I'LL 's", "...a ,b. 3.14, x", "a|b © ® x", "<|endoftext|> hi", "x\n y", "ﬁ İ a b"]
-        for t, got in zip([*texts[4:], *odd], enc.encode([*texts[4:], *odd]), strict=True):
-            assert np.frombuffer(got, enc.dtype).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t[:50]
+        assert_ids(enc, [*texts, *odd])
+        rnd = random.Random(3)
+        parts = ["don't", "'s", "'", "''", "we'll", "it's-", " ", "  ", "\n", "\n\n", "\t", "\r\n", ".", ",", "...", "$5", "3.14", "a1b2", "Ünï", "é", "×", "Œ", "Ž", "x" * 70, "!?", "|", "_", "<|", "\u00a0", "\x07", "İ", "the", "of"]
+        assert_ids(enc, ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(3000)])
+        assert_ids(enc, [" ".join(rnd.choice(parts[:22]) for _ in range(9)) for _ in range(500)])
+
 
+def assert_ids(enc, texts):
+    """The ids of a whole column are the plain library's, with an end id and without, and again when all chunks are known."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_path("word_bpe_49k.json" if enc.lower_words else "byte_bpe_50k.json"))
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for end in (None, 7, None):
+        ids, sizes = enc.encode(pa.array(texts, pa.string()).slice(1, len(texts) - 1), end)
+        at = 0
+        for t, w, n in zip(texts[1:], want[1:], sizes.tolist(), strict=True):
+            assert ids[at : at + n].tolist() == w + ([] if end is None else [end]), t
+            at += n
 
-def test_added_tokens_as_the_library_has_them(spark):
+
+def test_cache_of_chunks(monkeypatch):
+    """What a worker forgets is asked for again."""
+    from corpusloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 20)
+    enc = tokens.ChunkEncoder(default_path("byte_bpe_50k.json"), False)
+    rnd = random.Random(4)
+    for _ in range(5):
+        assert_ids(enc, [words(rnd, 40) for _ in range(4)])
+        assert len(enc.chunks) <= 20
+
+
+def test_added_tokens_as_the_library_has_them(spark, tmp_path):
     """Ids are those of the plain library with the given file, also where a text holds an added token's string."""
     from tokenizers import Tokenizer
 
@@ -118,13 +159,11 @@ def test_added_tokens_as_the_library_has_them(spark):
         added = [a.content for a in plain.get_added_tokens_decoder().values()]
         assert added
         said = [f(a) for a in added for f in (str, str.upper, lambda a: f"hi {a} there", lambda a: f"hi{a}.\nthere, {a}{a} ", lambda a: a[:-1], lambda a: f"{a[:4]} {a[4:]}")]
-        for t, got in zip(said, enc.encode(said), strict=True):
-            assert np.frombuffer(got, enc.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+        assert_ids(enc, said)
     d = spark.createDataFrame([(1, "hi <|endoftext|> there", "a"), (2, "next", "a")], "doc_id long, text string, source string")
     assert packing.pack(d, default_path("byte_bpe_50k.json")).filter("doc_id = 1").first().doc_tokens == 5
-    blocks, t = rans.write_ids(d, default_path("word_bpe_49k.json"))
-    got = rans.read_blocks(blocks, t).join(rans.starts_of(blocks), ["part", "first_seq"]).filter("doc_id = 2").first()
-    assert got.base + got.local_start == 4
+    rans.write_ids(d, default_path("word_bpe_49k.json"), str(tmp_path / "ids"))
+    assert rans.read_ids(spark, str(tmp_path / "ids")).filter("doc_id = 2").first().start == 4
 
 
 def test_fingerprint(docs, texts, empty):
@@ -308,19 +347,28 @@ def test_rans_round_trip():
                 rans.decode_block(raw[:-1] + bytes([raw[-1] ^ 1]), t, t.symbols())
 
 
-def test_rans_files(docs, texts, empty):
+def test_rans_files(spark, docs, texts, empty, tmp_path):
     path = default_path("word_bpe_49k.json")
     enc = encoder(path, True).tokenizer
-    for d in (docs, docs.repartition(1).sortWithinPartitions("doc_id")):
-        blocks, t = rans.write_ids(d, path)
-        got = rans.read_blocks(blocks, t).join(rans.starts_of(blocks), ["part", "first_seq"]).withColumn("start", F.col("base") + F.col("local_start")).orderBy("doc_id").collect()
+    for k, d in enumerate((docs, docs.repartition(1).sortWithinPartitions("doc_id"))):
+        rans.write_ids(d, path, str(tmp_path / f"ids{k}"))
+        meta = spark.read.parquet(str(tmp_path / f"ids{k}/meta")).first()
+        assert (meta.tokenizer, meta.end_id) == ("word_bpe_49k.json", 1)
+        got = rans.read_ids(spark, str(tmp_path / f"ids{k}")).orderBy("doc_id").collect()
         at = 0
         for r, text in zip(got, texts, strict=True):
             ids = [*enc.encode(text or "", add_special_tokens=False).ids, 1]
             assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4")))
             at += len(ids)
-    blocks, t = rans.write_ids(empty, path)
-    assert blocks.count() == 0
+    rans.write_ids(empty, path, str(tmp_path / "none"))
+    assert rans.read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rans_of_a_large_vocabulary():
+    ids = np.array([70_000, 5, 70_000, 1 << 17], np.uint32)
+    t = rans.Table.of(np.bincount(ids, minlength=(1 << 17) + 1))
+    x, _, _ = rans.decode_block(rans.encode_block(ids.astype(np.int64), [1], [4], t, lanes=2, every=1), t, t.symbols())
+    assert x.tolist() == ids.tolist()
 
 
 def best_capacity(sizes, shards):
