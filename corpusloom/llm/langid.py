@@ -5,12 +5,14 @@ multiplication, the first permuted twice, the second once; a document bundles (a
 all its trigrams; a language's prototype bundles the unit vectors of its documents. A document gets
 the language of the prototype with the highest cosine.
 
-Letters outside a-z share a fixed number of vectors by their code point's hash; what isn't a letter
-is a word boundary. Ties go to the language that sorts first.
+Every letter of Unicode has a vector of its own, drawn by its code point; A-Z and other capitals are taken as small ones. What isn't
+a letter is a word boundary. Ties go to the language that sorts first. All languages are learned; the driver
+holds a prototype (4 KB) for each.
 
 `und` with score 0: null text, text without a letter, and all texts if nothing could be learned.
 Null lang: not learned from. Null doc_id: its number's text is empty, so it is learned from. Repeated rows count as often as they occur.
-Empty table: no rows. Only doc_id, text and, for learning, lang are read.
+Very long text: all of it counts; a task holds about 20 bytes for each of its characters. Empty table: no rows. Only doc_id, text and, for learning, lang
+are read; `keep_known` passes other columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,64 +23,88 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few_or_shuffled, materialise, table
 from .tokens import slices
 
 DIMENSIONS = 1024
-#: 0 is the boundary, 1-26 are a-z, the rest takes other letters by hash.
-SYMBOLS = 40
 SEED = 20_240_501
-#: More languages than this in a table of labels are taken for a mistake.
-MAX_LANGUAGES = 1000
 UNKNOWN = "und"
+#: Trigrams of so many symbols at most are counted in a table, others by sorting.
+TABLE_SYMBOLS = 80
 
-_STATE: dict[str, np.ndarray] = {}
 
+class Letters:
+    """Numbers and vectors of the letters that a worker has met; 0 is the boundary."""
 
-def _state() -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each code point; vector of each trigram (int8). Made once for each worker."""
-    if "grams" not in _STATE:
-        symbols = np.zeros(0x110000, np.uint8)
-        letters = np.fromiter((c for c in range(0x110000) if chr(c).isalpha()), np.int64)
-        symbols[letters] = 27 + (letters * 2654435761 >> 7) % (SYMBOLS - 27)
-        for i in range(26):
-            symbols[97 + i] = symbols[65 + i] = 1 + i
-        v = (np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, DIMENSIONS), np.int8) * 2 - 1).astype(np.int8)
-        pair = np.roll(v, 2, 1)[:, None, :] * np.roll(v, 1, 1)[None, :, :]
-        _STATE["grams"] = (pair[:, :, None, :] * v[None, None, :, :]).reshape(-1, DIMENSIONS)
-        _STATE["symbols"] = symbols
-    return _STATE["symbols"], _STATE["grams"]
+    def __init__(self):
+        self.number = np.full(0x110000, -1, np.int32)
+        self.vectors = np.zeros((0, DIMENSIONS), np.int8)
+        self.add([0])
+        self.number[0] = 0
+
+    def add(self, points: list[int]) -> None:
+        own = np.stack([np.random.default_rng([SEED, p]).integers(0, 2, DIMENSIONS, np.int8) * 2 - 1 for p in points]).astype(np.int8)
+        self.vectors = np.concatenate([self.vectors, own])
+        self.once, self.twice = np.roll(self.vectors, 1, 1), np.roll(self.vectors, 2, 1)
+
+    def of(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = self.number[points]
+        if (s < 0).any():
+            new = np.unique(points[s < 0])
+            letters = [p for p in new.tolist() if chr(p).isalpha()]
+            self.number[new] = 0
+            self.number[letters] = len(self.vectors) + np.arange(len(letters))
+            if letters:
+                self.add(letters)
+            s = self.number[points]
+        return s
+
+    def grams(self, ids: np.ndarray) -> np.ndarray:
+        """Vectors of trigrams: letters bound in order."""
+        return self.twice[ids >> 42] * self.once[ids >> 21 & 0x1FFFFF] * self.vectors[ids & 0x1FFFFF]
+
+
+_STATE: dict[str, Letters] = {}
+
+
+def letters() -> Letters:
+    """Made once for each worker."""
+    if "letters" not in _STATE:
+        _STATE["letters"] = Letters()
+    return _STATE["letters"]
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigrams of the whole text and their counts."""
-    symbols, _ = _state()
-    s = symbols[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    s = letters().of(text)
     if not s.any():
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    s = np.concatenate(([0], s, [0])).astype(np.int32)
+    s = np.concatenate(([0], s, [0])).astype(np.int64)
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]  # runs of other characters are one boundary
-    g = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-    n = np.bincount(g, minlength=SYMBOLS**3) if len(g) > 2000 else None
-    if n is None:
-        ids, counts = np.unique(g, return_counts=True)
+    a, b, c = s[:-2], s[1:-1], s[2:]
+    k = len(letters().vectors)
+    if k > TABLE_SYMBOLS:
+        ids, counts = np.unique(a << 42 | b << 21 | c, return_counts=True)
         return ids, counts.astype(np.float32)
-    ids = np.flatnonzero(n)
-    return ids, n[ids].astype(np.float32)
+    n = np.bincount((a * k + b) * k + c, minlength=k**3)
+    met = np.flatnonzero(n)
+    return met // (k * k) << 42 | met // k % k << 21 | met % k, n[met].astype(np.float32)
 
 
 def vectors(texts: list[str | None], at_once: int = 64) -> np.ndarray:
     """Document vectors scaled to length 1; zero for texts without a letter."""
-    _, grams = _state()
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     for i in range(0, len(texts), at_once):
         own = [trigrams(t) if t else (np.zeros(0, np.int64), np.zeros(0, np.float32)) for t in texts[i : i + at_once]]
         ids = np.unique(np.concatenate([a for a, _ in own]))
-        if len(ids):
-            counts = np.zeros((len(own), len(ids)), np.float32)
+        for lo in range(0, len(ids), 8192):
+            some = ids[lo : lo + 8192]
+            counts = np.zeros((len(own), len(some)), np.float32)
             for k, (a, n) in enumerate(own):
-                counts[k, np.searchsorted(ids, a)] = n
-            out[i : i + at_once] = counts @ grams[ids].astype(np.float32)
+                at = slice(*np.searchsorted(a, [some[0], some[-1] + 1]))
+                counts[k, np.searchsorted(some, a[at])] = n[at]
+            out[i : i + at_once] += counts @ letters().grams(some).astype(np.float32)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
@@ -102,12 +128,11 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.record_batch([pa.array([g] * DIMENSIONS, pa.string()), pa.array(range(DIMENSIONS), pa.int32()), pa.array(x, pa.float64())], names=["lang", "dim", "x"])
 
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", F.col("lang").cast("string").alias("lang"))
-    names = sorted(r["lang"] for r in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    place = {n: i for i, n in enumerate(names)}
     out = np.zeros((len(names), DIMENSIONS))
-    for r in known.mapInArrow(bundle, "lang string, dim int, x double").groupBy("lang", "dim").agg(F.sum("x").alias("x")).collect():
-        out[names.index(r["lang"]), r["dim"]] = r["x"]
+    for r in known.mapInArrow(bundle, "lang string, dim int, x double").groupBy("lang", "dim").agg(F.sum("x").alias("x")).toLocalIterator():
+        out[place[r["lang"]], r["dim"]] = r["x"]
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return names, np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
@@ -133,8 +158,10 @@ def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray]) -> DataFram
 
 
 def keep_known(docs: DataFrame, learned: tuple[list[str], np.ndarray], min_score: float) -> DataFrame:
-    """docs, all columns, without those that get no language or a cosine below min_score."""
-    rest = [c for c in docs.columns if c != "text"]
+    """docs, all columns, without those that get no language or a cosine below min_score; if nothing was learned, without those that have no letter.
+
+    Only the rejected rows' ids and text hashes come back from Python; texts stay in the JVM.
+    """
     names, protos = learned
     protos = protos.astype(np.float32)
 
@@ -143,10 +170,14 @@ def keep_known(docs: DataFrame, learned: tuple[list[str], np.ndarray], min_score
 
         for b in slices(batches):
             v = vectors(b.column("text").to_pylist())
-            best = (v @ protos.T).max(axis=1) if len(names) else np.zeros(len(v))
-            yield b.filter(pa.array(v.any(axis=1) & (best >= min_score)))
-
-    return docs.select(*rest, F.col("text").cast("string").alias("text")).mapInArrow(run, docs.select(*rest, F.col("text").cast("string").alias("text")).schema).select(*docs.columns)
+            best = (v @ protos.T).max(axis=1) if len(names) else np.ones(len(v))
+            yield b.select(["id", "hash"]).filter(pa.array(~(v.any(axis=1) & (best >= min_score))))
+
+    text = F.col("text").cast("string")
+    read = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    gone = read.mapInArrow(run, "id long, hash long").distinct()
+    gone = few_or_shuffled(materialise(gone, "language-rejects"))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["hash"]), "left_anti")
 
 
 def crc32_mod4(doc_id: int) -> int:

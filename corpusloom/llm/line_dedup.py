@@ -10,14 +10,16 @@ but in the largest doc_id that holds it.
 2. Only keys that the merged twice-seen filter holds, the suspected repeats, are shuffled, as
    128-bit digests with their doc_id; counting them confirms repeats exactly and picks the keeper.
 3. Confirmed keys are handed to all tasks if there are at most `broadcast_keys`; else the lists of
-   dropped keys are joined to the documents by doc_id.
+   dropped keys are joined to the documents by doc_id and text. Keys that stand for a thousandth of all suspects or more
+   (at most a thousand keys) are broadcast to that join, so that no key makes a hot task.
 
-The filters have a fixed size. On a corpus that fills them more keys become suspects and are shuffled,
-results stay the same.
+Each filter has 8 to 16 bits for each line of the corpus: 0.5 to 3 of 100 lines that occur once are suspected in
+error. That holds up to MOST_BITS (128 MB a filter, 134 million lines). Beyond it the share of suspects grows, towards
+all lines at some billions of them, and with it the shuffle of digests (32 bytes each); results stay the same.
 
-Null or empty text: one empty line, kept. A row is a document; repeated rows count as often as they
-occur and keep their lines together if their doc_id is the largest; a null doc_id is the smallest. Empty table: no rows.
-Other columns pass through; those named like this operator's results are replaced.
+Null or empty text: one empty line, kept. Very long texts: a task holds a text and its lines. A row is a document; repeated rows and
+equal doc_ids count as often as they occur and keep their lines together if their doc_id is the largest; a null doc_id is the smallest.
+Empty table: no rows. Other columns pass through, whatever their names; those named like this operator's results are replaced.
 """
 
 from __future__ import annotations
@@ -34,9 +36,8 @@ from .common import materialise, table
 from .tokens import slices
 
 WHITE = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
-FILTER_BITS = 1 << 26
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 SEGMENTS = 64
 HASHES = 3
 #: Confirmed keys that are handed to all tasks at most (about 100 bytes each in a task).
@@ -49,7 +50,7 @@ def line_keys(text: str | None, min_chars: int) -> tuple[list[str], list[tuple[i
     for i, line in enumerate(lines):
         key = line.strip(WHITE)
         if len(key) >= min_chars:
-            found.append((i, (key.lower() if key.isascii() else key.translate(_LOWER)).encode()))
+            found.append((i, key.encode().lower()))  # of bytes: A-Z only
     return lines, found
 
 
@@ -81,8 +82,15 @@ def hash64(keys: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
+def bits_for(docs: DataFrame) -> int:
+    """8 to 16 bits for each line."""
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n = docs.agg(F.sum(lines.cast("long")).alias("n")).first()["n"] or 0
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (8 * n - 1).bit_length() if n else 0))
+
+
 def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
-    """The merged twice-seen filter: bits // 8 bytes, whatever the corpus."""
+    """The merged twice-seen filter, bits // 8 bytes."""
     schema = "segment int, part int, once binary, twice binary"
 
     def build(batches):
@@ -122,7 +130,7 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
 
 
 def confirmed_repeats(docs: DataFrame, min_chars: int, min_docs: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(key, keeper) of confirmed keys and the (key, doc_id) of all suspects, both written."""
+    """(key, keeper, n) of confirmed keys and the (key, doc_id, text_hash) of all suspects, both written."""
     shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, min_chars, bits).tobytes())
 
     def suspects(batches):
@@ -130,36 +138,48 @@ def confirmed_repeats(docs: DataFrame, min_chars: int, min_docs: int, bits: int)
 
         twice = np.frombuffer(shared.value, np.uint8)
         for b in slices(batches):
-            ids, keys = [], []
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            ids, keys, hashes = [], [], []
+            for d, t, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "text_hash")), strict=True):
                 own = list({k for _, k in line_keys(t, min_chars)[1]})
                 if own:
                     hit = [digest(k) for k, x in zip(own, holds(twice, hash64(own), bits).tolist(), strict=True) if x]
                     keys += hit
                     ids += [d] * len(hit)
-            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc_id"])
+                    hashes += [x] * len(hit)
+            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], names=["key", "doc_id", "text_hash"])
 
-    found = materialise(docs.select("doc_id", "text").mapInArrow(suspects, "key binary, doc_id long"), "line-suspects")
-    sure = found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).select("key", "keeper")
+    found = materialise(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(suspects, "key binary, doc_id long, text_hash long"), "line-suspects")
+    shared.destroy()
+    sure = found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
     return materialise(sure, "line-repeats"), found
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int = FILTER_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def drop_lists(found: DataFrame, sure: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, drop): the keys that documents lose. A list is never longer than its text has lines."""
+    hot = F.col("n") >= found.count() / 1000
+    parts = [found.join(x, "key") for x in (sure.filter(~hot), F.broadcast(sure.filter(hot)))]
+    lost = parts[0].unionByName(parts[1]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("drop"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """docs with `text` cut to its kept lines, plus n_lines, n_dropped, kept_sha256."""
     spark = docs.sparkSession
     new = ["n_lines", "n_dropped", "kept_sha256"]
     rest = [c for c in docs.columns if c not in (*new, "doc_id", "text")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    sure, found = confirmed_repeats(docs.select("doc_id", "text"), min_chars, min_docs, bits)
+    # Other columns travel in one, so that none can clash with what is added here.
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*rest, F.lit(0).alias(f"0{''.join(rest)}")).alias("rest"))
+    read = docs.select("doc_id", "text")
+    sure, found = confirmed_repeats(read, min_chars, min_docs, bits or bits_for(read))
     few = sure.limit(broadcast_keys + 1).count() <= broadcast_keys
     if few:
-        kept_in = spark.sparkContext.broadcast({bytes(r["key"]): r["keeper"] for r in sure.toLocalIterator()})
-        source, drops = docs, None
+        kept_in = spark.sparkContext.broadcast({bytes(r["key"]): r["keeper"] for r in sure.select("key", "keeper").toLocalIterator()})
+        source = docs.withColumn("drop", F.lit(None).cast("array<binary>"))
     else:
-        lists = found.join(sure, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_set("key").alias("_drop"))
-        source, drops = docs.withColumnRenamed("doc_id", "_doc").join(lists, F.col("_doc").eqNullSafe(F.col("doc_id")), "left").drop("doc_id").withColumnRenamed("_doc", "doc_id"), "_drop"
-        source = source.select("doc_id", "text", *rest, "_drop")
+        kept_in = None
+        lists = drop_lists(found, sure).withColumnRenamed("doc_id", "id")
+        source = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("text_hash")), "left").select("doc_id", "text", "rest", "drop")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def cut(batches):
         import pyarrow as pa
@@ -167,9 +187,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: i
         repeats = kept_in.value if few else {}
         absent = object()
         for b in slices(batches):
-            own = b.column(drops).to_pylist() if drops else [None] * b.num_rows
             texts, n, dropped, sha = [], [], [], []
-            for d, t, out in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), own, strict=True):
+            for d, t, out in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "drop")), strict=True):
                 lines, keys = line_keys(t, min_chars)
                 listed = set(out or ())
                 gone = set()
@@ -178,11 +197,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: i
                     keeper = repeats.get(key, absent)
                     if key in listed or (keeper is not absent and keeper != d):
                         gone.add(i)
-                kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+                kept = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t or ""
                 texts.append(kept), n.append(len(lines)), dropped.append(len(gone)), sha.append(hashlib.sha256(kept.encode()).hexdigest())
-            yield pa.record_batch([b.column("doc_id"), pa.array(texts, pa.string()), *[b.column(c) for c in rest], pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "text", *rest, *new])
+            yield pa.record_batch([b.column("doc_id"), pa.array(texts, pa.string()), b.column("rest"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "text", "rest", *new])
 
-    return source.mapInArrow(cut, schema)
+    return source.mapInArrow(cut, schema).select("doc_id", "text", *[F.col("rest").getField(c).alias(c) for c in rest], *new)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

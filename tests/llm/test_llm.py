@@ -53,15 +53,26 @@ def test_line_dedup(docs, texts, empty):
             if len(k) >= 20:
                 holders.setdefault(k, []).append(i)
     gone = {k: max(v) for k, v in holders.items() if len(v) >= 3}
-    for limit in (250_000, 0):  # both ways to hand out the repeats
-        got = {r.doc_id: r for r in line_dedup.dedup_lines(docs, bits=1 << 16, broadcast_keys=limit).collect()}
+    # both ways to hand out the repeats; a filter of the size the lines ask for, a small one and one that is full
+    for limit, bits in ((250_000, None), (0, 1 << 16), (0, 512)):
+        got = {r.doc_id: r for r in line_dedup.dedup_lines(docs.withColumns({"drop": F.lit(1), "id": F.lit("i"), "rest": F.lit("r")}), bits=bits, broadcast_keys=limit).collect()}
         assert len(got) == len(texts)
         for i, t in enumerate(texts):
             lines = (t or "").split("\n")
             kept = "\n".join(x for x in lines if gone.get(key(x), i) == i)
             assert (got[i].text, got[i].n_lines) == (kept, len(lines)), i
-            assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest() and got[i].token == "y"
-    assert line_dedup.dedup_lines(empty, bits=1 << 16).count() == 0
+            assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest() and (got[i].token, got[i].drop, got[i].id, got[i].rest) == ("y", 1, "i", "r")
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Equal and null doc_ids with other texts: each row loses its own lines; the largest id keeps them."""
+    a, b = "a line that is long enough to be a key", "another line that is long enough as well"
+    rows = [(1, f"{a}\nx"), (1, f"{b}\ny"), (None, a), (None, f"{b}\n{a}"), (None, f"{b}\n{a}"), (2, f"{a}\n{b}"), (2, f"{a}\n{b}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (100, 0):
+        got = Counter((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(d, broadcast_keys=limit).collect())
+        assert got == Counter([(1, "x", 1), (1, "y", 1), (None, "", 1), (None, "", 2), (None, "", 2), (2, rows[-1][1], 0), (2, rows[-1][1], 0)]), limit
 
 
 def check_pieces(rows, ids_of, sequence):
@@ -206,13 +217,48 @@ def test_langid(spark, empty):
     assert all(0 <= r.score <= 1 for r in got.values())
     assert langid.identify(d, langid.prototypes(empty)).filter("lang_pred <> 'und'").count() == 0
     assert langid.keep_known(d, langid.prototypes(d), 0.05).count() == 202
-    # the vector of a document is the sum of its bound and permuted letters
-    symbols, grams = langid._state()
-    t = "abca"
-    ids, n = langid.trigrams(t)
-    assert ids.tolist() == sorted((a * langid.SYMBOLS + b) * langid.SYMBOLS + c for a, b, c in ((0, 1, 2), (1, 2, 3), (2, 3, 1), (3, 1, 0)))
-    v = (n[:, None] * grams[ids].astype(float)).sum(0)
-    assert np.allclose(langid.vectors([t])[0], v / np.linalg.norm(v), atol=1e-6)
+
+
+def plain_langid(rows):
+    """By hand: letters' vectors multiplied after permutation, added up, cosines with the prototypes."""
+    def letter(c):
+        return (np.random.default_rng([langid.SEED, ord(c) if c != "#" else 0]).integers(0, 2, langid.DIMENSIONS, np.int8) * 2 - 1).astype(float)
+
+    def vector(t):
+        s = re.sub("#+", "#", "#" + "".join(c if c.isalpha() else "#" for c in (t or "").lower()) + "#")
+        v = np.zeros(langid.DIMENSIONS)
+        for g, n in Counter(zip(s, s[1:], s[2:], strict=False)).items():
+            v += n * np.roll(letter(g[0]), 2) * np.roll(letter(g[1]), 1) * letter(g[2])
+        return v / np.linalg.norm(v) if s != "#" else None
+
+    sums = {}
+    for d, t, g in rows:
+        if g is not None and (v := vector(t)) is not None and (d is None or zlib.crc32(str(d).encode()) % 4 != 2):
+            sums[g] = sums.get(g, 0) + v
+    protos = {g: v / np.linalg.norm(v) for g, v in sums.items()}
+    for d, t, _ in rows:
+        v = vector(t)
+        cos = {g: float(v @ p) for g, p in sorted(protos.items())} if v is not None else {}
+        yield d, max(cos, key=cos.get) if cos else "und", max(cos.values(), default=0.0)
+
+
+def test_langid_by_brute_force(spark):
+    """Four alphabets, one very long text, nulls, ties and repeated rows against a plain computation."""
+    rnd = random.Random(6)
+    kinds = {"en": "the of and ship sail", "ru": "мать и дитя шли домой", "el": "και το νερό ήταν", "zh": "水在 河里 流 着 很 快"}
+    rows = [(i, " ".join(rnd.choice(kinds[k].split()) for _ in range(rnd.randint(1, 12))), k) for i, k in enumerate(list(kinds) * 12)]
+    rows += [(100, None, "en"), (101, "", "en"), (102, "12 !", "ru"), (103, "Und so ein Wort, NUR EINES", None), (None, "the ship", "en"), (104, "the sail of " * 20000, "en"), (5, rows[5][1], "ru"), (5, rows[5][1], "ru")]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, hash string").repartition(3)
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 3)) for r in langid.identify(d, langid.prototypes(d)).collect())
+    want = [(a, b, min(1.0, max(0.0, c))) for a, b, c in plain_langid(rows)]
+    assert sum(got.values()) == len(want)
+    for a, b, c in want:
+        assert any(x == a and y == b and abs(z - c) < 2e-3 for x, y, z in got), (a, b, c)
+    kept = langid.keep_known(d, langid.prototypes(d), 0.3)
+    assert kept.columns == d.columns and Counter(r.doc_id for r in kept.collect()) == Counter(a for a, b, c in want if b != "und" and c >= 0.3)
+    assert langid.keep_known(d, langid.prototypes(d.filter("false")), 0.3).count() == len(rows) - 3
+    many = spark.createDataFrame([(i, f"wort{chr(0x4E00 + i)}", f"l{i}") for i in range(1100)], "doc_id long, text string, lang string")
+    assert len(langid.prototypes(many)[0]) > 800  # no limit on languages
 
 
 def test_chat(spark):
