@@ -2,8 +2,8 @@
 
 Each letter has a random vector of +1 and -1. A trigram is its letters' vectors bound by
 multiplication, the first permuted twice, the second once; a document bundles (adds) the vectors of
-all its trigrams; a language's prototype bundles the unit vectors of its documents. A document gets
-the language of the prototype with the highest cosine.
+all its trigrams; a language's prototype bundles its documents, each as the mean of its trigrams' vectors, so that long ones don't
+outweigh others. A document gets the language of the prototype with the highest cosine.
 
 Every letter of Unicode has a vector of its own, drawn by its code point; A-Z and other capitals are taken as small ones. What isn't
 a letter is a word boundary. Ties go to the language that sorts first. All languages are learned; the driver
@@ -29,8 +29,10 @@ from .tokens import slices
 DIMENSIONS = 1024
 SEED = 20_240_501
 UNKNOWN = "und"
-#: Trigrams of so many symbols at most are counted in a table, others by sorting.
+#: Trigrams of so many symbols at most are counted in a table (of texts that are worth one), others by sorting.
 TABLE_SYMBOLS = 80
+#: Trigram vectors that a worker remembers at most (1 KB each).
+GRAMS = 32_768
 
 
 class Letters:
@@ -41,6 +43,7 @@ class Letters:
         self.vectors = np.zeros((0, DIMENSIONS), np.int8)
         self.add([0])
         self.number[0] = 0
+        self.known, self.rows = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.int8)
 
     def add(self, points: list[int]) -> None:
         own = np.stack([np.random.default_rng([SEED, p]).integers(0, 2, DIMENSIONS, np.int8) * 2 - 1 for p in points]).astype(np.int8)
@@ -60,10 +63,22 @@ class Letters:
             s = self.number[points]
         return s
 
-    def grams(self, ids: np.ndarray) -> np.ndarray:
+    def bound(self, ids: np.ndarray) -> np.ndarray:
         """Vectors of trigrams: letters bound in order."""
         return self.twice[ids >> 42] * self.once[ids >> 21 & 0x1FFFFF] * self.vectors[ids & 0x1FFFFF]
 
+    def grams(self, ids: np.ndarray) -> np.ndarray:
+        """Vectors of ascending trigrams; those met before are looked up."""
+        if len(ids) > GRAMS // 2:
+            return self.bound(ids)
+        new = ids[~np.isin(ids, self.known, assume_unique=True)]
+        if len(new):
+            if len(self.known) + len(new) > GRAMS:
+                self.known, self.rows, new = self.known[:0], self.rows[:0], ids
+            at = np.searchsorted(self.known, new)
+            self.known, self.rows = np.insert(self.known, at, new), np.insert(self.rows, at, self.bound(new), axis=0)
+        return self.rows[np.searchsorted(self.known, ids)]
+
 
 _STATE: dict[str, Letters] = {}
 
@@ -84,7 +99,7 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]  # runs of other characters are one boundary
     a, b, c = s[:-2], s[1:-1], s[2:]
     k = len(letters().vectors)
-    if k > TABLE_SYMBOLS:
+    if k > TABLE_SYMBOLS or len(a) < k**3 // 16:
         ids, counts = np.unique(a << 42 | b << 21 | c, return_counts=True)
         return ids, counts.astype(np.float32)
     n = np.bincount((a * k + b) * k + c, minlength=k**3)
@@ -92,11 +107,15 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return met // (k * k) << 42 | met // k % k << 21 | met % k, n[met].astype(np.float32)
 
 
-def vectors(texts: list[str | None], at_once: int = 64) -> np.ndarray:
+def counted(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [trigrams(t) if t else (np.zeros(0, np.int64), np.zeros(0, np.float32)) for t in texts]
+
+
+def vectors(texts: list[str | None], at_once: int = 128) -> np.ndarray:
     """Document vectors scaled to length 1; zero for texts without a letter."""
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     for i in range(0, len(texts), at_once):
-        own = [trigrams(t) if t else (np.zeros(0, np.int64), np.zeros(0, np.float32)) for t in texts[i : i + at_once]]
+        own = counted(texts[i : i + at_once])
         ids = np.unique(np.concatenate([a for a, _ in own]))
         for lo in range(0, len(ids), 8192):
             some = ids[lo : lo + 8192]
@@ -109,6 +128,28 @@ def vectors(texts: list[str | None], at_once: int = 64) -> np.ndarray:
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
+class Profile:
+    """Weights of the trigrams of a language's documents."""
+
+    def __init__(self):
+        self.parts, self.held = [(np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def add(self, ids: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((ids, n / n.sum(dtype=np.float64)))
+        self.held += len(ids)
+        if self.held > 500_000:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        ids, at = np.unique(np.concatenate([a for a, _ in self.parts]), return_inverse=True)
+        self.parts, self.held = [(ids, np.bincount(at, np.concatenate([n for _, n in self.parts]), len(ids)))], 0
+        return self.parts[0]
+
+    def vector(self) -> np.ndarray:
+        ids, n = self.merge()
+        return sum((n[i : i + 4096] @ letters().bound(ids[i : i + 4096]).astype(np.float64) for i in range(0, len(ids), 4096)), np.zeros(DIMENSIONS))
+
+
 def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
@@ -119,13 +160,13 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     def bundle(batches):
         import pyarrow as pa
 
-        total: dict[str, np.ndarray] = {}
+        total: dict[str, Profile] = {}
         for b in slices(batches):
-            v, langs = vectors(b.column("text").to_pylist()), np.array(b.column("lang").to_pylist())
-            for g in set(langs.tolist()):
-                total[g] = total.get(g, 0) + v[langs == g].sum(axis=0, dtype=np.float64)
+            for (ids, n), g in zip(counted(b.column("text").to_pylist()), b.column("lang").to_pylist(), strict=True):
+                if len(ids):
+                    total.setdefault(g, Profile()).add(ids, n)
         for g, x in total.items():
-            yield pa.record_batch([pa.array([g] * DIMENSIONS, pa.string()), pa.array(range(DIMENSIONS), pa.int32()), pa.array(x, pa.float64())], names=["lang", "dim", "x"])
+            yield pa.record_batch([pa.array([g] * DIMENSIONS, pa.string()), pa.array(range(DIMENSIONS), pa.int32()), pa.array(x.vector(), pa.float64())], names=["lang", "dim", "x"])
 
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", F.col("lang").cast("string").alias("lang"))
     names = sorted(r["lang"] for r in known.select("lang").distinct().collect())

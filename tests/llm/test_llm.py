@@ -229,16 +229,16 @@ def plain_langid(rows):
         v = np.zeros(langid.DIMENSIONS)
         for g, n in Counter(zip(s, s[1:], s[2:], strict=False)).items():
             v += n * np.roll(letter(g[0]), 2) * np.roll(letter(g[1]), 1) * letter(g[2])
-        return v / np.linalg.norm(v) if s != "#" else None
+        return v if s != "#" else None
 
     sums = {}
     for d, t, g in rows:
         if g is not None and (v := vector(t)) is not None and (d is None or zlib.crc32(str(d).encode()) % 4 != 2):
-            sums[g] = sums.get(g, 0) + v
+            sums[g] = sums.get(g, 0) + v / (len(re.sub("#+", "#", "#" + "".join(c if c.isalpha() else "#" for c in t.lower()) + "#")) - 2)
     protos = {g: v / np.linalg.norm(v) for g, v in sums.items()}
     for d, t, _ in rows:
         v = vector(t)
-        cos = {g: float(v @ p) for g, p in sorted(protos.items())} if v is not None else {}
+        cos = {g: float(v @ p / np.linalg.norm(v)) for g, p in sorted(protos.items())} if v is not None else {}
         yield d, max(cos, key=cos.get) if cos else "und", max(cos.values(), default=0.0)
 
 
