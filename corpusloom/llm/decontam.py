@@ -11,7 +11,8 @@ a row, or as many in pieces), or all windows of a shorter item.
 
 Only DataFrame functions. Windows of documents are tested against a bit set of the benchmark's window
 hashes inside each row, so only hits leave the row. The bit set and a broadcast of the benchmark's windows
-are used up to `SMALL_BENCHMARK` windows; a larger benchmark is joined by a shuffle.
+are used up to `SMALL_BENCHMARK` windows. Beyond that the windows' hashes are broadcast, up to `BROADCAST_HASHES`, and only windows
+with one of them are shuffled; beyond that, all windows.
 
 Case doesn't decide: windows are hashed a second time with names as plain words. Each character of a script without
 spaces is a word.
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import few_or_shuffled, materialise, table
 
-WINDOW = 8
+WINDOW, HALF = 8, 4
 MIN_WORDS = 5
 MIN_WINDOWS = 6
 SMALL_BENCHMARK = 200_000
+BROADCAST_HASHES = 5_000_000
 
 # Unit names that count as a unit behind a number.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles?|ft|feet|inch|inches|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|usd|eur|percent|degrees?|mph|kmh"
@@ -45,14 +47,25 @@ OPEN, CLOSE = "\x01", "\x02"
 _UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 
 
+#: Up to this character letters are those of `_LATIN`, none of them of an unspaced script, and there are no combining marks.
+_BEYOND = r"[^\x00-\u024F]"
+_LATIN = r"[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]"
+
+
 def tokens(text: Column) -> Column:
-    """Words and slots of a text, in order; a slot is OPEN, its kind's letter, its value, CLOSE."""
+    """Words and slots of a text, in order; a slot is OPEN, its kind's letter, its value, CLOSE.
+
+    Each pattern begins with a plain character, which is what a matcher finds fast.
+    """
     t = F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  ")
     t = F.regexp_replace(t, r"(\p{N}(?:[\p{N}.,]*\p{N})?)", f"{OPEN}n$1{CLOSE}")
-    t = F.regexp_replace(t, rf"(?i)(?<={CLOSE}|{CLOSE} )({UNITS})(?![\p{{L}}])|(?<={CLOSE})([%°€$])", f"{OPEN}u$1$2{CLOSE}")
+    t = F.regexp_replace(t, rf"{CLOSE}(?:( ?)((?i:{UNITS}))(?!\p{{L}})|([%°€$]))", f"{CLOSE}$1{OPEN}u$2$3{CLOSE}")
     # Behind numbers and units, so that a word is a unit there in capitals too.
-    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}},;{CLOSE}] )(\p{{Lu}}[\p{{L}}\p{{M}}]*)", f"{OPEN}p$1{CLOSE}")
-    return F.regexp_extract_all(F.lower(t), F.lit(rf"{OPEN}[^{CLOSE}]*{CLOSE}|[{_UNSPACED}]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]+"), F.lit(0))
+    t = F.regexp_replace(t, rf" (?<=[\p{{Ll}}\p{{N}},;{CLOSE}] )(\p{{Lu}}[\p{{L}}\p{{M}}]*)", f" {OPEN}p$1{CLOSE}")
+    slot = f"{OPEN}[^{CLOSE}]*{CLOSE}"
+    fast = F.regexp_extract_all(F.lower(t), F.lit(f"{_LATIN}+|{slot}"), F.lit(0))
+    full = F.regexp_extract_all(F.lower(t), F.lit(rf"{slot}|[{_UNSPACED}]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]+"), F.lit(0))
+    return F.when(F.lower(t).rlike(_BEYOND), full).otherwise(fast)
 
 
 def template(toks: Column) -> Column:
@@ -77,17 +90,27 @@ def spaced(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
 
 
-def windows(key: str, size: int | Column = WINDOW, names_only: bool = False) -> Column:
-    """(pos, h) of each window, or of those with a name. key is a column of the frame, so that it is computed once."""
-    n, size = F.size(key), F.lit(size) if isinstance(size, int) else size
+def windows(key: str, size: int | Column = WINDOW, names_only: bool = False, begun=None) -> Column:
+    """(pos, h) of each window, or of those with a name. key and key_h (its tokens' hashes) are columns of the frame, so that they are computed once.
+
+    begun: tests hashes of HALF tokens. Every window of WINDOW tokens holds HALF that begin at a multiple of HALF, so
+    only windows around those that pass are hashed.
+    """
+    # Of key_h, too: a column that is named once would be put in the place of its name, inside the loop over windows.
+    n, size = F.size(f"{key}_h"), F.lit(size) if isinstance(size, int) else size
     fits, none = (n >= size) & (size > 0), F.array().cast("array<int>")
+    hashed = lambda i, k: F.xxhash64(F.slice(f"{key}_h", i + 1, k))
     if names_only:
         names = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.get("temp", i) == OPEN + "p")
         near = F.transform(names, lambda i: F.sequence(F.greatest(i - size + 1, F.lit(0)), F.least(i, n - size)))
         places = F.when(fits, F.array_distinct(F.flatten(near))).otherwise(none)
+    elif begun is not None:
+        some = F.filter(F.sequence(F.lit(0), F.greatest(n - HALF, F.lit(0)), F.lit(HALF)), lambda i: begun(hashed(i, HALF)))
+        near = F.transform(some, lambda i: F.sequence(F.least(F.greatest(i + HALF - size, F.lit(0)), n - size), F.least(i, n - size)))
+        places = F.when(fits, F.array_distinct(F.flatten(near))).otherwise(none)
     else:
         places = F.when(fits, F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))).otherwise(none)
-    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(key, i + 1, size)).alias("h")))
+    return F.transform(places, lambda i: F.struct(i.alias("pos"), hashed(i, size).alias("h")))
 
 
 def exploded(d: DataFrame, hits: Column) -> DataFrame:
@@ -105,19 +128,27 @@ def wordy(raw: Column) -> Column:
     return n_words(raw) >= MIN_WORDS
 
 
-def bit_set(hashes: list[int]) -> tuple[str, int]:
-    """SQL of a long array in which each hash has its bit, 16 bits or more for each hash."""
+def bit_test(hashes: list[int]):
+    """Tests whether a hash has its bit in a set of 16 bits or more for each of the hashes, which is a literal of the plan."""
     bits = 1 << max(10, (16 * len(hashes)).bit_length())
     words = np.zeros(bits // 64, np.uint64)
     h = np.array(hashes, np.int64).view(np.uint64) & np.uint64(bits - 1)
     np.bitwise_or.at(words, (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return words.view(np.int64).tolist(), bits
+    stored = F.lit(words.view(np.int64))
+
+    def test(h: Column) -> Column:
+        low = h.bitwiseAND(F.lit(bits - 1))
+        word = F.element_at(stored, (F.call_function("shiftright", low, F.lit(6)) + 1).cast("int"))
+        return F.expr("1L") == F.call_function("shiftright", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+
+    return test
 
 
 def keyed(d: DataFrame, id_col: str) -> DataFrame:
     """The columns whose windows are hashed."""
     d = d.select(F.col(id_col).cast("long").alias(id_col), F.col("text").cast("string").alias("text")).withColumn("toks", tokens(F.col("text")))
-    return d.withColumns({"temp": template(F.col("toks")), "fold": folded(F.col("toks")), "val": values(F.col("toks")), "spa": spaced(F.col("text"))})
+    d = d.withColumns({"temp": template(F.col("toks")), "fold": folded(F.col("toks")), "val": values(F.col("toks")), "spa": spaced(F.col("text"))})
+    return d.withColumns({f"{c}_h": F.transform(c, lambda x: F.xxhash64(x)) for c in ("temp", "fold", "val", "spa")})
 
 
 def raw_of(kind: str) -> str:
@@ -137,7 +168,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     for k, keys in (("t", ("temp", "fold")), ("v", ("val",)), ("s", ("spa",))):
         own = items.filter(F.col("kind") == k)
         w = exploded(own, F.concat(*[windows(c, F.col("len")) for c in keys]))
-        w = w.select("item_id", F.col("w.pos").alias("item_pos"), "kind", "len", F.col("w.h").alias("h"), F.slice(raw_of(k), F.col("w.pos") + 1, F.col("len")).alias("item_raw"))
+        halves = F.array(*[F.xxhash64(F.slice(f"{c}_h", F.col("w.pos") + i + 1, HALF)) for c in keys for i in range(WINDOW - HALF + 1)])
+        w = w.select("item_id", F.col("w.pos").alias("item_pos"), "kind", "len", F.col("w.h").alias("h"), F.when(F.col("len") == WINDOW, halves).alias("halves"), F.slice(raw_of(k), F.col("w.pos") + 1, F.col("len")).alias("item_raw"))
         w = w.filter(wordy(F.col("item_raw"))) if k == "t" else w
         out = w if out is None else out.unionByName(w)
     return out.dropDuplicates(["item_id", "item_pos", "kind", "len", "h"])
@@ -149,26 +181,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, small: int = SMALL_BENCHMARK)
     sample = [r["h"] for r in own.select("h").limit(small + 1).collect()]
     few = len(sample) <= small
     shapes = sorted((r["kind"], r["len"]) for r in own.select("kind", "len").distinct().collect()) or [("t", WINDOW)]
-    met = None
+    met = begun = None
     if few:
-        words, bits = bit_set(sample)
-        stored = F.lit(np.array(words, np.int64))
-
-        def met(x):
-            low = x["h"].bitwiseAND(F.lit(bits - 1))
-            word = F.element_at(stored, (F.floor(low / 64) + 1).cast("int"))
-            return F.expr("1L") == F.call_function("shiftright", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+        met = bit_test(sample)
+        begun = bit_test([r[0] for r in own.select(F.explode("halves")).distinct().collect()])
+    own = own.drop("halves")
 
     def found(key, kind, size):
         # Without names, a window has one template in either case.
-        w = windows(key, size, key == "fold")
-        w = F.filter(w, met) if few else w
+        w = windows(key, size, key == "fold", begun if size == WINDOW else None)
+        w = F.filter(w, lambda x: met(x["h"])) if few else w
         return F.transform(w, lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), F.lit(kind).alias("kind"), F.lit(size).alias("len")))
 
     hits = [found(key, k, n) for k, n in shapes for key in ({"t": ("temp", "fold")}.get(k) or (raw_of(k),))]
     hit = exploded(keyed(docs, "doc_id"), F.concat(*hits))
     raw = F.coalesce(*[F.when(F.col("w.kind") == k, F.slice(raw_of(k), F.col("w.pos") + 1, F.col("w.len"))) for k in sorted({k for k, _ in shapes})])
     hit = hit.select("doc_id", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.col("w.kind").alias("kind"), F.col("w.len").alias("len"), raw.alias("raw"))
+    if not few:  # rows whose window no item has go before any shuffle, as long as the hashes can be broadcast
+        hashes = materialise(own.select("h").distinct(), "item-hashes")
+        if hashes.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
+            hit = hit.join(F.broadcast(hashes), "h", "left_semi")
     pairs = hit.join(F.broadcast(own) if few else own, ["h", "kind", "len"])
     same = lambda f: f(F.col("raw")) == f(F.col("item_raw"))
     slots = F.filter(F.arrays_zip("raw", "item_raw"), lambda p: p["raw"].startswith(OPEN))
