@@ -42,7 +42,7 @@ TOKENISED_AT_ONCE = 6_000_000
 #: Rows (one for each partition and queue, 16 bytes) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_BASES = 500_000
 
-TOKENS = "doc_id long, queue int, part int, local_start long, n_tokens long, ids binary"
+TOKENS = "doc_id long, queue int, part int, seq long, local_start long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
 
 
@@ -90,13 +90,13 @@ def queue_of(docs: DataFrame) -> tuple[DataFrame, list[str | None]]:
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int, lower_words: bool = False) -> DataFrame:
-    """docs (doc_id, queue, text) to TOKENS; ids as the encoder's little-endian bytes, each text followed by end_id."""
+    """docs (doc_id, queue, text) to TOKENS; seq numbers a partition's rows; ids as the encoder's little-endian bytes, each text followed by end_id."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, part, given = encoder(path, lower_words), TaskContext.get().partitionId(), {}
+        enc, part, given, seen = encoder(path, lower_words), TaskContext.get().partitionId(), {}, 0
         for b in slices(batches, TOKENISED_AT_ONCE):
             ids, sizes = enc.encode(b.column("text"), end_id)
             starts = []
@@ -104,7 +104,8 @@ def tokenise(docs: DataFrame, path: str, end_id: int, lower_words: bool = False)
                 starts.append(given.get(q, 0))
                 given[q] = starts[-1] + n
             cells = binary_column(ids.view(np.uint8), np.concatenate([[0], np.cumsum(sizes)]) * enc.dtype.itemsize)
-            yield pa.record_batch([b.column("doc_id"), b.column("queue"), pa.array([part] * len(sizes), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes), cells], names=["doc_id", "queue", "part", "local_start", "n_tokens", "ids"])
+            yield pa.record_batch([b.column("doc_id"), b.column("queue"), pa.array([part] * len(sizes), pa.int32()), pa.array(seen + np.arange(len(sizes))), pa.array(starts, pa.int64()), pa.array(sizes), cells], names=["doc_id", "queue", "part", "seq", "local_start", "n_tokens", "ids"])
+            seen += len(sizes)
 
     return docs.select("doc_id", "queue", "text").mapInArrow(run, TOKENS)
 
@@ -116,7 +117,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, weights: dict[str, float]
     """
     spark = docs.sparkSession
     docs, names = queue_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source"))
-    tokens = materialise(tokenise(docs, path, end_id), "pack-tokens")
+    tokens = materialise(tokenise(docs, path, end_id).drop("seq"), "pack-tokens")
     parts = tokens.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     if not totals:

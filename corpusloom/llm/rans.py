@@ -234,15 +234,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1, lower_wo
     spark = docs.sparkSession
     raw = tokenise(docs_of(docs).withColumn("queue", F.lit(0)), path, end_id, lower_words)
 
-    def numbered(batches):
-        import pyarrow as pa
-
-        seen = 0
-        for b in batches:
-            yield pa.record_batch([b.column("part"), pa.array(range(seen, seen + b.num_rows), pa.int64()), b.column("doc_id"), b.column("n_tokens"), b.column("ids")], names=["part", "seq", "doc_id", "n_tokens", "ids"])
-            seen += b.num_rows
-
-    tokens = materialise(raw.mapInArrow(numbered, "part int, seq long, doc_id long, n_tokens long, ids binary"), "rans-tokens")
+    tokens = materialise(raw.select("part", "seq", "doc_id", "n_tokens", "ids"), "rans-tokens")
     vocabulary = max(encoder(path, lower_words).vocabulary, end_id + 1)
     t = Table.of(count_ids(tokens, vocabulary))
     write_blocks(in_order(tokens), t, folder)
