@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .best import Best
 
 K1, B = 1.5, 0.75
+#: Terms of all queries (one row for each query and term) that tasks get by value at most.
+BROADCAST_TERMS = 1_000_000
+#: Numbers in a block of the queries' matrix; rows of documents in a block.
+MATRIX, ROWS = 4_000_000, 512
 
 
 def terms(rows: DataFrame, key: str) -> DataFrame:
@@ -58,3 +66,94 @@ def min_max(hits: DataFrame, n_candidates: int | None = None) -> DataFrame:
 def top(hits: DataFrame, k: int, by: str = "score", key: str = "doc_id") -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(by), key)
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def collection(docs: DataFrame, names: DataFrame) -> tuple[int, float, dict[str, int]]:
+    """Documents, mean length and the document frequency of the terms in `names` (term), in one scan."""
+    d = docs.select(X.bag(F.col("text")).alias("bag"))
+    t = d.select(F.size("bag").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("bag"))).alias("term"))
+    none = names.sparkSession.createDataFrame([("",)], "term string")  # stands for the document itself
+    t = t.join(F.broadcast(names.unionByName(none)), "term", "left_semi")
+    rows = {r["term"]: r for r in t.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).collect()}
+    if "" not in rows:
+        return 0, 0.0, {}
+    n = rows[""]["df"]
+    return n, rows[""]["dl"] / n, {x: r["df"] for x, r in rows.items() if x}
+
+
+def query_blocks(asked: list[tuple[int, str, int]], number: dict[str, int], places: dict[int, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries' numbers, their terms' numbers and the matrix of counts (terms x queries), a block for each few queries."""
+    by: dict[int, list[tuple[int, int]]] = {}
+    for q, term, n in asked:
+        by.setdefault(places[q], []).append((number[term], n))
+    out, some, met = [], [], set()
+    for q in [*sorted(by), None]:
+        new = {t for t, _ in by[q]} if q is not None else set()
+        if some and (q is None or len(met | new) * (len(some) + 1) > MATRIX):
+            terms_of = np.array(sorted(met))
+            m = np.zeros((len(terms_of), len(some)))
+            for j, x in enumerate(some):
+                for t, n in by[x]:
+                    m[np.searchsorted(terms_of, t), j] = n
+            out.append((np.array(some), terms_of, m))
+            some, met = [], set()
+        if q is not None:
+            some.append(q)
+            met |= new
+    return out
+
+
+def top_hits(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank of the best k documents (doc_id, text) of each query (query_id, text), of the `allowed` (doc_id) only, if given.
+
+    Statistics are those of the whole collection. Queries whose terms fit `BROADCAST_TERMS` go to the tasks by value; a task scores its
+    documents in blocks, as matrix products, and gives its best k for each query. Weights have six decimals and are summed as whole
+    numbers, so scores don't depend on order. Null doc_ids are never hits. More queries are joined with postings.
+    """
+    spark = docs.sparkSession
+    counted = terms(queries, "query_id").groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    asked = [(r["query_id"], r["term"], r["n"]) for r in counted.limit(BROADCAST_TERMS + 1).collect()]
+    if len(asked) > BROADCAST_TERMS:
+        found = scores(queries, postings(docs, terms(queries, "query_id")))
+        found = found if allowed is None else found.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+        return top(found.filter("doc_id IS NOT NULL"), k)
+    names = sorted({t for _, t, _ in asked})
+    total, mean, df = collection(docs, spark.createDataFrame([(t,) for t in names], "term string"))
+    number, ids = {t: i for i, t in enumerate(names)}, sorted({q for q, _, _ in asked})
+    idf = np.log((total - np.array([df.get(t, 0) for t in names], float) + 0.5) / (np.array([df.get(t, 0) for t in names], float) + 0.5) + 1)
+    shared = spark.sparkContext.broadcast((asked, number, ids, idf))
+
+    def run(batches):
+        import pyarrow as pa
+
+        asked, number, ids, idf = shared.value
+        blocks = query_blocks(asked, number, {q: i for i, q in enumerate(ids)})
+        best, find = Best(len(ids), k), re.compile("[a-z0-9]+").findall
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                split = [find(t) for t in part.column("text").to_pylist()]
+                dl = np.array([len(x) for x in split], float)
+                own = [[number[t] for t in x if t in number] for x in split]
+                at = np.repeat(np.arange(len(own)), [len(x) for x in own]) * len(number) + np.array([t for x in own for t in x], np.int64)
+                cell, tf = np.unique(at, return_counts=True)
+                row, term = cell // len(number), cell % len(number)
+                weight = idf[term] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl[row] / mean))
+                whole = np.floor(weight * 1e6 + 0.5)
+                docs_of = part.column("doc_id").to_numpy(zero_copy_only=False)
+                for q, terms_of, m in blocks:
+                    place = np.minimum(np.searchsorted(terms_of, term), len(terms_of) - 1)
+                    hit = terms_of[place] == term
+                    used, col = np.unique(place[hit], return_inverse=True)
+                    a = np.zeros((len(own), len(used)))
+                    a[row[hit], col] = whole[hit]
+                    s = (a @ m[used]).T
+                    best.add(q, docs_of, np.where(s > 0, s, -np.inf))
+        q, doc, s = best.rows()
+        yield pa.record_batch([pa.array(np.array(ids, np.int64)[q]), pa.array(doc), pa.array(s / 1e6)], names=["query_id", "doc_id", "score"])
+
+    d = docs if allowed is None else docs.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+    d = d.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    if not names or not total:
+        return top(spark.createDataFrame([], "query_id long, doc_id long, score double"), k)
+    return top(d.mapInArrow(run, "query_id long, doc_id long, score double"), k)

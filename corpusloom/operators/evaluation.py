@@ -12,20 +12,26 @@ def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return run.join(qrels, ["query_id", "id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
 
 
+def everyone(run: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Queries of either, so that one that retrieved nothing counts, as 0."""
+    return run.select("query_id").unionByName(qrels.select("query_id")).distinct()
+
+
 def _at(df: DataFrame, ks: list[int]) -> DataFrame:
     return df.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
 
 
 def recall(run: DataFrame, qrels: DataFrame, ks: list[int], threshold: float = 1.0) -> DataFrame:
-    """query_id, k, recall; 0 for a query without relevant documents."""
+    """query_id, k, recall of all queries of run and qrels; 0 for a query without relevant documents or without hits."""
     total = qrels.groupBy("query_id").agg(F.count_if(F.col("relevance") >= threshold).alias("total"))
     found = _at(judged(run, qrels), ks).groupBy("query_id", "k").agg(F.count_if((F.col("rank") <= F.col("k")) & (F.col("relevance") >= threshold)).alias("found"))
-    return found.join(total, "query_id", "left").select("query_id", "k", F.round(F.when(F.col("total") > 0, F.col("found") / F.col("total")).otherwise(0.0), 6).alias("recall"))
+    return _at(everyone(run, qrels), ks).join(found, ["query_id", "k"], "left").join(total, "query_id", "left").select("query_id", "k", F.round(F.coalesce(F.when(F.col("total") > 0, F.col("found") / F.col("total")), F.lit(0.0)), 6).alias("recall"))
 
 
 def reciprocal_rank(run: DataFrame, qrels: DataFrame, threshold: float = 1.0) -> DataFrame:
     first = F.min(F.when(F.col("relevance") >= threshold, F.col("rank")))
-    return judged(run, qrels).groupBy("query_id").agg(F.round(F.coalesce(1.0 / first, F.lit(0.0)), 6).alias("rr"))
+    got = judged(run, qrels).groupBy("query_id").agg((1.0 / first).alias("rr"))
+    return everyone(run, qrels).join(got, "query_id", "left").select("query_id", F.round(F.coalesce("rr", F.lit(0.0)), 6).alias("rr"))
 
 
 def ndcg(run: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
@@ -33,7 +39,8 @@ def ndcg(run: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
     got = _at(judged(run, qrels), ks).groupBy("query_id", "k").agg(F.sum(F.when(F.col("rank") <= F.col("k"), gain("rank")).otherwise(0.0)).alias("dcg"))
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "id")
     best = _at(qrels.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(ks)), ks).groupBy("query_id", "k").agg(F.sum(F.when(F.col("_r") <= F.col("k"), gain("_r")).otherwise(0.0)).alias("ideal"))
-    return got.join(best, ["query_id", "k"], "left").select("query_id", "k", F.round(F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0), 6).alias("ndcg"))
+    both = _at(everyone(run, qrels), ks).join(got, ["query_id", "k"], "left").join(best, ["query_id", "k"], "left")
+    return both.select("query_id", "k", F.round(F.coalesce(F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")), F.lit(0.0)), 6).alias("ndcg"))
 
 
 def wide(recalls: DataFrame, ndcgs: DataFrame, rr: DataFrame, ks: list[int]) -> DataFrame:

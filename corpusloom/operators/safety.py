@@ -62,6 +62,7 @@ PII = {
     "PHONE": r"(?:\+?\d{1,3}[-.\s]?)?(?:\(?\d{2,4}\)?[-.\s]?)?\d{3,4}[-.\s]?\d{3,4}\b",
     "BANK_ACCOUNT": r"\b\d{9,18}\b",
 }
+# Digits of a match, limits of a query, what counts as an entity.
 _DIGITS = {"CREDIT_CARD": (13, 16), "PHONE": (7, 13), "BANK_ACCOUNT": (9, 18)}
 
 LIMITS = {"chars": 2000, "tokens": 500, "words": 300, "documents": 10}
@@ -124,10 +125,10 @@ def mask_text(text: str) -> tuple[str, list[str]]:
 
 
 def mask(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with `masked` and `pii_types`. Only rows that some pattern may match leave the JVM."""
+    """rows with `masked` and `pii_types`. Only rows that some pattern may match leave the JVM: each pattern needs a digit of any script or an @."""
     from pyspark.sql import types as T
 
-    suspect = F.col(text).rlike(r"\d{3}|@|[A-Z]{5}[0-9]{4}[A-Z]")
+    suspect = F.col(text).rlike(r"[\p{Nd}@]")
     kind = T.StructType([T.StructField("masked", T.StringType()), T.StructField("pii_types", T.ArrayType(T.StringType()))])
 
     @F.pandas_udf(kind)

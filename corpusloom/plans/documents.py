@@ -100,12 +100,14 @@ def doc_stats_by_type(spark, d):
     return docs(spark, d).groupBy("file_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT source AS doc, CAST(count(*) AS BIGINT) AS n_pages, CAST(sum(length(text)) AS BIGINT) AS n_chars, sha256(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS full_sha FROM documents WHERE trim(text) <> '' GROUP BY ALL")
+@query("""WITH r AS (SELECT source AS doc, doc_id // 4096 AS part, count(*) AS n, sum(length(text)) AS c, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents WHERE trim(text) <> '' GROUP BY ALL)
+SELECT doc, CAST(sum(n) AS BIGINT) AS n_pages, CAST(sum(c) AS BIGINT) AS n_chars, sha256(string_agg(h, '' ORDER BY part)) AS full_sha FROM r GROUP BY ALL""")
 def doc_page_totals(spark, d):
-    """A source's documents as the pages of one file."""
-    p = table(spark, d, "documents").filter(F.trim("text") != "")
-    full = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n")
-    return p.groupBy(F.col("source").alias("doc")).agg(F.count("*").alias("n_pages"), F.sum(F.length("text")).alias("n_chars"), F.sha2(full, 256).alias("full_sha"))
+    """A source's documents as the pages of one file. The file's hash is that of its parts' hashes, a part's that of its at most 4,096 pages' hashes: no text is gathered."""
+    p = table(spark, d, "documents").filter(F.trim("text") != "").select(F.col("source").alias("doc"), "doc_id", F.floor(F.col("doc_id") / 4096).alias("part"), F.length("text").alias("c"), F.sha2("text", 256).alias("h"))
+    joined = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), ""), 256).alias("h")
+    r = p.groupBy("doc", "part").agg(F.count("*").alias("n"), F.sum("c").alias("c"), joined("doc_id"))
+    return r.groupBy("doc").agg(F.sum("n").alias("n_pages"), F.sum("c").alias("n_chars"), joined("part").alias("full_sha"))
 
 
 @query(f"WITH {S.CHUNKS} SELECT doc_id, chunk_index, sha256(text) AS h FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -171,11 +173,10 @@ def query_sanitize(spark, d):
     return plain.unionByName(other).select("doc_id", clean.alias("clean")).filter(F.length("clean").between(1, 4000))
 
 
-@query(f"SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 2 AND x NOT IN {S.in_list(X.SPARSE_STOP_WORDS)}) AS terms FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(f"SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'), lambda x: regexp_full_match(x, '[a-z]{{2,}}') AND x NOT IN {S.in_list(X.SPARSE_STOP_WORDS)}) AS terms FROM benchmark")
 def bm25_query_tokens(spark, d):
-    """Terms of the queries in ASCII; others differ between engines in what a word boundary is."""
-    b = table(spark, d, "benchmark").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return b.select("item_id", X.without(X.letters_only(F.col("text")), X.SPARSE_STOP_WORDS).alias("terms"))
+    """Terms of all queries; a word with any letter outside a-z is none."""
+    return table(spark, d, "benchmark").select("item_id", X.without(X.letters_only(F.col("text")), X.SPARSE_STOP_WORDS).alias("terms"))
 
 
 @query(f"SELECT doc_id, greatest(1, CAST(round_even(({S.tokens('text')}) / 462.0, 0) AS INTEGER)) AS n_chunks FROM documents")

@@ -28,7 +28,7 @@ def found(spark, d):
 
 def hits(spark, d, k=50):
     """query_id, id, score, rank of the best k documents."""
-    return bm25.top(found(spark, d), k).withColumnRenamed("doc_id", "id")
+    return bm25.top_hits(docs(spark, d), asked(spark, d), k).withColumnRenamed("doc_id", "id")
 
 
 _TOP = f"WITH {S.BM25}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)"
@@ -78,7 +78,7 @@ def bm25_topk(spark, d):
 def bm25_allowlist(spark, d):
     """Statistics stay those of the whole collection."""
     allowed = table(spark, d, "labels").filter("quality = 1").select("doc_id")
-    return bm25.top(found(spark, d).join(allowed, "doc_id", "left_semi"), 10)
+    return bm25.top_hits(docs(spark, d), asked(spark, d), 10, allowed)
 
 
 @query(f"""WITH {S.BM25}, n AS (SELECT query_id, doc_id, score, CASE WHEN count(*) OVER w < (SELECT count(*) FROM documents) THEN 0 ELSE min(score) OVER w END AS lo, max(score) OVER w AS hi FROM scores WINDOW w AS (PARTITION BY query_id))

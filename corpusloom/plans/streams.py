@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import bm25, sessions, store
 from ..streaming import jobs
+from . import sqltext as S
 from .registry import query
 
 
@@ -24,16 +25,17 @@ def stream_dedup(spark, d):
     return jobs.drain(jobs.dedup(s, "ts", ["content_hash"], "3650 days").select("content_hash"))
 
 
-@query()
+def refreshed(before, batch):
+    """Term counts after a batch (doc_id, text): the old rows of its documents go, all of them, before the new ones come."""
+    new = bm25.term_frequency(batch)
+    return new if before is None else store.delete_ids(before, batch, "doc_id").unionByName(new)
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({S.bag('text')}) AS term FROM documents) GROUP BY ALL")
 def stream_index_refresh(spark, d):
     """Term counts of documents, batch by batch; a document that comes again replaces its rows."""
     s = jobs.source(spark, f"{d}/documents.parquet").select("doc_id", "text")
-
-    def step(before, batch):
-        new = bm25.term_frequency(batch)
-        return new if before is None else store.upsert(before, new, ["doc_id", "term"])
-
-    return jobs.drain_batches(s, step)
+    return jobs.drain_batches(s, refreshed)
 
 
 @query("SELECT user_id AS thread_id, arg_max(event_id, (ts, event_id)) AS checkpoint_id FROM events GROUP BY ALL")
