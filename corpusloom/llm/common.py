@@ -22,14 +22,28 @@ def scratch(spark: SparkSession, tag: str) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at once. A batch is held several times over, off the heap of the JVM and in the worker.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts pass through Arrow here: batches of the session are kept to ARROW_ROWS, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, tag)
     writer = df.write.option("compression", codec)
     if partition_by:

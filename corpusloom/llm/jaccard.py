@@ -66,7 +66,7 @@ def shingles(text: str | None, words: Words, k: int = WORDS) -> np.ndarray:
     own = text.encode().lower().split() if text else []
     if not own:
         return np.zeros(0, np.uint64)
-    if len(words) > 500_000:
+    if len(words) > 250_000:
         words.clear()
     h = np.fromiter(map(words.__getitem__, own), np.uint64, len(own))
     if len(h) < k:

@@ -230,13 +230,26 @@ def encoder(path: str, lower_words: bool = False) -> ChunkEncoder:
 
 
 def slices(batches: Iterator, bytes_at_once: int = 2_000_000) -> Iterator:
-    """Arrow batches cut so that a slice holds about so many bytes; a longer text is a slice of its own."""
-    for b in batches:
-        n = b.num_rows
-        per = max(1, int(n * bytes_at_once / max(1, b.nbytes)))
-        for i in range(0, n, per):
+    """Arrow batches put together or cut so that a slice holds about so many bytes; a longer text is a slice of its own."""
+    import pyarrow as pa
+
+    def even(held):
+        b = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        per = -(-b.num_rows // max(1, round(b.nbytes / bytes_at_once)))
+        for i in range(0, b.num_rows, per):
             yield b.slice(i, per)
 
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= bytes_at_once * 3 // 4:
+            yield from even(held)
+            held, size = [], 0
+    if held:
+        yield from even(held)
+
 
 def default_path(name: str) -> Callable[[], str]:
     import public_tokenizers
