@@ -3,9 +3,10 @@
 Every assistant turn becomes an example of its own: all preceding turns are its context and only
 its text (not the marks around it) bears loss. A row holds the turns that are new since the example before (`added`, ending with the
 head of the reply's turn), the reply, and the whole context as text if it has at most
-`inline_chars`. A longer context is what the conversation's rows before hold, joined in order, so
-that a conversation with a third of all rows makes rows in proportion. Turns after the last reply
-are a row without a reply.
+`inline_chars`. A longer one is given by reference, conv_id and prefix_chars: it is what the conversation's rows up to this one hold, joined in order, so
+that a long conversation makes rows in proportion to its turns, not to their square. `examples` reads the rows and
+yields every example whole. Turns after the last reply, and `PENDING_CHARS` of turns that have no reply yet, are rows without a reply.
+A conversation's rows go through one task in order, turn by turn; what it holds at once are its context and a batch.
 
 Template: `<|im_start|>ROLE\\nTEXT<|im_end|>\\n`. Inside roles and texts a backslash becomes two and
 `<|` becomes `<\\|`, so no text can hold a mark, and unescaping gives the text back.
@@ -22,11 +23,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import materialise, shuffle_partitions, small_batches, table
 from .tokens import slices
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 INLINE_CHARS = 100_000
+PENDING_CHARS = 1_000_000
 
 ROWS = "conv_id long, example long, n_turns long, prefix_chars long, context string, added string, reply string"
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -57,6 +59,7 @@ def by_conversation(rows: DataFrame, *order: str) -> DataFrame:
 
 def format_examples(conversations: DataFrame, inline_chars: int = INLINE_CHARS) -> DataFrame:
     """conversations (conv_id, turn, role, text) to ROWS; rows of a conversation follow each other in order."""
+    small_batches(conversations.sparkSession)
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
@@ -94,6 +97,8 @@ def format_examples(conversations: DataFrame, inline_chars: int = INLINE_CHARS)
                     emit(escape(text) + END)
                 else:
                     pending += head + escape(text) + END
+                    if len(pending) > PENDING_CHARS:
+                        emit(None)
             yield flush()
         if n_pending:
             emit(None)
@@ -102,8 +107,27 @@ def format_examples(conversations: DataFrame, inline_chars: int = INLINE_CHARS)
     return by_conversation(turns, "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, ROWS)
 
 
+def examples(rows: DataFrame) -> DataFrame:
+    """Every example of the formatted rows, whole: conv_id, example, context (all turns before the reply, and its head), reply."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        conv, parts = object(), []
+        for b in batches:
+            for c, n, added, reply in zip(*(b.column(x).to_pylist() for x in ("conv_id", "example", "added", "reply")), strict=True):
+                if c != conv:
+                    conv, parts = c, []
+                parts.append(added)
+                if reply is not None:
+                    yield pa.record_batch([pa.array([c], pa.int64()), pa.array([n], pa.int64()), pa.array(["".join(parts)], pa.string()), pa.array([reply], pa.string())], names=["conv_id", "example", "context", "reply"])
+                    parts.append(reply)
+
+    return by_conversation(rows, "prefix_chars").select("conv_id", "example", "added", "reply").mapInArrow(run, "conv_id long, example long, context string, reply string")
+
+
 def read_back(rows: DataFrame, ordered: bool = False) -> DataFrame:
-    """What a reader of the formatted rows finds. ordered: rows come as format_examples gives them."""
+    """What a reader of the formatted rows finds. ordered: rows come as format_examples gives them. formatted_chars counts a conversation's marked text once."""
 
     def run(batches):
         import pyarrow as pa
@@ -150,4 +174,4 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = F.lit("<|im_end|><|im_start|>assistant ok")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    return read_back(format_examples(talk.unionByName(own)), ordered=True)
+    return read_back(materialise(format_examples(talk.unionByName(own)), "chat-examples"))

@@ -1,15 +1,16 @@
 """WARC records with a Merkle fixity audit.
 
-Pages become WARC response records, in order of page_id, with their offsets in one archive. The
-tree over a replica has a leaf for each record (hash of its bytes and its offset range) and above it nodes
-over `FAN` consecutive children, each with the offset range it covers, up to one root. Trees are
-written, level by level. An audit compares the roots and descends only below nodes that differ, so
-it reads a few nodes of each level for each corrupt record.
+Pages become WARC response records, in order of page_id, with their offsets in one archive. The tree over a replica has
+leaves over ranges of `FAN` page_ids: the hash of their records' ids, hashes and offsets within the range. Above them
+are nodes over `FAN` neighbouring ranges, with the bytes each holds, up to one root. As ranges are of ids and
+offsets relative, a lost or added record changes its own branch alone. Trees are written, level by level. An
+audit compares the roots and descends only below nodes that differ; inside a leaf that differs records are compared by page_id.
 
 Only DataFrame functions. Offsets come from sums over ranges of page_id, trees from grouped levels.
 
-Null url or html: empty. Null page_id sorts first. Repeated rows: records of their own, ordered by their hash. Empty table: no rows.
-A record that a replica lacks or has more of is reported as missing or extra. Other columns are not read.
+Null url or html: empty. Very long html: hashed in its row, never gathered. Null page_id sorts first and belongs to the range of 0. Repeated rows and ties: records of
+their own, ordered by their hash. Empty table: no rows. Status of a record: ok; corrupt (the copy has other bytes under its page_id);
+missing (the copy has too few of its page_id); extra (too many: a row of the copy, with its place there). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,51 +50,89 @@ def leaves(records: DataFrame) -> DataFrame:
     local = dealt.withColumn("_row", F.row_number().over(w) - 1).withColumn("_end", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     base = running_total(dealt.groupBy("_range").agg(F.sum("length").alias("b"), F.count("*").alias("r")), "_range", ["b", "r"])
     at = F.col("_end") - F.col("length") + F.col("b_before")
-    return local.join(base, "_range").select((F.col("_row") + F.col("r_before")).alias("node"), at.alias("start"), (at + F.col("length")).alias("end"), F.sha2(F.concat_ws(":", at.cast("string"), (at + F.col("length")).cast("string"), "sha256"), 256).alias("hash"), "page_id", "sha256")
-
-
-def tree(records: DataFrame, fan: int = FAN) -> DataFrame:
-    """All levels of a replica's tree, written: (level, node, start, end, hash), page_id and sha256 at level 0."""
-    level = materialise(leaves(records), "warc-leaves")
-    levels = [level.withColumn("level", F.lit(0))]
-    top = level.agg(F.max("node")).first()[0] or 0
-    while top > 0:
-        level = level.groupBy(F.floor(F.col("node") / fan).alias("node")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"]), "").alias("children"))
-        level = level.select("node", "start", "end", F.sha2(F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"), "children"), 256).alias("hash"))
-        top //= fan
-        levels.append(level.withColumn("level", F.lit(len(levels))).withColumns({"page_id": F.lit(None).cast("long"), "sha256": F.lit(None).cast("string")}))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return materialise(out, "warc-tree", partition_by=["level"])
-
-
-def audit(a: DataFrame, b: DataFrame, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
-    """Nodes that were compared, and the leaves of both trees that differ."""
-    spark = a.sparkSession
-    top = max(r[0] or 0 for r in (a.agg(F.max("level")).first(), b.agg(F.max("level")).first()))
-    parents, seen = None, None
-    for k in range(top, -1, -1):
-        pick = lambda t: t.filter(F.col("level") == k).select("node", "start", "end", "hash", "page_id", "sha256")  # noqa: B023, E731
-        x, y = pick(a), pick(b)
+    return local.join(base, "_range").select(at.alias("start"), (at + F.col("length")).alias("end"), "page_id", "sha256")
+
+
+def _bits(fan: int) -> int:
+    if fan & (fan - 1):
+        raise ValueError("the fan must be a power of two")
+    return fan.bit_length() - 1
+
+
+def _grouped(rows: DataFrame, *of: str) -> DataFrame:
+    """node, bytes, hash: of the ordered columns of each node's rows."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(*of))), lambda x: F.concat_ws(":", *[F.coalesce(x[c].cast("string"), F.lit("")) for c in of]))
+    return rows.groupBy("node").agg(F.sum("bytes").alias("bytes"), F.sha2(F.array_join(listed, ";"), 256).alias("hash"))
+
+
+def tree(records: DataFrame, fan: int, depth: int) -> DataFrame:
+    """The nodes of a replica, written: (level, node, bytes, hash); level 0 has the leaves, level depth + 1 the root.
+
+    records: (page_id, start, end, sha256), as `leaves` gives them.
+    """
+    bits = _bits(fan)
+    rows = records.select(F.shiftright(F.coalesce("page_id", F.lit(0)), bits).alias("node"), "page_id", "sha256", "start", (F.col("end") - F.col("start")).alias("bytes"))
+    first = rows.groupBy("node").agg(F.min("start").alias("first"))
+    level = _grouped(rows.join(first, "node").withColumn("at", F.col("start") - F.col("first")), "at", "page_id", "sha256", "bytes")
+    out = None
+    for k in range(depth + 2):
+        if k:
+            up = F.shiftright("child", bits) if k <= depth else F.lit(0).cast("long")
+            level = _grouped(level.withColumnRenamed("node", "child").withColumn("node", up), "child", "bytes", "hash")
+        level = materialise(level, f"warc-level-{k}")
+        one = level.withColumn("level", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def depth_of(*records: DataFrame, fan: int = FAN) -> int:
+    """Levels between leaves and root that trees over all of these records need."""
+    ends = [r.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first() for r in records]
+    lo, hi = min((min(r["lo"], 0) for r in ends if r["lo"] is not None), default=0), max((max(r["hi"], 0) for r in ends if r["hi"] is not None), default=0)
+    bits, k = _bits(fan), 0
+    while (hi >> bits * (k + 1)) - (lo >> bits * (k + 1)) >= fan:
+        k += 1
+    return k
+
+
+def audit(a: DataFrame, b: DataFrame, depth: int, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """Nodes that were compared, and the leaves (node) that differ."""
+    bits, parents, seen = _bits(fan), None, None
+    for k in range(depth + 1, -1, -1):
+        x, y = (t.filter(F.col("level") == k).select("node", "bytes", "hash") for t in (a, b))
         if parents is not None:
-            up = parents.withColumnRenamed("node", "_up")
-            x, y = (t.withColumn("_up", F.floor(F.col("node") / fan)).join(up, "_up", "left_semi").drop("_up") for t in (x, y))
-        both = x.alias("x").join(y.alias("y"), F.col("x.node") == F.col("y.node"), "full_outer").select(F.coalesce("x.node", "y.node").alias("node"), (~F.col("x.hash").eqNullSafe(F.col("y.hash"))).alias("differs"), *[F.col(f"x.{c}").alias(c) for c in ("start", "end", "page_id", "sha256")], *[F.col(f"y.{c}").alias(f"other_{c}") for c in ("start", "end", "page_id", "sha256")])
-        both = materialise(both.withColumn("level", F.lit(k)), f"warc-audit-{k}")
-        seen = both.select("level", "node", "differs") if seen is None else seen.unionByName(both.select("level", "node", "differs"))
-        parents = both.filter("differs").select("node")
-    return seen, both.filter("differs")
+            up = F.shiftright("node", bits) if k < depth else F.lit(0).cast("long")
+            x, y = (t.withColumn("up", up).join(parents, "up", "left_semi").drop("up") for t in (x, y))
+        both = x.alias("x").join(y.alias("y"), F.col("x.node") == F.col("y.node"), "full_outer")
+        both = materialise(both.select(F.lit(k).alias("level"), F.coalesce("x.node", "y.node").alias("node"), (~F.col("x.hash").eqNullSafe(F.col("y.hash"))).alias("differs")), f"warc-audit-{k}")
+        seen = both if seen is None else seen.unionByName(both)
+        parents = both.filter("differs").select(F.col("node").alias("up"))
+    return seen, both.filter("differs").select("node")
 
 
 def scan(pages: DataFrame, copy: DataFrame, fan: int = FAN) -> DataFrame:
-    """Every record of the archive with its place, hash and what the audit of `copy` found."""
-    a, b = tree(replica(pages), fan), tree(replica(copy), fan)
-    _, bad = audit(a, b, fan)
-    status = F.when(F.col("other_page_id").isNull() & F.col("other_start").isNull(), "missing").when(F.col("start").isNull(), "extra").when(~F.col("page_id").eqNullSafe(F.col("other_page_id")), "other record").when(F.col("sha256") == F.col("other_sha256"), "moved").otherwise("corrupt")
-    found = bad.select("node", status.alias("status"), F.coalesce("page_id", "other_page_id").alias("page_id"), F.coalesce("start", "other_start").alias("start"), F.coalesce("end", "other_end").alias("end"), F.coalesce("sha256", "other_sha256").alias("sha256"))
-    good = a.filter("level = 0").select("node", "page_id", "start", "end", "sha256").join(found.select("node"), "node", "left_anti").withColumn("status", F.lit("ok"))
-    return good.unionByName(found)
+    """Every record of the archive with its place, hash and what the audit of `copy` found; extra records with their place in the copy."""
+    a, b = (materialise(leaves(replica(x)), "warc-leaves") for x in (pages, copy))
+    depth = depth_of(a, b, fan=fan)
+    _, bad = audit(tree(a, fan, depth), tree(b, fan, depth), depth, fan)
+    node = F.shiftright(F.coalesce("page_id", F.lit(0)), _bits(fan))
+    columns = ["page_id", "start", "end", "sha256"]
+    good = a.withColumn("node", node).join(bad, "node", "left_anti").select(*columns, F.lit("ok").alias("status"))
+
+    def numbered(t, *by):
+        return t.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("sha256", "start")))
+
+    x, y = (materialise(numbered(t.withColumn("node", node).join(bad, "node", "left_semi").select(*columns), "page_id", "sha256"), "warc-differing") for t in (a, b))
+    same = lambda s, t, *on: [s[c].eqNullSafe(t[c]) for c in on]
+    kept = x.join(y, same(x, y, "page_id", "sha256", "nth"), "left_semi").select(*columns, F.lit("ok").alias("status"))
+    lost = numbered(x.join(y, same(x, y, "page_id", "sha256", "nth"), "left_anti").drop("nth"), "page_id")
+    new = numbered(y.join(x, same(y, x, "page_id", "sha256", "nth"), "left_anti").drop("nth"), "page_id")
+    lost, new = lost.alias("l"), new.alias("n")
+    met = lost.join(new, F.col("l.page_id").eqNullSafe(F.col("n.page_id")) & (F.col("l.nth") == F.col("n.nth")), "full_outer")
+    status = F.when(F.col("n.start").isNull(), "missing").when(F.col("l.start").isNull(), "extra").otherwise("corrupt")
+    own = F.col("l.start").isNotNull()
+    met = met.select(*[F.when(own, F.col(f"l.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in columns], status.alias("status"))
+    return good.unionByName(kept).unionByName(met)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,6 +281,22 @@ def test_chat(spark):
     assert chat.format_examples(d.filter("false")).count() == 0
 
 
+def test_chat_examples_are_whole(spark, monkeypatch):
+    """Each example has all turns before it as context, however long; turns without a reply are cut into bounded rows."""
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"turn {t} " * 20) for t in range(10)] + [(2, t, "user", "never answered " * 10) for t in range(30)] + [(2, 30, "assistant", "now")]
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    for inline, pending in ((100_000, 1_000_000), (50, 500)):
+        monkeypatch.setattr(chat, "PENDING_CHARS", pending)
+        f = chat.format_examples(d, inline)
+        got = {(r.conv_id, r.example): r for r in chat.examples(f).collect()}
+        assert sorted(got) == [*((1, i) for i in range(5)), (2, 0)]
+        for (c, n), r in got.items():
+            before = [x for x in rows if x[0] == c][: 2 * n + 1 if c == 1 else 30]
+            assert r.context == "".join(f"<|im_start|>{x[2]}\n{x[3]}<|im_end|>\n" for x in before) + "<|im_start|>assistant\n"
+        assert {r.conv_id: r.n_turns for r in chat.read_back(f).collect()} == {1: 10, 2: 31}
+        assert max(len(r.added) for r in f.collect()) < (1_000_000 if pending > 500 else 1000)
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, "Tom Miller has 12 kg of apples and sells 5 kg of them at the old market near the river today"), (2, "the quick brown fox jumps over the lazy dog and runs far away from here again"), (3, "too short"), (4, None)]
     b = spark.createDataFrame(items, "item_id long, text string")
@@ -326,20 +342,38 @@ def test_warc(spark):
     p = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, node int").repartition(4)
     hurt = p.withColumn("html", F.when(F.col("page_id").isin(17, 250), F.translate("html", "y", "z")).otherwise(F.col("html")))
     got = warc.scan(p, hurt, 4).collect()
-    assert len(got) == len(rows) and sorted(r.page_id for r in got if r.status != "ok") == [17, 250]
+    assert len(got) == len(rows) and sorted(r.page_id for r in got if r.status != "ok") == [17, 250] and {r.status for r in got} == {"ok", "corrupt"}
     at = 0
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
         at = r.end
-    a, b = warc.tree(warc.replica(p), 4), warc.tree(warc.replica(hurt), 4)
-    seen, bad = warc.audit(a, b, 4)
-    assert bad.count() == 2 and seen.count() <= 2 * 4 * 6 + 1  # two branches, not the whole tree
-    assert warc.audit(a, a, 4)[0].count() == 1
-    gone = warc.scan(p, p.filter("page_id < 299 OR page_id IS NULL"), 4)
-    assert {r.page_id for r in gone.collect() if r.status == "missing"} == {299, 300}
+    a, b = (warc.leaves(warc.replica(x)) for x in (p, hurt))
+    k = warc.depth_of(a, b, fan=4)
+    a, b = warc.tree(a, 4, k), warc.tree(b, 4, k)
+    seen, bad = warc.audit(a, b, k, 4)
+    assert sorted(r.node for r in bad.collect()) == [17 // 4, 250 // 4]
+    assert seen.count() <= 2 * 4 * (k + 1) + 1  # two branches, not the whole tree
+    assert warc.audit(a, a, k, 4)[0].count() == 1
     assert warc.scan(p.filter("false"), p.filter("false")).count() == 0
 
 
+def test_warc_lost_added_and_swapped_records(spark):
+    """Exactly the records that a copy lacks, has more of, or has with other bytes, wherever they stand."""
+    rows = [(i * 3 - 60, f"http://x/{i}", f"<p>{i}</p>" * (i % 5 + 1)) for i in range(300)] + [(None, "n", "one"), (None, "n", "two"), (9, "http://x/23", "again")]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+
+    def found(copy):
+        return sorted((str(r.page_id), r.status) for r in warc.scan(p, copy, 4).collect() if r.status != "ok")
+
+    assert found(p.filter("page_id <> 15 OR page_id IS NULL")) == [("15", "missing")]
+    assert found(p.filter("html <> 'two'")) == [("None", "missing")]
+    extra = spark.createDataFrame([(16, "http://new", "new"), (9, "http://x/23", "again")], p.schema)
+    assert found(p.unionByName(extra)) == [("16", "extra"), ("9", "extra")]
+    swapped = p.withColumn("html", F.when(F.col("page_id") == 30, "<p>31</p><p>31</p>").when(F.col("page_id") == 33, "<p>30</p>").otherwise(F.col("html")))
+    assert found(swapped) == [("30", "corrupt"), ("33", "corrupt")]
+    assert len(found(p.filter("false"))) == len(rows) and {s for _, s in found(p.filter("false"))} == {"missing"}
+
+
 def components(texts):
     sets = []
     for t in texts:
