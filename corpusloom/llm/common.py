@@ -110,3 +110,12 @@ def range_number(col: Column, points: list[int]) -> Column:
 def docs_of(docs: DataFrame) -> DataFrame:
     """The columns every operator reads; anything else in the table may clash with working names and stays out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def small_table(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A few rows of the driver's as a frame, by Arrow: rows as Python objects would start Python workers of another kind on the executors."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return spark.createDataFrame(pa.table(columns, schema=to_arrow_schema(_parse_datatype_string(schema))))

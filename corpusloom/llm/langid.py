@@ -167,6 +167,7 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                     total.setdefault(g, Profile()).add(ids, n)
         for g, x in total.items():
             yield pa.record_batch([pa.array([g] * DIMENSIONS, pa.string()), pa.array(range(DIMENSIONS), pa.int32()), pa.array(x.vector(), pa.float64())], names=["lang", "dim", "x"])
+        _STATE.clear()  # workers go on to other stages
 
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", F.col("lang").cast("string").alias("lang"))
     names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
@@ -194,6 +195,7 @@ def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray]) -> DataFram
             pred = [names[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), some.tolist(), strict=True)]
             score = np.where(some, np.clip(cos[np.arange(len(v)), best], 0, 1), 0).astype(np.float64)
             yield pa.record_batch([b.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        _STATE.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -213,6 +215,7 @@ def keep_known(docs: DataFrame, learned: tuple[list[str], np.ndarray], min_score
             v = vectors(b.column("text").to_pylist())
             best = (v @ protos.T).max(axis=1) if len(names) else np.ones(len(v))
             yield b.select(["id", "hash"]).filter(pa.array(~(v.any(axis=1) & (best >= min_score))))
+        _STATE.clear()
 
     text = F.col("text").cast("string")
     read = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, running_total, table
+from .common import materialise, running_total, small_table, table
 from .tokens import binary_column, default_path, encoder, slices
 
 SEQUENCE_TOKENS = 1024
@@ -37,7 +37,7 @@ WINDOW_TOKENS = 64 * SEQUENCE_TOKENS
 LEAST_QUANTUM = 1024
 
 #: Bytes of text that a worker tokenises at once (or one longer text); it takes about 20 times as many.
-TOKENISED_AT_ONCE = 6_000_000
+TOKENISED_AT_ONCE = 4_000_000
 
 #: Rows (one for each partition and queue, 16 bytes) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_BASES = 500_000
@@ -84,7 +84,7 @@ def queue_of(docs: DataFrame) -> tuple[DataFrame, list[str | None]]:
     """docs with a number for each source in `queue`, and the sources in that order. Null is a source of its own."""
     named = docs.withColumn("source", F.col("source").cast("string"))
     names = [r[0] for r in named.select("source").distinct().orderBy(F.col("source").asc_nulls_first()).collect()]
-    numbers = docs.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "_source string, queue int")
+    numbers = small_table(docs.sparkSession, {"_source": names, "queue": list(range(len(names)))}, "_source string, queue int")
     numbers = F.broadcast(numbers) if len(names) <= BROADCAST_BASES else numbers
     return named.join(numbers, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), names
 

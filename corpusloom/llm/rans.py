@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of, materialise, range_number, running_total, scratch, shuffle_partitions, split_points, table
+from .common import docs_of, materialise, range_number, running_total, scratch, shuffle_partitions, small_table, split_points, table
 from .packing import BROADCAST_BASES, tokenise
 from .tokens import default_path, encoder, utf8_parts
 
@@ -239,8 +239,8 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1, lower_wo
     t = Table.of(count_ids(tokens, vocabulary))
     write_blocks(in_order(tokens), t, folder)
     used = np.flatnonzero(t.freq)
-    spark.createDataFrame([(int(i), int(t.freq[i])) for i in used], "id int, freq long").coalesce(1).write.parquet(f"{folder}/table")
-    spark.createDataFrame([(os.path.basename(path), end_id, PRECISION, vocabulary)], META).coalesce(1).write.parquet(f"{folder}/meta")
+    small_table(spark, {"id": used.tolist(), "freq": t.freq[used].tolist()}, "id int, freq long").coalesce(1).write.parquet(f"{folder}/table")
+    small_table(spark, {"tokenizer": [os.path.basename(path)], "end_id": [end_id], "precision": [PRECISION], "vocabulary": [vocabulary]}, META).coalesce(1).write.parquet(f"{folder}/meta")
 
 
 def read_table(spark: SparkSession, folder: str) -> Table:
