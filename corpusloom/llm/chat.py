@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, small_batches, table
+from .common import lean, materialise, shuffle_partitions, small_batches, table
 from .tokens import slices
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -104,7 +104,7 @@ def format_examples(conversations: DataFrame, inline_chars: int = INLINE_CHARS)
             emit(None)
         yield flush()
 
-    return by_conversation(turns, "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, ROWS)
+    return by_conversation(turns, "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(lean(run), ROWS)
 
 
 def examples(rows: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def examples(rows: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array([c], pa.int64()), pa.array([n], pa.int64()), pa.array(["".join(parts)], pa.string()), pa.array([reply], pa.string())], names=["conv_id", "example", "context", "reply"])
                     parts.append(reply)
 
-    return by_conversation(rows, "prefix_chars").select("conv_id", "example", "added", "reply").mapInArrow(run, "conv_id long, example long, context string, reply string")
+    return by_conversation(rows, "prefix_chars").select("conv_id", "example", "added", "reply").mapInArrow(lean(run), "conv_id long, example long, context string, reply string")
 
 
 def read_back(rows: DataFrame, ordered: bool = False) -> DataFrame:
@@ -167,7 +167,7 @@ def read_back(rows: DataFrame, ordered: bool = False) -> DataFrame:
 
     if not ordered:
         rows = by_conversation(rows, "prefix_chars")
-    return rows.select("conv_id", "prefix_chars", "context", "added", "reply").mapInArrow(run, READ)
+    return rows.select("conv_id", "prefix_chars", "context", "added", "reply").mapInArrow(lean(run), READ)
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

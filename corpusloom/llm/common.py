@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +43,29 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_ROWS)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of Arrow batches whose worker, which Spark keeps for later stages, gives free memory back when a task ends."""
+
+    @wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
+def give_back() -> None:
+    """Memory that Arrow and the C library hold free goes back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

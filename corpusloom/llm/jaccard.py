@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, docs_of, few_or_shuffled, materialise, table
+from .common import checkpointed, docs_of, few_or_shuffled, lean, materialise, table
 from .tokens import slices
 
 WORDS = 5
@@ -138,7 +138,7 @@ def count_shingles(docs: DataFrame, bucket_bits: int, filter_bits: int, frequent
         top = top[np.argsort(-total[top], kind="stable")[: max(16, frequent >> bucket_bits)]]
         return pa.table([t.column("bucket")[:1], pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([key[top].astype("<u4").tobytes()], pa.binary()), pa.array([total[top].astype("<i8").tobytes()], pa.binary())], names=["bucket", "bits", "key", "df"])
 
-    rows = docs.select("text").mapInArrow(packs, "bucket int, low binary, n binary").groupBy("bucket").applyInArrow(lambda t: count(t), "bucket int, bits binary, key binary, df binary").collect()
+    rows = docs.select("text").mapInArrow(lean(packs), "bucket int, low binary, n binary").groupBy("bucket").applyInArrow(lambda t: count(t), "bucket int, bits binary, key binary, df binary").collect()
     bits = np.zeros(filter_bits // 8, np.uint8)
     keys, dfs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for r in rows:
@@ -206,7 +206,9 @@ def prefixes(docs: DataFrame, bucket_bits: int, filter_bits: int, learned) -> Da
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.record_batch([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=["doc_id", "n", "fp", "rid", "match", "prefix", "tokens"])
 
-    return materialise(docs.mapInArrow(run, schema), "jaccard-sets", "uncompressed")
+    written = materialise(docs.mapInArrow(lean(run), schema), "jaccard-sets", "uncompressed")
+    shared.destroy()
+    return written
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -308,7 +310,7 @@ def block_links(open_large: DataFrame, sets: DataFrame) -> DataFrame:
                         u.append(ra[j]), v.append(rb[k])
                 yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(lean(run), "u long, v long")
 
 
 def link_components(sets: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_or_shuffled, materialise, table
+from .common import few_or_shuffled, lean, materialise, table
 from .tokens import slices
 
 DIMENSIONS = 1024
@@ -173,7 +173,7 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     place = {n: i for i, n in enumerate(names)}
     out = np.zeros((len(names), DIMENSIONS))
-    for r in known.mapInArrow(bundle, "lang string, dim int, x double").groupBy("lang", "dim").agg(F.sum("x").alias("x")).toLocalIterator():
+    for r in known.mapInArrow(lean(bundle), "lang string, dim int, x double").groupBy("lang", "dim").agg(F.sum("x").alias("x")).toLocalIterator():
         out[place[r["lang"]], r["dim"]] = r["x"]
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return names, np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
@@ -197,7 +197,7 @@ def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray]) -> DataFram
             yield pa.record_batch([b.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
         _STATE.clear()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, learned: tuple[list[str], np.ndarray], min_score: float) -> DataFrame:
@@ -219,7 +219,7 @@ def keep_known(docs: DataFrame, learned: tuple[list[str], np.ndarray], min_score
 
     text = F.col("text").cast("string")
     read = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    gone = read.mapInArrow(run, "id long, hash long").distinct()
+    gone = read.mapInArrow(lean(run), "id long, hash long").distinct()
     gone = few_or_shuffled(materialise(gone, "language-rejects"))
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["hash"]), "left_anti")
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import lean, materialise, table
 from .tokens import slices
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -119,7 +119,7 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
             once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
         return pa.table([t.column("segment")[:1], t.column("part")[:1], pa.array([zlib.compress(once.tobytes(), 1)], pa.binary()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["segment", "part", "once", "twice"])
 
-    parts = docs.select("text").mapInArrow(build, schema)
+    parts = docs.select("text").mapInArrow(lean(build), schema)
     some = parts.groupBy("segment", F.pmod("part", F.lit(256))).applyInArrow(lambda t: merge(t), schema)
     full = some.groupBy("segment").applyInArrow(lambda t: merge(t), schema)
     out = np.zeros(bits // 8, np.uint8)
@@ -148,7 +148,7 @@ def confirmed_repeats(docs: DataFrame, min_chars: int, min_docs: int, bits: int)
                     hashes += [x] * len(hit)
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], names=["key", "doc_id", "text_hash"])
 
-    found = materialise(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(suspects, "key binary, doc_id long, text_hash long"), "line-suspects")
+    found = materialise(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(suspects), "key binary, doc_id long, text_hash long"), "line-suspects")
     shared.destroy()
     sure = found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
     return materialise(sure, "line-repeats"), found
@@ -201,7 +201,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: i
                 texts.append(kept), n.append(len(lines)), dropped.append(len(gone)), sha.append(hashlib.sha256(kept.encode()).hexdigest())
             yield pa.record_batch([b.column("doc_id"), pa.array(texts, pa.string()), b.column("rest"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "text", "rest", *new])
 
-    return source.mapInArrow(cut, schema).select("doc_id", "text", *[F.col("rest").getField(c).alias(c) for c in rest], *new)
+    return source.mapInArrow(lean(cut), schema).select("doc_id", "text", *[F.col("rest").getField(c).alias(c) for c in rest], *new)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

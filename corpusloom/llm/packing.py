@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, running_total, small_table, table
+from .common import lean, materialise, running_total, small_table, table
 from .tokens import binary_column, default_path, encoder, slices
 
 SEQUENCE_TOKENS = 1024
@@ -107,7 +107,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, lower_words: bool = False)
             yield pa.record_batch([b.column("doc_id"), b.column("queue"), pa.array([part] * len(sizes), pa.int32()), pa.array(seen + np.arange(len(sizes))), pa.array(starts, pa.int64()), pa.array(sizes), cells], names=["doc_id", "queue", "part", "seq", "local_start", "n_tokens", "ids"])
             seen += len(sizes)
 
-    return docs.select("doc_id", "queue", "text").mapInArrow(run, TOKENS)
+    return docs.select("doc_id", "queue", "text").mapInArrow(lean(run), TOKENS)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, weights: dict[str, float] | None = None, window_tokens: int = WINDOW_TOKENS, sequence_tokens: int = SEQUENCE_TOKENS, least_quantum: int = LEAST_QUANTUM) -> DataFrame:
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, weights: dict[str, float]
             cols = list(zip(*out, strict=True)) or [[]] * 8
             yield pa.record_batch([pa.array(c, pa.int64() if i < 7 else pa.int32()) for i, c in enumerate(cols)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"])
 
-    return placed.select("doc_id", "queue", "local_start", "n_tokens", "base", "ids").mapInArrow(cut, PIECES)
+    return placed.select("doc_id", "queue", "local_start", "n_tokens", "base", "ids").mapInArrow(lean(cut), PIECES)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

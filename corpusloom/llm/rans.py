@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of, materialise, range_number, running_total, scratch, shuffle_partitions, small_table, split_points, table
+from .common import docs_of, lean, materialise, range_number, running_total, scratch, shuffle_partitions, small_table, split_points, table
 from .packing import BROADCAST_BASES, tokenise
 from .tokens import default_path, encoder, utf8_parts
 
@@ -151,7 +151,7 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids", "n_tokens").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids", "n_tokens").mapInArrow(lean(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(vocabulary, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -208,7 +208,7 @@ def write_blocks(rows: DataFrame, t: Table, folder: str, block_tokens: int = BLO
         if docs:
             yield block()
 
-    rows.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    rows.mapInArrow(lean(run), BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
 def read_blocks(blocks: DataFrame, t: Table) -> DataFrame:
@@ -226,7 +226,7 @@ def read_blocks(blocks: DataFrame, t: Table) -> DataFrame:
                 starts = ends - np.array(sizes)
                 yield pa.record_batch([pa.array([part] * len(docs), pa.int32()), pa.array([first] * len(docs), pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array([zlib.crc32(x[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64())], names=["part", "first_seq", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
-    return blocks.select("part", "first_seq", "payload").mapInArrow(run, READ)
+    return blocks.select("part", "first_seq", "payload").mapInArrow(lean(run), READ)
 
 
 def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1, lower_words: bool = True) -> None:
