@@ -5,6 +5,10 @@ language ID drops texts without a recognisable language, line dedup cuts repeate
 join keeps the document with the smallest id of each group of near duplicates, decontamination
 drops documents that hold benchmark passages, packing makes sequences with the sources' mixture.
 Rows without a doc_id stay in all stages that decide by doc_id.
+
+Null texts and texts without a letter go in the first stage. Very long texts are read whole everywhere. Repeated rows are decided
+alike; of equal texts with different doc_ids the smallest id stays, rows that share one doc_id stay or go together.
+An empty table gives an empty one, with its columns. Further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ MIN_LANGUAGE_SCORE = 0.05
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the texts that get no language, or none with a cosine of MIN_LANGUAGE_SCORE; prototypes come from the labelled ones of them."""
     return keep_known(docs, prototypes(docs), MIN_LANGUAGE_SCORE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with lines of 20 or more characters that at least 3 documents hold kept in the last of them only; n_chars follows the text."""
     cut = dedup_lines(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -36,16 +42,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with the smallest doc_id of each group of near duplicates; documents without words are in no group and stay."""
     gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = few_or_shuffled(materialise(gone, "near-copies"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a benchmark passage, re-parameterised or not."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences, as op2_packing returns them."""
     return pack(docs, default_path("byte_bpe_50k.json"))
 
 
