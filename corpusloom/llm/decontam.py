@@ -218,7 +218,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones. Rows without a doc_id stay."""
     bad = matches(docs, benchmark).select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().withColumnRenamed("doc_id", "_bad")
     bad = few_or_shuffled(materialise(bad, "contaminated"))
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -484,15 +484,49 @@ def test_sharding(docs, texts, empty, bins):
     assert sharding.shard(empty, 6).count() == 0
 
 
-def test_pipeline(spark, docs, tmp_path):
+def test_pipeline(spark, docs, texts, tmp_path):
+    """Every stage against a plain one on its own input, with nulls, empty and long texts, ties, copies and clashing names; then an empty table."""
     import corpus_pipeline as p
 
-    docs.drop("n_lines", "token", "part").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, "nothing in here is in any of the documents at all my friend")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    def key(x):
+        return re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+
+    clash = {c: F.lit("c") for c in ("_gone", "_bad", "id", "hash", "component_id", "drop", "rest")}
+    docs.drop("n_lines", "token", "part").withColumns(clash).write.parquet(str(tmp_path / "documents.parquet"))
+    passage = " ".join(max(texts[-40:], key=lambda t: len(t or "")).split()[10:45])
+    items = [(1, "nothing in here is in any of the documents at all my friend"), (2, passage), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert [n for n, _ in p.STAGES] == ["language", "lines", "near", "benchmark", "packing"]
     d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    first, now = d, {r.doc_id: r.text for r in d.collect()}
+    langs = {r.doc_id: r.lang for r in d.collect()}
     for n, f in p.STAGES:
         out = f(spark, d, str(tmp_path))
-        assert n == "packing" or out.columns == d.columns
-        d = out
-    assert d.count() > 0
+        if n == "packing":
+            enc = encoder(default_path("byte_bpe_50k.json")).tokenizer
+            check_pieces(out.collect(), {i: [*enc.encode(t or "", add_special_tokens=False).ids, 0] for i, t in now.items()}, packing.SEQUENCE_TOKENS)
+            break
+        out.write.parquet(str(tmp_path / n))
+        d = spark.read.parquet(str(tmp_path / n))
+        assert d.columns == first.columns
+        if n == "language":
+            keep = {i for i, g, c in plain_langid([(i, t, langs[i]) for i, t in now.items()]) if g != "und" and c >= p.MIN_LANGUAGE_SCORE}
+            want = {i: t for i, t in now.items() if i in keep}
+        elif n == "lines":
+            holders = {}
+            for i, t in now.items():
+                for k in {key(x) for x in (t or "").split("\n")}:
+                    holders.setdefault(k, []).append(i)
+            gone = {k: max(v) for k, v in holders.items() if len(v) >= 3 and len(k) >= 20}
+            want = {i: "\n".join(x for x in (t or "").split("\n") if gone.get(key(x), i) == i) for i, t in now.items()}
+            assert want != now and all(r.n_chars == len(r.text) for r in d.collect())
+        elif n == "near":
+            ids = sorted(now)
+            want = {i: now[i] for k, (i, (_, c)) in enumerate(zip(ids, components([now[i] for i in ids]), strict=True)) if c == k}
+        else:
+            want = {i: t for i, t in now.items() if passage not in t}
+        assert len(want) < len(now) or n == "lines"
+        assert {r.doc_id: r.text for r in d.collect()} == want, n
+        now = want
+    for n, f in p.STAGES:
+        assert f(spark, first.filter("false"), str(tmp_path)).count() == 0, n
