@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, warc
+from . import line_dedup, url_filter, warc
 from .chat import op5_chat
 from .decontam import op6_decontam
 from .fingerprint import op3_fingerprint
@@ -12,6 +12,7 @@ from .line_dedup import op1_line_dedup
 from .packing import op2_packing
 from .rans import op9_rans
 from .sharding import op10_sharding
+from .url_filter import op13_url_filter
 from .warc import op7_warc
 
 QUERIES = {
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_rans": op9_rans,
     "op10_sharding": op10_sharding,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op7_warc": warc.SQL,
+    "op13_url_filter": url_filter.SQL,
 }
