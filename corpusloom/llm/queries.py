@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, url_filter, warc
+from . import conversation_trie, line_dedup, url_filter, warc
 from .chat import op5_chat
+from .conversation_trie import op12_conversation_trie
 from .decontam import op6_decontam
 from .fingerprint import op3_fingerprint
 from .jaccard import op8_jaccard
@@ -26,11 +27,13 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_rans": op9_rans,
     "op10_sharding": op10_sharding,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_url_filter": op13_url_filter,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op7_warc": warc.SQL,
+    "op12_conversation_trie": conversation_trie.SQL,
     "op13_url_filter": url_filter.SQL,
 }
