@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25, dense
+from ..operators import bm25, dense, sparse_index
 from ..operators import retrieval as R
+from ..sources.shared import shared_folder
 from . import sqltext as S
 from .registry import query, table
 
@@ -74,6 +75,22 @@ def bm25_topk(spark, d):
     return hits(spark, d, 10).withColumnRenamed("id", "doc_id")
 
 
+@query(f"{_TOP} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
+def bm25_index_topk(spark, d):
+    """Through the stored index: built, loaded, asked."""
+    at = shared_folder(spark, "sparse-index")
+    sparse_index.build(docs(spark, d), at)
+    return sparse_index.top_hits(sparse_index.load(spark, at), asked(spark, d), 10)
+
+
+@query(f"WITH {S.BM25} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n, CAST(1 AS INTEGER) AS parts FROM tf GROUP BY ALL")
+def bm25_index_terms(spark, d):
+    """Term statistics of a stored index, each term in one part at this size."""
+    at = shared_folder(spark, "sparse-index")
+    sparse_index.build(docs(spark, d), at)
+    return sparse_index.load(spark, at).terms.select("term", "df", "n", "parts")
+
+
 @query(f"WITH {S.BM25}, ok AS (SELECT * FROM scores WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ok) WHERE rank <= 10")
 def bm25_allowlist(spark, d):
     """Statistics stay those of the whole collection."""

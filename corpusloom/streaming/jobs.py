@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; one of this machine only where the session names none."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.shared import shared_folder
 
 
 def source(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
@@ -26,7 +19,7 @@ def source(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFram
 def drain(stream: DataFrame) -> DataFrame:
     """Append all that the stream has; the checkpoint makes each input count once."""
     spark = stream.sparkSession
-    at = shared_folder(spark)
+    at = shared_folder(spark, "stream")
     q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -38,7 +31,7 @@ def drain_batches(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame
     A batch writes its table under its own number, so one that is run again writes the same again.
     """
     spark = stream.sparkSession
-    at = shared_folder(spark)
+    at = shared_folder(spark, "stream")
 
     def each(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
