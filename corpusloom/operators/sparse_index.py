@@ -1,11 +1,12 @@
-"""The sparse index as stored tables: postings, term statistics and document statistics, and a manifest that names the builds.
+"""The sparse index as stored tables: postings, term statistics, and a manifest that names the builds.
 
-Postings are bucketed and sorted by (term, part), term statistics by term, both into the same number of buckets, a file each; a term that more than
-`PART` documents have is dealt over several parts by doc_id, so no term makes a large file or task. A query's terms meet the term statistics, which say in
-how many parts a term lies, and then the postings: only the query's own rows are shuffled, into the buckets that are there.
+Postings are bucketed by a shard of documents (a hash of doc_id) and sorted by term in each, one file a bucket. A query's terms are broadcast with their weights,
+each shard is scored on its own, and its best k leave it: neither postings nor single hits are shuffled, a term that many documents have is in all shards, and the
+work of a query grows with shards, not with hits. Queries with more terms than are broadcast are taken in blocks. Terms' statistics are bucketed by term.
 
-A build writes its tables under a name of its own and, last, its row of the manifest; a reader takes the newest build, so one
-that broke off is never seen. Null texts are documents without terms. Rows without a doc_id count as documents and are never hits. No documents: an index without postings.
+A build writes its tables under a name of its own and, last, its row of the manifest; a reader takes the newest build, so one that broke off
+is never seen. Null texts are documents without terms. Rows without a doc_id
+take no part. Rows that share a doc_id and a length are one document. No documents: an index without postings.
 """
 
 from __future__ import annotations
@@ -20,61 +21,47 @@ from ..functions import text as X
 from ..sources.shared import written
 from . import bm25
 
-#: Documents of a term in one part, on the average.
-PART = 1_000_000
-#: Terms of several parts that are broadcast to the postings at most.
-BROADCAST_TERMS = 1_000_000
+#: Terms of queries (one row for each query and term) that are broadcast at once.
+BROADCAST_TERMS = 500_000
 
 MANIFEST = "build string, built_at timestamp, buckets int, n_docs long, avgdl double"
-COLUMNS = {"postings": "term string, part int, doc_id long, tf int, dl int", "terms": "term string, df long, n long, parts int", "docs": "doc_id long, dl int"}
+COLUMNS = {"postings": "shard int, term string, doc_id long, tf int, dl int", "terms": "term string, df long, n long"}
+BUCKETED = {"postings": ["shard"], "terms": ["term"]}
+SORTED = {"postings": ["shard", "term"], "terms": ["term"]}
 
 
 class IndexNotFound(LookupError):
     pass
 
 
-def term_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, dl, term, tf of docs (doc_id, text), counted inside each row; without a shuffle."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), X.bag(F.col("text")).alias("bag"))
-    # a column of its own for each step keeps the sort from being planned twice
-    d = d.select("doc_id", F.size("bag").alias("dl"), F.array_sort("bag").alias("s"))
-    starts = F.filter(F.transform("s", lambda x, i: F.when((i == 0) | (F.get("s", i - 1) != x), i)), lambda i: i.isNotNull())
-    d = d.select("doc_id", "dl", "s", starts.alias("at"))
-    runs = F.transform("at", lambda a, i: F.struct(F.get("s", a).alias("term"), (F.coalesce(F.get("at", i + 1), F.size("s")) - a).alias("tf")))
-    return d.select("doc_id", "dl", F.inline(runs))
-
-
-def _table(spark: SparkSession, path: str, build: str, kind: str, buckets: int, by: list[str]) -> DataFrame:
+def _table(spark: SparkSession, path: str, build: str, kind: str, buckets: int) -> DataFrame:
     """The stored table, under a name of this session's catalog that knows its buckets."""
     name = f"sparse_index_{build}_{kind}"
     if not spark.catalog.tableExists(name):
         at = f"{path}/{build}/{kind}".replace("'", "\\'")
-        spark.sql(f"CREATE TABLE {name} ({COLUMNS[kind]}) USING parquet CLUSTERED BY ({', '.join(by)}) SORTED BY ({', '.join(by)}) INTO {buckets} BUCKETS LOCATION '{at}'")
+        spark.sql(f"CREATE TABLE {name} ({COLUMNS[kind]}) USING parquet CLUSTERED BY ({', '.join(BUCKETED[kind])}) SORTED BY ({', '.join(SORTED[kind])}) INTO {buckets} BUCKETS LOCATION '{at}'")
     return spark.table(name)
 
 
-def _store(rows: DataFrame, path: str, build: str, kind: str, buckets: int, by: list[str]) -> None:
-    rows.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).format("parquet").option("path", f"{path}/{build}/{kind}").saveAsTable(f"sparse_index_{build}_{kind}")
+def _store(rows: DataFrame, path: str, build: str, kind: str, buckets: int) -> DataFrame:
+    rows.write.bucketBy(buckets, *BUCKETED[kind]).sortBy(*SORTED[kind]).format("parquet").option("path", f"{path}/{build}/{kind}").saveAsTable(f"sparse_index_{build}_{kind}")
+    return _table(rows.sparkSession, path, build, kind, buckets)
 
 
-def build(docs: DataFrame, path: str, buckets: int | None = None, part: int = PART) -> str:
+def build(docs: DataFrame, path: str, buckets: int | None = None) -> str:
     """Index docs (doc_id, text) below `path`; gives the build's name. `buckets`: as many as shuffle partitions, unless given."""
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = uuid.uuid4().hex
-    found = written(term_rows(docs), "index-terms")
-    per_doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(X.bag(F.col("text"))).alias("dl"))
-    _store(per_doc, path, name, "docs", buckets, ["doc_id"])
-    terms = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
-    terms = terms.withColumn("parts", F.ceil(F.col("df") / F.lit(part)).cast("int"))
-    _store(terms, path, name, "terms", buckets, ["term"])
-    stored = _table(spark, path, name, "terms", buckets, ["term"])
-    hot = stored.filter("parts > 1").select("term", "parts")
-    few = hot.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    rows = found.filter("doc_id IS NOT NULL").join(F.broadcast(hot) if few else hot, "term", "left")
-    rows = rows.select("term", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "doc_id", F.col("tf").cast("int").alias("tf"), "dl")
-    _store(rows, path, name, "postings", buckets, ["term", "part"])
-    facts = _table(spark, path, name, "docs", buckets, ["doc_id"]).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    d = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # texts are dealt to the shards; terms come to be there, so that they are counted without another shuffle
+    dealt = d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).repartition(buckets, "shard")
+    t = dealt.select("shard", "doc_id", X.bag(F.col("text")).alias("bag")).select("shard", "doc_id", F.size("bag").alias("dl"), F.explode("bag").alias("term"))
+    tf = t.groupBy("shard", "doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    postings = _store(tf.select("shard", "term", "doc_id", "tf", "dl"), path, name, "postings", buckets)
+    terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    _store(terms.repartition(buckets, "term"), path, name, "terms", buckets)
+    facts = d.agg(F.count("*").alias("n_docs"), (F.coalesce(F.sum(F.size(X.bag(F.col("text")))), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
     facts.select(F.lit(name).alias("build"), F.current_timestamp().alias("built_at"), F.lit(buckets).alias("buckets"), "n_docs", "avgdl").write.mode("append").parquet(f"{path}/manifest")
     return name
 
@@ -82,9 +69,8 @@ def build(docs: DataFrame, path: str, buckets: int | None = None, part: int = PA
 class SparseIndex:
     def __init__(self, spark: SparkSession, path: str, build: str, buckets: int, n_docs: int, avgdl: float):
         self.n_docs, self.avgdl, self.buckets = n_docs, avgdl, buckets
-        self.postings = _table(spark, path, build, "postings", buckets, ["term", "part"])
-        self.terms = _table(spark, path, build, "terms", buckets, ["term"])
-        self.docs = _table(spark, path, build, "docs", buckets, ["doc_id"])
+        self.postings = _table(spark, path, build, "postings", buckets)
+        self.terms = _table(spark, path, build, "terms", buckets)
 
 
 def load(spark: SparkSession, path: str) -> SparseIndex:
@@ -109,22 +95,24 @@ def load(spark: SparkSession, path: str) -> SparseIndex:
     return SparseIndex(spark, path, found["build"], found["buckets"], found["n_docs"], found["avgdl"])
 
 
-def weighted(index: SparseIndex, queries: DataFrame) -> DataFrame:
-    """query_id, n (times the query has the term), doc_id, weight of each posting of the queries' terms."""
-    asked = bm25.terms(queries, "query_id").groupBy("query_id", "term").agg(F.count("*").alias("n"))
-    asked = asked.join(index.terms.select("term", "df", "parts"), "term").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    idf = F.ln((index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * (F.col("tf") * (bm25.K1 + 1)) / (F.col("tf") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("dl") / F.lit(index.avgdl)))
-    return asked.join(index.postings, ["term", "part"]).select("query_id", "n", "doc_id", F.round(weight, 6).alias("weight")).filter("weight > 0")
+def scored(index: SparseIndex, asked: DataFrame) -> DataFrame:
+    """shard, query_id, doc_id, score of the documents that have terms in `asked` (query_id, term, n, idf), which is broadcast. Weights are summed as decimals."""
+    weight = F.col("idf") * (F.col("tf") * (bm25.K1 + 1)) / (F.col("tf") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("dl") / F.lit(index.avgdl)))
+    hit = index.postings.join(F.broadcast(asked), "term").select("shard", "query_id", "doc_id", (F.round(weight, 6).cast("decimal(12,6)") * F.col("n").cast("decimal(10,0)")).alias("weight"))
+    return hit.groupBy("shard", "query_id", "doc_id").agg(F.sum("weight").cast("double").alias("score")).filter("score > 0")
 
 
-def top_hits(index: SparseIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score, rank of the best k documents of each query (query_id, text), of the `allowed` (doc_id) only, if given.
-
-    Weights are summed as decimals; each task hands on no more than k rows of a query.
-    """
-    hit = weighted(index, queries)
-    if allowed is not None:
-        hit = hit.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-    s = hit.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight").cast("decimal(18,6)") * F.col("n")).cast("double").alias("score"))
-    return bm25.top(s, k)
+def top_hits(index: SparseIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """query_id, doc_id, score, rank of the best k documents of each query (query_id, text), of the `allowed` (doc_id) only, if given."""
+    asked = bm25.terms(queries, "query_id").groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    idf = F.ln((index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    asked = written(asked.join(index.terms, "term").select("query_id", "term", asked["n"].alias("n"), idf.alias("idf")), "index-asked")
+    blocks = max(1, -(-asked.count() // broadcast_terms))
+    out = None
+    for b in range(blocks):
+        s = scored(index, asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+        if allowed is not None:
+            s = s.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+        best = bm25.top(s.select("query_id", "doc_id", "score"), k)
+        out = best if out is None else out.unionByName(best)
+    return out

@@ -83,12 +83,12 @@ def bm25_index_topk(spark, d):
     return sparse_index.top_hits(sparse_index.load(spark, at), asked(spark, d), 10)
 
 
-@query(f"WITH {S.BM25} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n, CAST(1 AS INTEGER) AS parts FROM tf GROUP BY ALL")
+@query(f"WITH {S.BM25} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY ALL")
 def bm25_index_terms(spark, d):
-    """Term statistics of a stored index, each term in one part at this size."""
+    """Term statistics of a stored index."""
     at = shared_folder(spark, "sparse-index")
     sparse_index.build(docs(spark, d), at)
-    return sparse_index.load(spark, at).terms.select("term", "df", "n", "parts")
+    return sparse_index.load(spark, at).terms
 
 
 @query(f"WITH {S.BM25}, ok AS (SELECT * FROM scores WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ok) WHERE rank <= 10")

@@ -1,6 +1,4 @@
-"""The stored index: same hits as a scan, no shuffle of postings, hot terms in parts, errors that name what lacks."""
-
-import re
+"""The stored index: same hits as a scan, no shuffle of postings or hits, errors that name what lacks."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,40 +17,31 @@ def queries(spark):
     return spark.createDataFrame([(1, "common w3 w3"), (2, "W1, w4!"), (3, "nowhere"), (4, None)], "query_id long, text string")
 
 
-@pytest.mark.parametrize("part", [sparse_index.PART, 10])
-def test_hits_of_a_scan(spark, docs, queries, tmp_path, part):
-    sparse_index.build(docs, str(tmp_path / "i"), buckets=3, part=part)
+def test_hits_of_a_scan(spark, docs, queries, tmp_path):
+    sparse_index.build(docs, str(tmp_path / "i"), buckets=3)
     index = sparse_index.load(spark, str(tmp_path / "i"))
-    assert index.n_docs == 201 and index.terms.filter("term = 'common'").first()["parts"] == (1 if part > 1000 else 19)
-    assert index.postings.select("part").distinct().count() == (1 if part > 1000 else 19)
+    named = docs.filter("doc_id IS NOT NULL")
+    assert index.n_docs == named.count() and index.postings.filter("term = 'common'").select("shard").distinct().count() == 3
     same = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect()))
-    assert same(sparse_index.top_hits(index, queries, 12)) == same(bm25.top_hits(docs, queries, 12))
+    want = same(bm25.top_hits(named, queries, 12))
+    assert same(sparse_index.top_hits(index, queries, 12)) == want and len({r[0] for r in want}) == 2
+    assert same(sparse_index.top_hits(index, queries, 12, broadcast_terms=1)) == want
     allowed = docs.filter("doc_id % 3 = 0").select("doc_id")
-    assert same(sparse_index.top_hits(index, queries, 5, allowed)) == same(bm25.top_hits(docs, queries, 5, allowed))
-    assert {r.term: r.tf for r in sparse_index.term_rows(docs.filter("doc_id = 5")).collect()} == {"common": 1, "w5": 1, "w0": 2, "x5": 1}
+    assert same(sparse_index.top_hits(index, queries, 5, allowed)) == same(bm25.top_hits(named, queries, 5, allowed))
 
 
-def test_postings_are_not_shuffled(spark, docs, queries, tmp_path):
+def test_neither_postings_nor_hits_are_shuffled(spark, docs, queries, tmp_path):
     sparse_index.build(docs, str(tmp_path / "i"), buckets=4)
     index = sparse_index.load(spark, str(tmp_path / "i"))
-    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    asked = spark.createDataFrame([(1, "common", 1, 0.5), (2, "w3", 2, 0.7)], "query_id long, term string, n long, idf double")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     try:
-        for k, v in zip(before, ("-1", "false", "4"), strict=True):
-            spark.conf.set(k, v)
-        plan = sparse_index.weighted(index, queries)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = sparse_index.scored(index, asked)._jdf.queryExecution().executedPlan().toString()
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    lines = plan.split("\n")
-    scans = [i for i, x in enumerate(lines) if "FileScan" in x and "_postings[" in x]
-    assert len(scans) == 1 and "Bucketed: true" in lines[scans[0]]
-    depth = lambda x: re.search(r"[A-Za-z*]", x).start()
-    above, level = [], depth(lines[scans[0]])
-    for x in reversed(lines[: scans[0]]):
-        if x.strip() and depth(x) < level:
-            above.append(x)
-            level = depth(x)
-    assert any("SortMergeJoin" in x for x in above) and not any("Exchange" in x for x in above)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert "Bucketed: true" in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1
 
 
 def test_newest_build_and_errors(spark, docs, queries, tmp_path):
@@ -62,7 +51,7 @@ def test_newest_build_and_errors(spark, docs, queries, tmp_path):
     sparse_index.build(docs.limit(0), at, buckets=2)
     assert sparse_index.load(spark, at).n_docs == 0 and sparse_index.top_hits(sparse_index.load(spark, at), queries, 3).count() == 0
     name = sparse_index.build(docs, at, buckets=2)
-    assert sparse_index.load(spark, at).n_docs == 201
+    assert sparse_index.load(spark, at).n_docs == docs.filter("doc_id IS NOT NULL").count()
     spark.range(1).select(F.lit("a").alias("term")).write.mode("overwrite").parquet(f"{at}/{name}/terms")
-    with pytest.raises(ValueError, match="table terms .* lacks df, n, parts"):
+    with pytest.raises(ValueError, match="table terms .* lacks df, n"):
         sparse_index.load(spark, at)
