@@ -61,7 +61,9 @@ def build(docs: DataFrame, path: str, buckets: int | None = None) -> str:
     postings = _store(tf.select("shard", "term", "doc_id", "tf", "dl"), path, name, "postings", buckets)
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
     _store(terms.repartition(buckets, "term"), path, name, "terms", buckets)
-    facts = d.agg(F.count("*").alias("n_docs"), (F.coalesce(F.sum(F.size(X.bag(F.col("text")))), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+    n_docs = d.agg(F.count("*").alias("n_docs"))
+    length = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("length"))
+    facts = n_docs.join(F.broadcast(length)).withColumn("avgdl", F.col("length") / F.greatest("n_docs", F.lit(1)))  # one row each
     facts.select(F.lit(name).alias("build"), F.current_timestamp().alias("built_at"), F.lit(buckets).alias("buckets"), "n_docs", "avgdl").write.mode("append").parquet(f"{path}/manifest")
     return name
 
@@ -96,10 +98,10 @@ def load(spark: SparkSession, path: str) -> SparseIndex:
 
 
 def scored(index: SparseIndex, asked: DataFrame) -> DataFrame:
-    """shard, query_id, doc_id, score of the documents that have terms in `asked` (query_id, term, n, idf), which is broadcast. Weights are summed as decimals."""
+    """shard, query_id, doc_id, score of the documents that have terms in `asked` (query_id, term, n, idf), which is broadcast. Weights have six decimals and are summed as whole numbers."""
     weight = F.col("idf") * (F.col("tf") * (bm25.K1 + 1)) / (F.col("tf") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("dl") / F.lit(index.avgdl)))
-    hit = index.postings.join(F.broadcast(asked), "term").select("shard", "query_id", "doc_id", (F.round(weight, 6).cast("decimal(12,6)") * F.col("n").cast("decimal(10,0)")).alias("weight"))
-    return hit.groupBy("shard", "query_id", "doc_id").agg(F.sum("weight").cast("double").alias("score")).filter("score > 0")
+    hit = index.postings.join(F.broadcast(asked), "term").select("shard", "query_id", "doc_id", (F.floor(weight * 1e6 + 0.5) * F.col("n")).alias("weight"))
+    return hit.groupBy("shard", "query_id", "doc_id").agg((F.sum("weight") / 1e6).alias("score")).filter("score > 0")
 
 
 def top_hits(index: SparseIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
