@@ -1,7 +1,7 @@
 """Splitting documents into chunks: one function for each strategy, and the job that routes between them.
 
 All take documents (doc_id, text, ...) and give (doc_id, chunk_index, text). Fixed windows are array
-arithmetic on the JVM; greedy strategies run `chunk_rules` inside Arrow batches. Chunks under `min_tokens` are left out.
+arithmetic, greedy strategies the folds of `folds`; all of it runs inside a document's row on the JVM. Chunks under `min_tokens` are left out.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import chunk_rules
+from . import folds
 
 SIZE, OVERLAP, MIN_TOKENS = 512, 50, 50
+SEMANTIC_OVERLAP, PERCENTILE = int(SIZE * 0.15), 95
+TIERS = (2048, 512, 128)
 TABLE_TOKENS = 600
 
 
@@ -30,42 +32,60 @@ def fixed(docs: DataFrame, size: int = SIZE, overlap: int = 0, min_tokens: int =
     return d.select("doc_id", "chunk_index", F.array_join("p", " ").alias("text"), n.alias("token_count")).filter(F.col("token_count") >= min_tokens)
 
 
-def _ruled(docs: DataFrame, rule: Callable[[str], list[str]], min_tokens: int) -> DataFrame:
-    def run(batches):
-        import pyarrow as pa
+def _given(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-        for b in batches:
-            for k, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                kept = [c for c in rule(t or "") if c.strip() and chunk_rules.tokens(c) >= max(min_tokens, 1)]
-                yield pa.record_batch([pa.array([k] * len(kept), pa.int64()), pa.array(range(len(kept)), pa.int32()), pa.array(kept, pa.string()), pa.array([chunk_rules.tokens(c) for c in kept], pa.int32())], names=["doc_id", "chunk_index", "text", "token_count"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, chunk_index int, text string, token_count int")
+def _kept(chunks: str, min_tokens: int) -> str:
+    """Chunks (text, token_count) of at least `min_tokens` that aren't blank."""
+    measured = folds.each(chunks, lambda c: f"named_struct('text', {c}, 'token_count', {folds.n_tokens(c)})")
+    return folds.those(measured, lambda c: f"{c}.token_count >= {max(min_tokens, 1)} AND {folds.strip(f'{c}.text')} <> ''")
+
+
+def _ruled(docs: DataFrame, chunks: str, min_tokens: int) -> DataFrame:
+    found = _given(docs).select("doc_id", F.posexplode(F.expr(_kept(chunks, min_tokens))).alias("chunk_index", "c"))
+    return found.select("doc_id", "chunk_index", "c.text", "c.token_count")
 
 
 def sentence(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    return _ruled(docs, lambda t: chunk_rules.by_sentence(t, size, overlap), min_tokens)
+    return _ruled(docs, folds.sentence_chunks("text", size, overlap), min_tokens)
 
 
 def recursive(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    return _ruled(docs, lambda t: chunk_rules.recursive(t, size, overlap), min_tokens)
+    return _ruled(docs, folds.recursive_chunks("text", size, overlap), min_tokens)
+
+
+def semantic(docs: DataFrame, size: int = SIZE, overlap: int = SEMANTIC_OVERLAP, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    return _ruled(docs, folds.semantic_chunks("text", size, overlap, PERCENTILE), min_tokens)
+
 
+def tiers(docs: DataFrame, sizes: tuple[int, int, int] = TIERS) -> DataFrame:
+    """docs with `parents` (texts), `children` (up: number of the parent, t) and `grandchildren` (up: number of the child, t), all in order."""
+    below = lambda texts, t, size: F.expr(f"flatten({folds.each_at(texts, lambda x, i: folds.each(folds.recursive_chunks(x + t, size, 0), lambda c: f"named_struct('up', {i}, 't', {c})"))})")
+    d = docs.withColumn("parents", F.expr(folds.recursive_chunks("text", sizes[0], 0)))
+    return d.withColumn("children", below("parents", "", sizes[1])).withColumn("grandchildren", below("children", ".t", sizes[2]))
 
-def semantic(docs: DataFrame, size: int = SIZE, overlap: int = int(SIZE * 0.15), min_tokens: int = MIN_TOKENS) -> DataFrame:
-    return _ruled(docs, lambda t: chunk_rules.semantic(t, size, overlap), min_tokens)
+
+def tier_rows(key: str | None = None) -> str:
+    """Parents, children and grandchildren of `tiers` as one array: chunk_id, parent_chunk_id, chunk_type, text."""
+    named = lambda letter, i: f"concat({f"CAST({key} AS STRING), ':', " if key else ''}'{letter}', CAST({i} AS STRING))"
+    row = lambda me, up, kind, t: f"named_struct('chunk_id', {me}, 'parent_chunk_id', {up}, 'chunk_type', '{kind}', 'text', {t})"
+    p = folds.each_at("parents", lambda t, i: row(named("P", i), "CAST(NULL AS STRING)", "parent", t))
+    c = folds.each_at("children", lambda x, i: row(named("C", i), named("P", f"{x}.up"), "child", f"{x}.t"))
+    g = folds.each_at("grandchildren", lambda x, i: row(named("G", i), named("C", f"{x}.up"), "grandchild", f"{x}.t"))
+    return f"concat({p}, {g}, {c})"
 
 
 def hierarchical(docs: DataFrame) -> DataFrame:
     """doc_id, chunk_id, parent_chunk_id, chunk_type, text of all three tiers."""
+    return tiers(_given(docs)).select("doc_id", F.inline(F.expr(tier_rows("doc_id"))))
 
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for k, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                rows = chunk_rules.hierarchy(t or "")
-                yield pa.record_batch([pa.array([k] * len(rows), pa.int64()), pa.array([f"{k}:{r[0]}" for r in rows], pa.string()), pa.array([r[1] and f"{k}:{r[1]}" for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], names=["doc_id", "chunk_id", "parent_chunk_id", "chunk_type", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, chunk_id string, parent_chunk_id string, chunk_type string, text string")
+def expanded(docs: DataFrame) -> DataFrame:
+    """Grandchildren of docs (doc_id, text) with the texts of their child and parent, within each document's row: as `expand_tree` of `hierarchical`."""
+    up = lambda g: f"get(children, {g}.up)"
+    row = lambda g, i: f"named_struct('chunk_id', concat(doc_id, ':G', {i}), 'child', concat(doc_id, ':C', {g}.up), 'parent', concat(doc_id, ':P', {up(g)}.up), 'text', {g}.t, 'child_text', {up(g)}.t, 'parent_text', get(parents, {up(g)}.up))"
+    return tiers(_given(docs)).select("doc_id", F.inline(F.expr(folds.each_at("grandchildren", row))))
 
 
 def expand_tree(chunks: DataFrame) -> DataFrame:
@@ -77,17 +97,9 @@ def expand_tree(chunks: DataFrame) -> DataFrame:
 
 def semantic_breaks(docs: DataFrame) -> DataFrame:
     """Similarity of each sentence with the one before, and whether it starts a chunk."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for k, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                sims = chunk_rules.similarities(chunk_rules.sentences(t or ""))
-                cut = chunk_rules.threshold(sims)
-                yield pa.record_batch([pa.array([k] * len(sims), pa.int64()), pa.array(range(1, len(sims) + 1), pa.int32()), pa.array(sims, pa.float64()), pa.array([s < cut for s in sims], pa.bool_())], names=["doc_id", "sentence", "similarity", "breaks"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sentence int, similarity double, breaks boolean")
+    d = _given(docs).select("doc_id", F.expr(folds.similarities(folds.sentences("text"))).alias("sims"))
+    d = d.select("doc_id", F.expr(folds.threshold("sims", PERCENTILE)).alias("cut"), F.posexplode("sims").alias("i", "similarity"))
+    return d.select("doc_id", (F.col("i") + 1).alias("sentence"), "similarity", (F.col("similarity") < F.col("cut")).alias("breaks"))
 
 
 def lines(docs: DataFrame, col: str = "text") -> DataFrame:
@@ -105,44 +117,14 @@ def headings(docs: DataFrame) -> DataFrame:
 
 def table_blocks(docs: DataFrame, col: str = "text") -> DataFrame:
     """Runs of lines like |...|: doc_id, first line, number of lines, text, whether the second is a separator."""
-    marked = lines(docs, col).withColumn("is_row", F.trim("line").rlike(r"^\|.+\|$"))
-    own = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = marked.filter("is_row").withColumn("island", F.col("line_no") - F.row_number().over(own))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.trim(x["line"])), "\n")
-    found = rows.groupBy("doc_id", "island").agg(F.min("line_no").alias("first_line"), F.count("*").cast("int").alias("n_lines"), text.alias("text"))
-    sep = F.coalesce(F.get(F.split("text", "\n"), F.lit(1)).rlike(r"^\|[\s:|-]+\|$"), F.lit(False))
-    return found.select("doc_id", "first_line", "n_lines", "text", sep.alias("has_separator"))
+    return docs.select("doc_id", F.coalesce(col, F.lit("")).alias("text")).select("doc_id", F.inline(F.expr(folds.tables("text"))))
 
 
 def table_chunks(docs: DataFrame, col: str = "text", limit: int = TABLE_TOKENS) -> DataFrame:
     """Tables up to `limit` tokens whole; longer ones in batches of rows, each below the header."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for k, first, text, sep in zip(*(b.column(c).to_pylist() for c in ("doc_id", "first_line", "text", "has_separator")), strict=True):
-                rows = text.split("\n")
-                head = rows[: 2 if sep else 1]
-                body = rows[len(head) :]
-                parts: list[tuple[int, int, str]] = []
-                if chunk_rules.tokens(text) <= limit or not body:
-                    parts.append((0, max(0, len(body) - 1), text))
-                else:
-                    start, used, base = 0, 0, chunk_rules.tokens("\n".join(head))
-                    for i, r in enumerate(body):
-                        n = chunk_rules.tokens(r)
-                        if i > start and base + used + n > limit:
-                            parts.append((start, i - 1, "\n".join([*head, *body[start:i]])))
-                            start, used = i, 0
-                        used += n
-                    parts.append((start, len(body) - 1, "\n".join([*head, *body[start:]])))
-                yield pa.record_batch([pa.array([k] * len(parts), pa.int64()), pa.array([first] * len(parts), pa.int32()), *[pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string()))]], names=["doc_id", "first_line", "row_start", "row_end", "text"])
-
-    return table_blocks(docs, col).select(F.col("doc_id").cast("long").alias("doc_id"), "first_line", "text", "has_separator").mapInArrow(run, "doc_id long, first_line int, row_start int, row_end int, text string")
-
-
-STRATEGIES: dict[str, Callable[..., DataFrame]] = {"fixed_size": fixed, "sentence_based": sentence, "recursive": recursive, "semantic": semantic}
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(col, F.lit("")).alias("text"))
+    d = d.select("doc_id", F.explode(F.expr(folds.tables("text"))).alias("t"))
+    return d.select("doc_id", F.col("t.first_line").alias("first_line"), F.inline(F.expr(folds.table_parts("t", limit))))
 
 
 def strategy(file_type: Column, title: Column, text: Column) -> Column:
@@ -161,18 +143,27 @@ def reindex(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("new_index", F.row_number().over(w) - 1)
 
 
+def fixed_chunks(text: str, size: int) -> str:
+    """Windows of words, as `fixed` cuts them."""
+    width = int(size / 1.3)
+    cut = lambda w: folds.each(f"sequence(0, CAST((size({w}) - 1) DIV {width} AS INT))", lambda j: f"array_join(slice({w}, {j} * {width} + 1, {width}), ' ')")
+    return folds.let(folds.those(f"split({text}, r'\\s+')", lambda w: f"{w} <> ''"), lambda w: f"if(size({w}) > 0, {cut(w)}, CAST(array() AS array<string>))")
+
+
 def chunk_job(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, file_type, title, text) to routed, deduplicated, numbered chunks."""
-    routed = docs.withColumn("strategy", strategy(F.col("file_type"), F.col("title"), F.col("text")))
-    out = None
-    for name, split in STRATEGIES.items():
-        part = split(routed.filter(F.col("strategy") == name)).withColumns({"strategy": F.lit(name), "chunk_type": F.lit("text")})
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("doc_id").orderBy(F.substring_index("chunk_id", ":", -1).substr(1, 1).desc(), F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("int"))
-    tiers = hierarchical(routed.filter("strategy = 'hierarchical'")).withColumn("chunk_index", (F.row_number().over(w) - 1).cast("int"))
-    tiers = tiers.select("doc_id", "chunk_index", "text", X.token_count(F.col("text")).alias("token_count"), F.lit("hierarchical").alias("strategy"), "chunk_type")
-    tables = table_chunks(docs)
-    tw = Window.partitionBy("doc_id").orderBy("first_line", "row_start")
-    tables = tables.select("doc_id", (F.row_number().over(tw) - 1).cast("int").alias("chunk_index"), "text", X.token_count(F.col("text")).alias("token_count"), F.lit("table").alias("strategy"), F.lit("table").alias("chunk_type"))
-    every = out.unionByName(tiers).unionByName(tables).withColumn("content_hash", F.sha2("text", 256)).withColumn("is_table", F.col("chunk_type") == "table")
-    return reindex(first_of(every, ["doc_id", "chunk_type", "content_hash"], ["chunk_index"]))
+    """docs (doc_id, file_type, title, text) to routed, deduplicated, numbered chunks: one pass, each document within its row.
+
+    A chunk stays if none of its document's chunks of that type before it has its content. Text chunks are numbered first, then those of tables.
+    """
+    text = F.col("text")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), strategy(F.col("file_type"), F.col("title"), text).alias("strategy"), F.coalesce(text, F.lit("")).alias("whole"))
+    d = tiers(d.withColumn("text", F.when(F.col("strategy") == "hierarchical", F.col("whole")).otherwise("")))
+    row = lambda kind, t, n: f"named_struct('chunk_type', {kind}, 'content_hash', sha2({t}, 256), 'text', {t}, 'token_count', {n})"
+    of = lambda chunks: folds.each(_kept(chunks, MIN_TOKENS), lambda c: row("'text'", f"{c}.text", f"{c}.token_count"))
+    of_tiers = folds.each(tier_rows(), lambda r: row(f"{r}.chunk_type", f"{r}.text", folds.n_tokens(f"{r}.text")))
+    routed = f"CASE strategy WHEN 'hierarchical' THEN {of_tiers} WHEN 'fixed_size' THEN {of(fixed_chunks('whole', SIZE))} WHEN 'sentence_based' THEN {of(folds.sentence_chunks('whole', SIZE, OVERLAP))} ELSE {of(folds.recursive_chunks('whole', SIZE, OVERLAP))} END"
+    tables = folds.each(f"flatten({folds.each(folds.tables('whole'), lambda t: folds.table_parts(t, TABLE_TOKENS))})", lambda p: row("'table'", f"{p}.text", folds.n_tokens(f"{p}.text")))
+    every = folds.let(f"concat({routed}, {tables})", lambda c: folds.first_of_each(c, lambda x: f"named_struct('type', {x}.chunk_type, 'hash', {x}.content_hash)"))
+    d = d.select("doc_id", "strategy", F.posexplode(F.expr(every)).alias("new_index", "c")).select("doc_id", "new_index", "strategy", "c.*")
+    table = F.col("chunk_type") == "table"
+    return d.withColumn("strategy", F.when(table, "table").otherwise(F.col("strategy"))).withColumn("is_table", table)

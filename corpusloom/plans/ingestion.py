@@ -54,7 +54,7 @@ def chunk_hierarchical(spark, d):
 
 @query()
 def chunk_tree_expand(spark, d):
-    return chunking.expand_tree(chunking.hierarchical(table(spark, d, "documents"))).select("doc_id", "chunk_id", "child", "parent", F.length("parent_text").alias("n_parent"))
+    return chunking.expanded(table(spark, d, "documents")).select("doc_id", "chunk_id", "child", "parent", F.length("parent_text").alias("n_parent"))
 
 
 def table_docs(spark, d):

@@ -1,4 +1,4 @@
-"""Greedy chunk rules for one text. Each step depends on the one before, so they run as small helpers inside Spark tasks."""
+"""Greedy chunk rules for one text, step by step: what the folds on the JVM are held against."""
 
 from __future__ import annotations
 

@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import bm25, chunk_rules, chunking, dense, evaluation, safety, sessions, store, versions
+import plain_chunks as chunk_rules
+from corpusloom.operators import bm25, chunking, dense, evaluation, safety, sessions, store, versions
 from corpusloom.operators import retrieval as R
 
 
