@@ -31,6 +31,12 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("thread_id").agg(F.max_by("metadata", F.struct("created_at", "checkpoint_id")).alias("state"), F.max(F.struct("created_at", "checkpoint_id")).alias("m")).select("thread_id", F.col("m.checkpoint_id").alias("checkpoint_id"), "state")
 
 
+def newest(rows: DataFrame) -> DataFrame:
+    """thread_id, checkpoint_id, created_at of the newest row, n_turns; of a stream, too, where the state is one row a thread."""
+    newest = rows.groupBy("thread_id").agg(F.max(F.struct("created_at", "checkpoint_id")).alias("m"), F.count("*").alias("n_turns"))
+    return newest.select("thread_id", "m.checkpoint_id", "m.created_at", "n_turns")
+
+
 def page(rows: DataFrame, before: DataFrame, limit: int) -> DataFrame:
     """Newest `limit` rows of each thread strictly before its cursor; before: (thread_id, cursor)."""
     d = rows.join(before, "thread_id").filter(F.col("created_at") < F.col("cursor"))

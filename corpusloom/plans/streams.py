@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25, sessions, store
+from ..operators import bm25, sessions
 from ..streaming import jobs
 from . import sqltext as S
 from .registry import query
@@ -20,32 +20,29 @@ def stream_ingest_drain(spark, d):
 
 @query("SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def stream_dedup(spark, d):
-    """Documents arrive a second apart by doc_id; a hash is dropped if it came before."""
-    s = jobs.source(spark, f"{d}/documents.parquet").select(F.timestamp_seconds("doc_id").alias("ts"), F.sha2("text", 256).alias("content_hash"))
-    return jobs.drain(jobs.dedup(s, "ts", ["content_hash"], "3650 days").select("content_hash"))
-
-
-def refreshed(before, batch):
-    """Term counts after a batch (doc_id, text): the old rows of its documents go, all of them, before the new ones come."""
-    new = bm25.term_frequency(batch)
-    return new if before is None else store.delete_ids(before, batch, "doc_id").unionByName(new)
+    s = jobs.source(spark, f"{d}/documents.parquet").select(F.sha2("text", 256).alias("content_hash"))
+    return jobs.drain(jobs.dedup(s, ["content_hash"]))
 
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({S.bag('text')}) AS term FROM documents) GROUP BY ALL")
 def stream_index_refresh(spark, d):
     """Term counts of documents, batch by batch; a document that comes again replaces its rows."""
     s = jobs.source(spark, f"{d}/documents.parquet").select("doc_id", "text")
-    return jobs.drain_batches(s, refreshed)
+    return jobs.drain_changes(s, bm25.term_frequency)
 
 
-@query("SELECT user_id AS thread_id, arg_max(event_id, (ts, event_id)) AS checkpoint_id FROM events GROUP BY ALL")
+@query("SELECT user_id AS thread_id, arg_max(event_id, (ts, event_id)) AS checkpoint_id, CAST(count(*) AS BIGINT) AS n_turns FROM events GROUP BY ALL")
 def stream_sessions(spark, d):
-    s = jobs.source(spark, f"{d}/events.parquet").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("checkpoint_id"), F.col("ts").alias("created_at"), F.col("props").alias("metadata"))
+    """The newest checkpoint of each thread, kept as state by thread; a batch writes the threads it has only."""
+    s = jobs.source(spark, f"{d}/events.parquet").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("checkpoint_id"), F.col("ts").alias("created_at"))
+    return jobs.drain_changes(sessions.newest(s), keys=["thread_id"]).select("thread_id", "checkpoint_id", "n_turns")
 
-    def step(before, batch):
-        return sessions.cap(batch if before is None else before.unionByName(batch), 1)
 
-    return jobs.drain_batches(s, step).select("thread_id", "checkpoint_id")
+@query("SELECT * FROM (SELECT date_trunc('minute', ts) AS start, CAST(sum(event_id) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1) WHERE start + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE")
+def stream_per_minute(spark, d):
+    """Sums of closed minutes of event time."""
+    s = jobs.source(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return jobs.drain(jobs.per_window(s, "ts", "event_id")).select(F.col("start").cast("timestamp_ntz").alias("start"), "total", "n")
 
 
 @query(f"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS BIGINT) AS n_terms FROM documents")

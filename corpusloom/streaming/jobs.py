@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,38 +17,58 @@ def source(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFram
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once).parquet(glob)
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    """Append all that the stream has; the checkpoint makes each input count once."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def large_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started here keep their state on disk, in RocksDB; a running query keeps the store that it began with."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def drain(stream: DataFrame, at: str | None = None) -> DataFrame:
+    """Append all that the stream has; the checkpoint makes each input count once, also when it is called again with the same `at`."""
     spark = stream.sparkSession
-    at = shared_folder(spark, "stream")
-    q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    at = at or shared_folder(spark, "stream")
+    with large_state(spark):
+        q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def drain_batches(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """Fold batches into a table: step(table so far or None, batch) gives the next table.
+def drain_changes(stream: DataFrame, change: Callable[[DataFrame], DataFrame] | None = None, keys: list[str] | None = None, at: str | None = None) -> DataFrame:
+    """Drain a stream of changes to a keyed table, and give the table: for each key the rows of the last batch that had it.
 
-    A batch writes its table under its own number, so one that is run again writes the same again.
+    A batch appends its own rows, and the keys that it touched, under its number, so its work is in proportion to the batch; one that is run again overwrites its
+    own. `change` makes rows of a batch (its keys with none are gone from the table); without it the batch itself is taken. Called again with the same `at`, it goes on from there.
     """
     spark = stream.sparkSession
-    at = shared_folder(spark, "stream")
+    at = at or shared_folder(spark, "stream")
+    keys = keys or stream.columns[:1]
 
     def each(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        before = s.read.parquet(f"{at}/table-{number - 1}") if number else None
-        step(before, batch).write.mode("overwrite").parquet(f"{at}/table-{number}")
-        done["last"] = number
+        batch.select(*keys).distinct().write.mode("overwrite").parquet(f"{at}/touched/batch={number}")
+        (change(batch) if change else batch).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
-    done: dict[str, int] = {}
-    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{at}/table-{done['last']}")
+    with large_state(spark):
+        q = stream.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    last = spark.read.parquet(f"{at}/touched").groupBy(*keys).agg(F.max("batch").alias("batch"))
+    rows = spark.read.parquet(f"{at}/rows")
+    return rows.join(last, [*keys, "batch"], "left_semi").drop("batch")
 
 
-def dedup(stream: DataFrame, time: str, keys: list[str], late: str) -> DataFrame:
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+def dedup(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """First row of each key, in whatever order rows come: the state holds every key, nothing is too late and nothing forgotten."""
+    return stream.dropDuplicates(keys)
 
 
-def per_minute(stream: DataFrame, time: str, value: str) -> DataFrame:
-    return stream.withWatermark(time, "1 minute").groupBy(F.window(time, "60 seconds")).agg(F.sum(value).alias("total"))
+def per_window(stream: DataFrame, time: str, value: str, window: str = "60 seconds", late: str = "1 minute") -> DataFrame:
+    """Totals of windows that are closed: those that end no later than the newest time less `late`. Rows that come up to `late` behind the newest are counted."""
+    return stream.withWatermark(time, late).groupBy(F.window(time, window)).agg(F.sum(value).alias("total"), F.count("*").alias("n")).select(F.col("window.start").alias("start"), "total", "n")
