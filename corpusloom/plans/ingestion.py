@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25, chunking, dense, store
+from ..operators import bm25, chunking, dense, embedding, ingest, store
+from ..sources.shared import shared_folder
 from . import sqltext as S
 from .documents import docs
 from .registry import query, table
@@ -188,3 +189,31 @@ def ingest_summary(spark, d):
     return phase("chunks", c).unionByName(phase("vectors", v)).unionByName(phase("postings", p))
 
 
+def uploads(spark, d):
+    """documents as uploads, two of a file name, the later replacing the earlier."""
+    kind = F.element_at(F.array(*map(F.lit, ["pdf", "docx", "csv", "html", "txt", "xlsx"])), (F.col("doc_id") % 6 + 1).cast("int"))
+    t = table(spark, d, "documents").withColumn("filename", F.concat(F.lit("file-"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit(".txt")))
+    return t.select("doc_id", "text", "filename", kind.alias("file_type"), F.col("doc_id").alias("parsed_at"), F.lit("replace").alias("strategy"), F.col("lang").alias("tenant_id"), F.col("source").alias("corpus"))
+
+
+_INGEST = f"""WITH up AS (SELECT doc_id, text, lang, source, sha256(text) AS h FROM documents WHERE trim(coalesce(text, '')) <> ''),
+once AS (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id) = 1),
+act AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id DESC) = 1),
+docw AS (SELECT doc_id, {S.words('text')} AS w FROM act),
+c AS (SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, array_to_string(w[k * 393 + 1:(k + 1) * 393], ' ') AS text FROM docw, LATERAL (SELECT unnest(range(0, CAST(ceil(len(w) / 393.0) AS BIGINT))) AS k) WHERE CAST(round_even(len(w[k * 393 + 1:(k + 1) * 393]) * 1.3, 0) AS INTEGER) >= 50),
+m AS (SELECT *, {S.tokens('text')} AS n, sha256(text) AS h, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS poor FROM c),
+v AS (SELECT * FROM m WHERE length(text) >= 10 QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, chunk_index) = 1),
+k AS (SELECT v.*, v.h IN (SELECT sha256(text) FROM ({S.CHUNK_ROWS}) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)) AS hit FROM v),
+e AS (SELECT *, NOT hit AND len({S.bag('text')}) = 0 AS blank FROM k),
+f AS (SELECT (SELECT count(*) FROM documents) AS n0, (SELECT count(*) FROM up) AS n1, (SELECT count(*) FROM act) AS n2, (SELECT count(*) FROM m) AS n3, (SELECT count(*) FROM v) AS n4, (SELECT count(*) FROM e WHERE hit) AS hits, (SELECT coalesce(sum(n), 0) FROM e WHERE NOT hit) AS tokens, (SELECT count(*) FROM e WHERE blank) AS zero)"""
+
+
+@query(f"""{_INGEST}
+SELECT 'parse' AS phase, n0 AS n_in, n1 AS n_out, n0 - n1 AS n_skipped, 0::BIGINT AS n_failed, 0::BIGINT AS cache_hits, 0::BIGINT AS tokens, 0::DOUBLE AS cost_usd, round(n1 / n0::DOUBLE, 6) AS success_rate FROM f
+UNION ALL SELECT 'version', n1, n2, n1 - n2, 0, 0, 0, 0, 1 FROM f UNION ALL SELECT 'chunk', n2, n3, 0, 0, 0, 0, 0, 1 FROM f
+UNION ALL SELECT 'embed', n3, n4, n3 - n4, 0, hits, CAST(tokens AS BIGINT), round(tokens / 1000::DOUBLE * 0.00002, 8), 1 FROM f UNION ALL SELECT 'store', n4, n4 - zero, zero, 0, 0, 0, 0, 1 FROM f""")
+def ingest_phases(spark, d):
+    """Uploads to stored vectors in one job: a row for each phase. Vectors of the chunks of poor documents are cached."""
+    known = hashed(spark, d).join(table(spark, d, "labels").filter("quality = 0").select("doc_id"), "doc_id", "left_semi").select("content_hash").distinct()
+    cached = known.withColumn("vector", F.array_repeat(F.lit(1.0), 64))
+    return ingest.run(uploads(spark, d), shared_folder(spark, "ingest"), chunking.fixed, embedding.hashing(), cached).drop("run")

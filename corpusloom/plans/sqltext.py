@@ -40,3 +40,6 @@ scores AS (SELECT query_id, doc_id, CAST(sum(CAST(weight AS DECIMAL(18, 6))) AS
 DENSE = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0),
 dense_all AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(qv, CAST(embedding AS DOUBLE[])), 6) AS score FROM q CROSS JOIN embeddings),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dense_all) WHERE rank <= 10)"""
+
+#: The same chunks as one query, for use within others.
+CHUNK_ROWS = f"WITH {CHUNKS} SELECT * FROM chunks"
