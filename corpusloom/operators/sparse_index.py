@@ -26,8 +26,9 @@ BROADCAST_TERMS = 500_000
 
 MANIFEST = "build string, built_at timestamp, buckets int, n_docs long, avgdl double"
 COLUMNS = {"postings": "shard int, term string, doc_id long, tf int, dl int", "terms": "term string, df long, n long"}
-BUCKETED = {"postings": ["shard"], "terms": ["term"]}
-SORTED = {"postings": ["shard", "term"], "terms": ["term"]}
+BUCKETED = {"postings": "shard", "terms": "term"}
+#: Queries with no more distinct terms have them looked up in the files' statistics.
+PUSHED_TERMS = 10
 
 
 class IndexNotFound(LookupError):
@@ -39,12 +40,13 @@ def _table(spark: SparkSession, path: str, build: str, kind: str, buckets: int)
     name = f"sparse_index_{build}_{kind}"
     if not spark.catalog.tableExists(name):
         at = f"{path}/{build}/{kind}".replace("'", "\\'")
-        spark.sql(f"CREATE TABLE {name} ({COLUMNS[kind]}) USING parquet CLUSTERED BY ({', '.join(BUCKETED[kind])}) SORTED BY ({', '.join(SORTED[kind])}) INTO {buckets} BUCKETS LOCATION '{at}'")
+        spark.sql(f"CREATE TABLE {name} ({COLUMNS[kind]}) USING parquet CLUSTERED BY ({BUCKETED[kind]}) INTO {buckets} BUCKETS LOCATION '{at}'")
     return spark.table(name)
 
 
 def _store(rows: DataFrame, path: str, build: str, kind: str, buckets: int) -> DataFrame:
-    rows.write.bucketBy(buckets, *BUCKETED[kind]).sortBy(*SORTED[kind]).format("parquet").option("path", f"{path}/{build}/{kind}").saveAsTable(f"sparse_index_{build}_{kind}")
+    # rows come sorted by term, by its first bytes; a sort by bucket and term would compare whole rows
+    rows.sortWithinPartitions("term").write.bucketBy(buckets, BUCKETED[kind]).format("parquet").option("path", f"{path}/{build}/{kind}").saveAsTable(f"sparse_index_{build}_{kind}")
     return _table(rows.sparkSession, path, build, kind, buckets)
 
 
@@ -100,7 +102,9 @@ def load(spark: SparkSession, path: str) -> SparseIndex:
 def scored(index: SparseIndex, asked: DataFrame) -> DataFrame:
     """shard, query_id, doc_id, score of the documents that have terms in `asked` (query_id, term, n, idf), which is broadcast. Weights have six decimals and are summed as whole numbers."""
     weight = F.col("idf") * (F.col("tf") * (bm25.K1 + 1)) / (F.col("tf") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("dl") / F.lit(index.avgdl)))
-    hit = index.postings.join(F.broadcast(asked), "term").select("shard", "query_id", "doc_id", (F.floor(weight * 1e6 + 0.5) * F.col("n")).alias("weight"))
+    few = [r["term"] for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    postings = index.postings.filter(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else index.postings
+    hit = postings.join(F.broadcast(asked), "term").select("shard", "query_id", "doc_id", (F.floor(weight * 1e6 + 0.5) * F.col("n")).alias("weight"))
     return hit.groupBy("shard", "query_id", "doc_id").agg((F.sum("weight") / 1e6).alias("score")).filter("score > 0")
 
 
