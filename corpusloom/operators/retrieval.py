@@ -31,6 +31,50 @@ def blended(dense: DataFrame, sparse: DataFrame, alpha: float, k: int) -> DataFr
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def first_per_id(lists: DataFrame) -> DataFrame:
+    """A list (query_id, id, rank, ...) that may name an id several times, as one of over-fetched parts does: the best place of each id, ranks without gaps."""
+    w = Window.partitionBy("query_id", "id").orderBy("rank")
+    one = lists.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id")))
+
+
+def merged(left: Column, right: Column) -> Column:
+    """Two maps as one, the right one's values over the left one's; null is an empty map."""
+    none = F.create_map().cast("map<string,string>")
+    a, b = F.coalesce(left, none), F.coalesce(right, none)
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+
+
+MODES = ("dense", "hybrid_bm25", "hybrid_splade")
+
+
+def hybrid(dense: DataFrame, sparse: DataFrame, mode: str = "hybrid_bm25", k: int = 10, alpha: float = 0.7, rrf_k: int = RRF_K) -> DataFrame:
+    """mode, query_id, id, score, rank, dense_rank, sparse_rank, dense_score, sparse_score, metadata of the best k.
+
+    dense, sparse: lists (query_id, id, rank, score, metadata: map<string,string>) that are already filtered and hold more than k, so that k are left when an id
+    comes more than once. dense: that list. hybrid_bm25: reciprocal ranks. hybrid_splade: dense score plus (1 - alpha) times the sparse one, of dense hits and sparse ones.
+    Metadata are the dense hit's with the sparse one's over them.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
+    arm = lambda rows, name: first_per_id(rows).select("query_id", "id", F.col("rank").alias(f"{name}_rank"), F.col("score").alias(f"{name}_score"), F.col("metadata").alias(f"{name}_metadata"))
+    d, s = arm(dense, "dense"), arm(sparse, "sparse")
+    if mode == "dense":
+        both = d.withColumns({"sparse_rank": F.lit(None).cast("int"), "sparse_score": F.lit(None).cast("double"), "sparse_metadata": F.lit(None).cast("map<string,string>"), "score": F.col("dense_score")})
+    else:
+        both = d.join(s, ["query_id", "id"], "full_outer")
+        if mode == "hybrid_bm25":
+            size = lambda x, name: x.groupBy("query_id").agg(F.count("*").alias(name))
+            both = both.join(size(d, "_nd"), "query_id", "left").join(size(s, "_ns"), "query_id", "left")
+            one = lambda r, n: 1.0 / (rrf_k + F.coalesce(r, F.coalesce(n, F.lit(0)) + 1))
+            both = both.withColumn("score", F.round(one(F.col("dense_rank"), F.col("_nd")) + one(F.col("sparse_rank"), F.col("_ns")), 8))
+        else:
+            both = both.withColumn("score", F.round(F.coalesce("dense_score", F.lit(0.0)) + F.coalesce(F.round(F.col("sparse_score") * (1 - alpha), 8), F.lit(0.0)), 8))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    both = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return both.select(F.lit(mode).alias("mode"), "query_id", "id", "score", "rank", "dense_rank", "sparse_rank", "dense_score", "sparse_score", merged(F.col("dense_metadata"), F.col("sparse_metadata")).alias("metadata"))
+
+
 def bag_counts(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return rows.select(*keys, F.explode(X.bag(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import bm25, dense, sparse_index
 from ..operators import retrieval as R
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, written
 from . import sqltext as S
 from .registry import query, table
 
@@ -140,6 +140,35 @@ def blended_topk(spark, d):
     return R.blended(vector_hits(spark, d), hits(spark, d), 0.7, 10)
 
 
+_EN = "(SELECT * FROM documents WHERE lang = 'en')"
+_MODES = f"""{_TOP}, sp AS (SELECT query_id, doc_id AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE doc_id IN (SELECT doc_id FROM {_EN}) QUALIFY rank <= 50),
+dv AS (SELECT q.k AS query_id, x.k AS id, CASE WHEN list_sum(q.v) = 0 OR list_sum(x.v) = 0 THEN 0 ELSE round(list_cosine_similarity(q.v, x.v), 6) END AS score FROM {_hashed('benchmark', 'item_id')} q CROSS JOIN {_hashed(_EN, 'doc_id')} x),
+de AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dv QUALIFY rank <= 50),
+j AS (SELECT coalesce(de.query_id, sp.query_id) AS query_id, coalesce(de.id, sp.id) AS id, de.rank AS dense_rank, sp.rank AS sparse_rank, de.score AS dense_score, sp.score AS sparse_score FROM de FULL JOIN sp ON de.query_id = sp.query_id AND de.id = sp.id),
+n AS (SELECT query_id, count(dense_rank) AS nd, count(sparse_rank) AS ns FROM j GROUP BY ALL),
+m AS (SELECT 'dense' AS mode, query_id, id, dense_rank, CAST(NULL AS BIGINT) AS sparse_rank, dense_score, CAST(NULL AS DOUBLE) AS sparse_score, dense_score AS score FROM j WHERE dense_rank IS NOT NULL
+UNION ALL SELECT 'hybrid_bm25', query_id, id, dense_rank, sparse_rank, dense_score, sparse_score, round(1.0::DOUBLE / (60 + coalesce(dense_rank, nd + 1)) + 1.0::DOUBLE / (60 + coalesce(sparse_rank, ns + 1)), 8) FROM j JOIN n USING (query_id)
+UNION ALL SELECT 'hybrid_splade', query_id, id, dense_rank, sparse_rank, dense_score, sparse_score, round(coalesce(dense_score, 0) + coalesce(round(sparse_score * (1 - 0.7::DOUBLE), 8), 0), 8) FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY score DESC, id) AS rank FROM m QUALIFY rank <= 10)
+SELECT r.*, CASE WHEN dense_rank IS NOT NULL THEN lang END AS lang, CASE WHEN sparse_rank IS NOT NULL THEN 'bm25:' ELSE '' END || source AS source, CASE WHEN sparse_rank IS NOT NULL THEN CAST(n_chars AS VARCHAR) END AS n_chars FROM r JOIN documents ON id = doc_id"""
+
+
+@query(_MODES)
+def hybrid_modes(spark, d):
+    """All three modes over documents that a filter allows; it holds in both arms before their best 50 are taken, of which 10 stay."""
+    t = table(spark, d, "documents")
+    allowed = t.withColumn("language", F.col("lang")).filter(R.predicate({"language": {"$eq": "en"}})).drop("language")
+    given = lambda rows, **fields: rows.join(allowed.select("doc_id", F.create_map(*[x for k, c in fields.items() for x in (F.lit(k), c.cast("string"))]).alias("metadata")), F.col("id") == F.col("doc_id")).drop("doc_id")
+    q = asked(spark, d)
+    v = allowed.select(F.col("doc_id").alias("vec_id"), dense.hashed_embedding(F.col("text")).alias("vector"))
+    near = written(dense.top_k(q.select("query_id", dense.hashed_embedding(F.col("text")).alias("vector")), v, 50).withColumnRenamed("vec_id", "id"), "hybrid-dense")
+    words = written(bm25.top_hits(docs(spark, d), q, 50, allowed.select("doc_id")).withColumnRenamed("doc_id", "id"), "hybrid-sparse")
+    arms = given(near, lang=F.col("lang"), source=F.col("source")), given(words, source=F.concat(F.lit("bm25:"), F.col("source")), n_chars=F.col("n_chars"))
+    found = [R.hybrid(*arms, mode=m) for m in R.MODES]
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.select("mode", "query_id", "id", "dense_rank", "sparse_rank", "dense_score", "sparse_score", "score", "rank", *[F.col("metadata")[k].alias(k) for k in ("lang", "source", "n_chars")])
+
+
 _TEXTS = f"{_HITS}, h AS (SELECT query_id, id, score, rank, text FROM hits JOIN documents ON id = doc_id WHERE rank <= 10)"
 _LEX = f"""{_TEXTS}, c AS (SELECT query_id, id, term, count(*) AS tf FROM (SELECT query_id, id, unnest({S.bag('text')}) AS term FROM h) GROUP BY ALL),
 qc AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY ALL), qn AS (SELECT query_id, sum(qtf * qtf) AS qn FROM qc GROUP BY ALL), cn AS (SELECT query_id, id, sum(tf * tf) AS cn FROM c GROUP BY ALL),
