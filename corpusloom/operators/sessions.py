@@ -41,3 +41,10 @@ def page(rows: DataFrame, before: DataFrame, limit: int) -> DataFrame:
     """Newest `limit` rows of each thread strictly before its cursor; before: (thread_id, cursor)."""
     d = rows.join(before, "thread_id").filter(F.col("created_at") < F.col("cursor"))
     return cap(d, limit).drop("cursor")
+
+
+def round_trip(rows: DataFrame) -> DataFrame:
+    """rows (state: JSON of any depth, ...) with it as VARIANT `v`, `back` as it comes back from JSON, and whether both are the same; a state that is no JSON is null."""
+    d = rows.withColumn("v", F.try_parse_json("state"))
+    d = d.withColumn("back", F.try_parse_json(F.to_json("v")))
+    return d.withColumn("same", F.to_json("v") == F.to_json("back"))

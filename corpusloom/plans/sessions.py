@@ -77,3 +77,16 @@ def tokens_per_minute(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     g = e.groupBy(F.window("ts", "60 seconds").alias("w")).agg(F.sum(F.length("props")).alias("tokens"))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("minute"), "tokens", (F.col("tokens") > 1000000).alias("over"))
+
+
+@query("""SELECT event_id AS checkpoint_id, event_id AS turn, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id + 1 AS nested, 'q"' || user_id AS tag, CAST(NULL AS VARCHAR) AS parent, TRUE AS same, 'OBJECT<history: ARRAY<ARRAY<BIGINT>>, parent: VOID, tags: ARRAY<STRING>, turn: OBJECT<id: BIGINT, props: OBJECT<k: BIGINT>>>' AS kind FROM events""")
+def state_variant(spark, d):
+    """States of any depth as VARIANT: nested objects, lists and nulls to JSON and back, asked by path."""
+    e = table(spark, d, "events")
+    n = F.col("event_id")
+    turn = F.struct(n.cast("long").alias("id"), F.parse_json("props").alias("props"))
+    state = F.struct(turn.alias("turn"), F.array(F.array(n - 1, n), F.array(n + 1)).alias("history"), F.array(F.lit("a"), F.concat(F.lit('q"'), F.col("user_id").cast("string"))).alias("tags"), F.lit(None).cast("string").alias("parent"))
+    rows = e.select(n.alias("checkpoint_id"), F.to_json(state, {"ignoreNullFields": "false"}).alias("state"))
+    v = W.round_trip(rows)
+    at = lambda path, kind: F.try_variant_get("back", path, kind)
+    return v.select("checkpoint_id", at("$.turn.id", "bigint").alias("turn"), at("$.turn.props.k", "bigint").alias("k"), at("$.history[1][0]", "bigint").alias("nested"), at("$.tags[1]", "string").alias("tag"), at("$.parent", "string").alias("parent"), "same", F.schema_of_variant("back").alias("kind"))

@@ -18,6 +18,16 @@ def stream_ingest_drain(spark, d):
     return jobs.drain(s.select("doc_id", F.length("text").cast("long").alias("n_chars"), reason.alias("reject_reason")))
 
 
+@query("SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN length(text) > 20000 THEN 'too long' WHEN NOT regexp_matches(text, '[A-Za-z]') THEN 'no letters' END AS reject_reason FROM documents")
+def stream_drain_rejects(spark, d):
+    """One stream to two tables, accepted rows and rejected ones with their reason."""
+    s = jobs.source(spark, f"{d}/documents.parquet").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    reason = F.when(F.trim(text) == "", "empty").when(F.length(text) > 20000, "too long").when(~text.rlike("[A-Za-z]"), "no letters")
+    accepted, rejected = jobs.drain_checked(s, reason)
+    return accepted.select("doc_id", F.lit(None).cast("string").alias("reject_reason")).unionByName(rejected.select("doc_id", "reject_reason"))
+
+
 @query("SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def stream_dedup(spark, d):
     s = jobs.source(spark, f"{d}/documents.parquet").select(F.sha2("text", 256).alias("content_hash"))

@@ -83,15 +83,17 @@ def markdown_text(md: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """files (path, length, content) to path, text, parser, status, fallback_used, attempts.
 
-    Each type has an order of extractors; the first that gives text wins.
+    Each type has an order of extractors; the first that gives text wins. Bytes that aren't UTF-8 fail the first two and are read as Latin-1 by the last.
     """
     v = validate(files).select("path", "extension", "reject_reason")
-    raw = files.select("path", F.col("content").cast("string").alias("raw")).join(v, "path")
+    latin = F.decode("content", "ISO-8859-1")
+    raw = files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("raw"), latin.alias("latin")).join(v, "path")
     html, plain = html_text(F.col("raw")), F.regexp_replace("raw", r"^\s+|\s+$", "")
     first = F.when(F.col("extension") == "html", html).when(F.col("extension").isin("txt", "csv"), plain)
-    one, two = F.when(first != "", first), F.when(plain != "", plain)
+    old = F.regexp_replace("latin", r"^\s+|\s+$", "")
+    one, two, three = F.when(first != "", first), F.when(plain != "", plain), F.when(F.col("raw").isNull() & (old != ""), old)
     ok = F.col("reject_reason").isNull()
     name = F.when(F.col("extension") == "html", "html_text").otherwise("plain_text")
-    attempts = F.array(F.struct(name.alias("parser"), one.isNotNull().alias("succeeded")), F.struct(F.lit("raw_text").alias("parser"), two.isNotNull().alias("succeeded")))
-    text = F.when(ok, F.coalesce(one, two))
-    return raw.select("path", text.alias("text"), F.when(text.isNull(), None).when(one.isNotNull(), name).otherwise("raw_text").alias("parser"), F.when(text.isNotNull(), "parsed").otherwise("failed").alias("status"), (text.isNotNull() & one.isNull()).alias("fallback_used"), attempts.alias("attempts"))
+    attempts = F.array(F.struct(name.alias("parser"), one.isNotNull().alias("succeeded")), F.struct(F.lit("raw_text").alias("parser"), two.isNotNull().alias("succeeded")), F.struct(F.lit("latin_text").alias("parser"), three.isNotNull().alias("succeeded")))
+    text = F.when(ok, F.coalesce(one, two, three))
+    return raw.select("path", text.alias("text"), F.when(text.isNull(), None).when(one.isNotNull(), name).when(two.isNotNull(), "raw_text").otherwise("latin_text").alias("parser"), F.when(text.isNotNull(), "parsed").otherwise("failed").alias("status"), (text.isNotNull() & one.isNull()).alias("fallback_used"), attempts.alias("attempts"))

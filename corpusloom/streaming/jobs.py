@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import shared_folder
 
@@ -64,6 +65,34 @@ def drain_changes(stream: DataFrame, change: Callable[[DataFrame], DataFrame] |
     return rows.join(last, [*keys, "batch"], "left_semi").drop("batch")
 
 
+def staged(spark: SparkSession, folder: str, archive: str | None = None, files_at_once: int = 100) -> DataFrame:
+    """Uploaded files of a folder (path, modificationTime, length, content) as a stream. With `archive` a file is moved there once its batch is committed."""
+    reader = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_at_once)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+
+
+def drain_checked(stream: DataFrame, reason: Column, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of a stream that are accepted, and those that aren't, with `reject_reason`; `reason` gives null for the former.
+
+    A batch is gone through once: it writes both kinds below its own number, so one that is run again after a failure writes the same again and doubles nothing. Called
+    again with the same `at` it goes on with what is new. A row that can't be judged (the reason fails) is no exception that stops the run: use try_ functions in `reason`.
+    """
+    spark = stream.sparkSession
+    at = at or shared_folder(spark, "stream")
+    given = T.StructType([*stream.schema.fields, T.StructField("reject_reason", T.StringType()), T.StructField("verdict", T.StringType()), T.StructField("batch", T.LongType())])
+
+    def each(batch: DataFrame, number: int) -> None:
+        judged = batch.withColumn("reject_reason", reason)
+        judged.withColumn("verdict", F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")).write.mode("overwrite").partitionBy("verdict").parquet(f"{at}/out/batch={number}")
+
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(given).option("basePath", f"{at}/out").parquet(f"{at}/out").drop("batch")
+    return rows.filter("verdict = 'accepted'").drop("verdict", "reject_reason"), rows.filter("verdict = 'rejected'").drop("verdict")
+
+
 def dedup(stream: DataFrame, keys: list[str]) -> DataFrame:
     """First row of each key, in whatever order rows come: the state holds every key, nothing is too late and nothing forgotten."""
     return stream.dropDuplicates(keys)

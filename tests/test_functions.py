@@ -45,3 +45,17 @@ def test_language(spark):
 def test_sentences(spark):
     assert one(spark, 'One. Two! "Three" four? five', X.chunk_sentences) == ["One.", "Two!", '"Three" four? five']
     assert one(spark, None, X.sentences) == []
+
+
+def test_states_of_any_depth(spark):
+    from corpusloom.operators import sessions
+
+    states = ['{"a": {"b": [1, {"c": null}, [true, 2.5]]}, "é": "q\\"x"}', "[]", "null", "no json", None, '{"deep": ' + "[" * 40 + "1" + "]" * 40 + "}"]
+    got = sessions.round_trip(spark.createDataFrame([(i, s) for i, s in enumerate(states)], "i int, state string")).orderBy("i")
+    assert [r.same for r in got.select("same").collect()] == [True, True, True, None, None, True]
+    import json
+
+    from pyspark.sql import functions as F
+
+    back = [r.j for r in got.select(F.to_json("back").alias("j")).collect()]
+    assert [b and json.loads(b) for b in back[:2]] == [json.loads(s) for s in states[:2]] and json.loads(back[5]) == json.loads(states[5])

@@ -61,3 +61,40 @@ def test_windows_close_once(spark, tmp_path):
     s = jobs.source(spark, str(tmp_path / "t"), files_at_once=1)
     got = sorted((r.start.minute, r.total, r.n) for r in jobs.drain(jobs.per_window(s, "ts", "v")).collect())
     assert got == [(0, 1, 1), (1, 4, 1), (2, 10, 2)]
+
+
+def test_rejects_and_restart(spark, tmp_path):
+    """A bad row doesn't stop the run; a batch that is run again, and a second run, double nothing."""
+    parts = [[(1, "12"), (2, "x")], [(3, None), (4, "7")]]
+    files(spark, str(tmp_path / "t"), parts, "id long, text string")
+    s = jobs.source(spark, str(tmp_path / "t"), files_at_once=1)
+    number = F.col("text").try_cast("int")
+    reason = F.when(F.col("text").isNull(), "null").when(number.isNull(), "no number")
+    at = str(tmp_path / "at")
+    both = lambda: tuple(sorted(map(tuple, x.collect())) for x in jobs.drain_checked(s, reason, at))
+    want = [(1, "12"), (4, "7")], [(2, "x", "no number"), (3, None, "null")]
+    assert both() == want == both()
+    import shutil
+
+    shutil.rmtree(f"{at}/checkpoint/commits")  # as if it broke off before the last batches were committed
+    assert both() == want
+    files(spark, str(tmp_path / "t"), [[(5, "5")]], "id long, text string")
+    assert both() == (sorted([*want[0], (5, "5")]), want[1])
+
+
+def test_staged_files_are_archived(spark, tmp_path):
+    from corpusloom.sources import files as S
+
+    (tmp_path / "in").mkdir()
+    for name, data in {"a.txt": b"words", "b.pdf": b"no pdf", "c.txt": b"caf\xe9"}.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    at, old = str(tmp_path / "at"), tmp_path / "old"
+    name = F.substring_index("path", ".", -1)
+    go = lambda: jobs.drain_checked(jobs.staged(spark, str(tmp_path / "in"), str(old), 1), F.when(name == "pdf", "no pdf"), at)
+    accepted, rejected = go()
+    assert (accepted.count(), rejected.count()) == (2, 1)
+    assert {r.path[-5:]: (r.text, r.parser) for r in S.scan(accepted.select("path", "length", "content")).collect()} == {"a.txt": ("words", "plain_text"), "c.txt": ("café", "latin_text")}
+    (tmp_path / "in" / "d.txt").write_bytes(b"more")
+    accepted, rejected = go()
+    assert (accepted.count(), rejected.count()) == (3, 1)
+    assert len(list(old.rglob("*.*"))) >= 3 and len(list((tmp_path / "in").iterdir())) <= 1  # all but the last batch's
