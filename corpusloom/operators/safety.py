@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import folds
 
 # Terms of each toxic category.
 TOXIC = {
@@ -101,45 +100,44 @@ def block_reason(text: Column, n_documents: Column | None = None) -> Column:
     return r.when(F.size(toxic_categories(t)) > 0, "toxic").when(any_of(t, INJECTION), "prompt_injection").when(any_of(t, JAILBREAK), "jailbreak")
 
 
-def luhn(digits: str) -> bool:
-    total = sum(int(d) for d in digits[-1::-2]) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
-    return total % 10 == 0
+def _found(text: str, order: int, kind: str) -> str:
+    """Spans of one pattern as an array of start, size, order, end, type: what lies between matches and the matches themselves, laid end to end."""
+    pattern = PII[kind]
+    pattern = 'r"' + ("(?iU)" + pattern.removeprefix("(?i)") if pattern.startswith("(?i)") else "(?U)" + pattern) + '"'
+    a, x, end, m = (folds.name() for _ in range(4))
+    digits = f"regexp_replace({m}, r'(?U)\\D', '')"
+    lo, hi = _DIGITS.get(kind, (0, 0))
+    good = f"length({digits}) BETWEEN {lo} AND {hi}" + (f" AND luhn_check({digits})" if kind == "CREDIT_CARD" else "") if hi else "true"
+    step = f"named_struct('at', {a}.at + length({x}.p) + length({x}.m), 'out', concat({a}.out, array(named_struct('start', {a}.at + length({x}.p), 'm', {x}.m))))"
+    laid = lambda hits: f"aggregate(zip_with(slice(split({text}, {pattern}), 1, size({hits})), {hits}, (p, m) -> named_struct('p', p, 'm', m)), named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,m:string>>)), ({a}, {x}) -> {step}, {end} -> {end}.out)"
+    span = lambda h: folds.let(f"{h}.m", lambda t: f"if({good.replace(m, t)}, named_struct('start', {h}.start, 'size', -length({t}), 'order', {order}, 'end', {h}.start + length({t}), 'type', '{kind}'), NULL)")
+    return folds.let(f"regexp_extract_all({text}, {pattern}, 0)", lambda hits: f"array_compact({folds.each(laid(hits), span)})")
 
 
-def mask_text(text: str) -> tuple[str, list[str]]:
-    """Spans by start, then length, then order of patterns; overlapping later ones are passed over."""
-    spans = []
-    for name, pattern in PII.items():
-        for m in re.finditer(pattern, text):
-            digits = re.sub(r"\D", "", m[0])
-            lo, hi = _DIGITS.get(name, (0, 1 << 30))
-            if lo <= len(digits) <= hi and (name != "CREDIT_CARD" or luhn(digits)):
-                spans.append((m.start(), m.end(), name))
-    out, at, types = [], 0, []
-    for a, b, name in sorted(spans, key=lambda s: (s[0], s[0] - s[1])):
-        if a >= at:
-            out += [text[at:a], f"[{name}_REDACTED]"]
-            at = b
-            types.append(name)
-    return "".join([*out, text[at:]]), list(dict.fromkeys(types))
+def pii_spans(text: str) -> str:
+    """SQL of the spans of all types in a text column, as array of type, start, end (places from 0): by start, then the longer one, then the order of PII; one that overlaps an earlier is left out."""
+    a, x, end = folds.name(), folds.name(), folds.name()
+    every = f"array_sort(concat({', '.join(_found(text, i, k) for i, k in enumerate(PII))}))"
+    step = f"if({x}.start >= {a}.at, named_struct('at', {x}.end, 'out', concat({a}.out, array(named_struct('type', {x}.type, 'start', {x}.start, 'end', {x}.end)))), {a})"
+    none = "CAST(array() AS array<struct<type:string,start:int,end:int>>)"
+    kept = f"aggregate({every}, named_struct('at', 0, 'out', {none}), ({a}, {x}) -> {step}, {end} -> {end}.out)"
+    return f"if({text} RLIKE r'[\\p{{Nd}}@]', {kept}, {none})"  # every pattern needs a digit of any script or an @
 
 
 def mask(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with `masked` and `pii_types`. Only rows that some pattern may match leave the JVM: each pattern needs a digit of any script or an @."""
-    from pyspark.sql import types as T
-
-    suspect = F.col(text).rlike(r"[\p{Nd}@]")
-    kind = T.StructType([T.StructField("masked", T.StringType()), T.StructField("pii_types", T.ArrayType(T.StringType()))])
-
-    @F.pandas_udf(kind)
-    def run(s):
-        import pandas as pd
-
-        return pd.DataFrame([mask_text(t or "") for t in s], columns=["masked", "pii_types"])
-
-    clean = rows.filter(~F.coalesce(suspect, F.lit(False))).withColumns({"masked": F.col(text), "pii_types": F.array().cast("array<string>")})
-    dirty = rows.filter(suspect).withColumn("_m", run(F.col(text))).select("*", "_m.masked", "_m.pii_types").drop("_m")
-    return clean.unionByName(dirty)
+    """rows with `pii_spans` (type, start, end), `masked` and `pii_types`, on the JVM. Null text: no spans, masked is null. A card number in other digits than 0-9 isn't taken for one."""
+    d = rows.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("pii_spans", F.expr(pii_spans("_t")))
+    before = lambda i: f"if({i} = 0, 0, get(pii_spans, {i} - 1).end)"
+    parts = folds.each_at("pii_spans", lambda s, i: f"concat(substring(_t, {before(i)} + 1, {s}.start - {before(i)}), '[', {s}.type, '_REDACTED]')")
+    masked = F.when(F.size("pii_spans") == 0, F.col(text)).otherwise(F.expr(f"concat(array_join({parts}, ''), substring(_t, get(pii_spans, size(pii_spans) - 1).end + 1, length(_t)))"))
+    return d.withColumns({"masked": masked, "pii_types": F.array_distinct("pii_spans.type")}).drop("_t")
+
+
+def pii_counts(rows: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """by, type, n_spans, n_rows of all types."""
+    found = mask(rows, text).select(by, F.col("pii_spans.type").alias("t"))
+    each = found.select(by, F.explode(F.transform(F.array_distinct("t"), lambda k: F.struct(k.alias("type"), F.size(F.filter("t", lambda x: x == k)).alias("n")))).alias("c"))
+    return each.groupBy(by, F.col("c.type").alias("type")).agg(F.sum("c.n").alias("n_spans"), F.count("*").alias("n_rows"))
 
 
 def groundedness(answers: DataFrame, threshold: float = 0.35) -> DataFrame:

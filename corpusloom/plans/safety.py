@@ -84,6 +84,12 @@ _A = "a AS (SELECT conv_id || ':' || turn AS answer_id, CASE WHEN turn % 4 = 1 T
 _KNOWN = f"list_filter({S.bag('context')}, lambda x: x NOT IN {S.in_list(X.ANSWER_STOP_WORDS)})"
 
 
+@query()
+def pii_spans_by_source(spark, d):
+    """Spans and documents of all nine types, by source."""
+    return G.pii_counts(table(spark, d, "documents").select("source", "text"), "source")
+
+
 @query(f"""WITH {_A}, s AS (SELECT answer_id, context, {_KNOWN} AS known, unnest(list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS s FROM a),
 t AS (SELECT *, list_distinct(list_filter({S.bag('s')}, lambda x: x NOT IN {S.in_list(X.ANSWER_STOP_WORDS)})) AS t FROM s),
 ok AS (SELECT answer_id, context, CASE WHEN len({S.words('s')}) < 4 OR starts_with(lower(s), 'sources') OR len(t) = 0 THEN 1 WHEN len(list_intersect(t, known)) / len(t)::DOUBLE >= 0.35 THEN 1 ELSE 0 END AS ok FROM t)

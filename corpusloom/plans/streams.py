@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25, sessions
+from ..operators import bm25, sessions, store
 from ..streaming import jobs
 from . import sqltext as S
 from .registry import query
@@ -34,6 +34,12 @@ def stream_dedup(spark, d):
     return jobs.drain(jobs.dedup(s, ["content_hash"]))
 
 
+def refreshed(before, batch):
+    """Term counts after a batch (doc_id, text), for a table that is kept as one: the old rows of its documents go, all of them, before the new ones come."""
+    new = bm25.term_frequency(batch)
+    return new if before is None else store.delete_ids(before, batch, "doc_id").unionByName(new)
+
+
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({S.bag('text')}) AS term FROM documents) GROUP BY ALL")
 def stream_index_refresh(spark, d):
     """Term counts of documents, batch by batch; a document that comes again replaces its rows."""
