@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 @contextmanager
 def large_state(spark: SparkSession) -> Iterator[None]:
-    """Queries started here keep their state on disk, in RocksDB; a running query keeps the store that it began with."""
+    """Queries started here keep their state on disk, in RocksDB; a running query keeps the store that it began with.
+
+    For state beyond the executors' memory. A store takes some 4 MB of disk for each partition, however small it is.
+    """
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKSDB)
@@ -33,17 +36,17 @@ def large_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def drain(stream: DataFrame, at: str | None = None) -> DataFrame:
-    """Append all that the stream has; the checkpoint makes each input count once, also when it is called again with the same `at`."""
+def drain(stream: DataFrame, at: str | None = None, large: bool = False) -> DataFrame:
+    """Append all that the stream has; the checkpoint makes each input count once, also when it is called again with the same `at`. `large`: as in `large_state`; else the session's store."""
     spark = stream.sparkSession
     at = at or shared_folder(spark, "stream")
-    with large_state(spark):
+    with large_state(spark) if large else nullcontext():
         q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def drain_changes(stream: DataFrame, change: Callable[[DataFrame], DataFrame] | None = None, keys: list[str] | None = None, at: str | None = None) -> DataFrame:
+def drain_changes(stream: DataFrame, change: Callable[[DataFrame], DataFrame] | None = None, keys: list[str] | None = None, at: str | None = None, large: bool = False) -> DataFrame:
     """Drain a stream of changes to a keyed table, and give the table: for each key the rows of the last batch that had it.
 
     A batch appends its own rows, and the keys that it touched, under its number, so its work is in proportion to the batch; one that is run again overwrites its
@@ -57,7 +60,7 @@ def drain_changes(stream: DataFrame, change: Callable[[DataFrame], DataFrame] |
         batch.select(*keys).distinct().write.mode("overwrite").parquet(f"{at}/touched/batch={number}")
         (change(batch) if change else batch).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
-    with large_state(spark):
+    with large_state(spark) if large else nullcontext():
         q = stream.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()
     last = spark.read.parquet(f"{at}/touched").groupBy(*keys).agg(F.max("batch").alias("batch"))

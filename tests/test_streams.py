@@ -30,9 +30,10 @@ def test_dedup_in_any_order(spark, tmp_path):
     files(spark, str(tmp_path / "t"), parts, "doc_id long, text string")
     s = jobs.source(spark, str(tmp_path / "t"), files_at_once=1).select("text")
     at = str(tmp_path / "at")
-    assert sorted(map(repr, (r.text for r in jobs.drain(jobs.dedup(s, ["text"]), at).collect()))) == ["'a'", "'b'", "'c'", "'d'", "'e'", "None"]
+    assert sorted(map(repr, (r.text for r in jobs.drain(jobs.dedup(s, ["text"]), at, large=True).collect()))) == ["'a'", "'b'", "'c'", "'d'", "'e'", "None"]
     files(spark, str(tmp_path / "t"), [[(4, "b"), (5, "f")]], "doc_id long, text string")  # goes on where it was
-    assert jobs.drain(jobs.dedup(s, ["text"]), at).count() == 7
+    assert jobs.drain(jobs.dedup(s, ["text"]), at, large=True).count() == 7
+    assert jobs.drain(jobs.dedup(s, ["text"])).count() == 7  # the session's own store
 
 
 def test_documents_that_come_again(spark, tmp_path):
