@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -103,8 +103,8 @@ def query_blocks(asked: list[tuple[int, str, int]], number: dict[str, int], plac
     return out
 
 
-def top_hits(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score, rank of the best k documents (doc_id, text) of each query (query_id, text), of the `allowed` (doc_id) only, if given.
+def top_hits(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank of the best k documents (doc_id, text) of each query (query_id, text), of the `allowed` (doc_id) only and of those `where` holds for, if given.
 
     Statistics are those of the whole collection. Queries whose terms fit `BROADCAST_TERMS` go to the tasks by value; a task scores its
     documents in blocks, as matrix products, and gives its best k for each query. Weights have six decimals and are summed as whole
@@ -115,6 +115,7 @@ def top_hits(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | N
     asked = [(r["query_id"], r["term"], r["n"]) for r in counted.limit(BROADCAST_TERMS + 1).collect()]
     if len(asked) > BROADCAST_TERMS:
         found = scores(queries, postings(docs, terms(queries, "query_id")))
+        allowed = docs.filter(where).select("doc_id") if where is not None and allowed is None else allowed if where is None else allowed.join(docs.filter(where).select("doc_id"), "doc_id", "left_semi")
         found = found if allowed is None else found.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
         return top(found.filter("doc_id IS NOT NULL"), k)
     names = sorted({t for _, t, _ in asked})
@@ -152,7 +153,8 @@ def top_hits(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | N
         q, doc, s = best.rows()
         yield pa.record_batch([pa.array(np.array(ids, np.int64)[q]), pa.array(doc), pa.array(s / 1e6)], names=["query_id", "doc_id", "score"])
 
-    d = docs if allowed is None else docs.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+    some = docs if where is None else docs.filter(where)
+    d = some if allowed is None else some.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
     d = d.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     if not names or not total:
         return top(spark.createDataFrame([], "query_id long, doc_id long, score double"), k)

@@ -128,27 +128,11 @@ def in_blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> Da
 
 
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
-    """Counts of the text's terms in `dims` hash buckets: the default model where a caller brings none.
-
-    Any other model has the same form: a pandas function of texts that gives arrays of `dims` numbers.
-    """
-
-    @F.pandas_udf("array<double>")
-    def embed(texts):
-        import hashlib
-        import re
-
-        import pandas as pd
-
-        known: dict[str, int] = {}
-        out = []
-        for t in texts:
-            v = np.zeros(dims)
-            for w in re.findall(r"[a-z0-9]+", (t or "").lower()):
-                if w not in known:
-                    known[w] = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:6], 16) % dims
-                v[known[w]] += 1
-            out.append(v)
-        return pd.Series(out)
-
-    return embed(text)
+    """Counts of the text's terms in `dims` hash buckets, on the JVM: runs of the sorted buckets. `embedding.Model` is the slot for any other model."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
+    buckets = F.array_sort(F.transform(words, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 6), 16, 10).cast("int") % dims))
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    starts = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+    runs = lambda s, at: F.map_from_entries(F.transform(at, lambda a, i: F.struct(F.get(s, a), (F.coalesce(F.get(at, i + 1), F.size(s)) - a).cast("double"))))
+    spread = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
+    return let(buckets, lambda s: let(starts(s), lambda at: let(runs(s, at), spread)))

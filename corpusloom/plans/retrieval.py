@@ -156,13 +156,14 @@ SELECT r.*, CASE WHEN dense_rank IS NOT NULL THEN lang END AS lang, CASE WHEN sp
 @query(_MODES)
 def hybrid_modes(spark, d):
     """All three modes over documents that a filter allows; it holds in both arms before their best 50 are taken, of which 10 stay."""
-    t = table(spark, d, "documents")
-    allowed = t.withColumn("language", F.col("lang")).filter(R.predicate({"language": {"$eq": "en"}})).drop("language")
+    t = table(spark, d, "documents").withColumn("language", F.col("lang"))
+    where = R.predicate({"language": {"$eq": "en"}})
+    allowed = t.filter(where)
     given = lambda rows, **fields: rows.join(allowed.select("doc_id", F.create_map(*[x for k, c in fields.items() for x in (F.lit(k), c.cast("string"))]).alias("metadata")), F.col("id") == F.col("doc_id")).drop("doc_id")
     q = asked(spark, d)
     v = allowed.select(F.col("doc_id").alias("vec_id"), dense.hashed_embedding(F.col("text")).alias("vector"))
     near = written(dense.top_k(q.select("query_id", dense.hashed_embedding(F.col("text")).alias("vector")), v, 50).withColumnRenamed("vec_id", "id"), "hybrid-dense")
-    words = written(bm25.top_hits(docs(spark, d), q, 50, allowed.select("doc_id")).withColumnRenamed("doc_id", "id"), "hybrid-sparse")
+    words = written(bm25.top_hits(t, q, 50, where=where).withColumnRenamed("doc_id", "id"), "hybrid-sparse")
     arms = given(near, lang=F.col("lang"), source=F.col("source")), given(words, source=F.concat(F.lit("bm25:"), F.col("source")), n_chars=F.col("n_chars"))
     found = [R.hybrid(*arms, mode=m) for m in R.MODES]
     every = found[0].unionByName(found[1]).unionByName(found[2])

@@ -35,3 +35,14 @@ def test_merged_is_null_safe(spark):
     m = "map<string,string>"
     d = spark.createDataFrame([({"a": "1", "b": None}, {"b": "2"}), (None, {"c": "3"}), ({"a": "1"}, None), (None, None)], f"l {m}, r {m}")
     assert [r[0] for r in d.select(R.merged(F.col("l"), F.col("r"))).collect()] == [{"a": "1", "b": "2"}, {"c": "3"}, {"a": "1"}, {}]
+
+
+def test_filter_by_column_is_filter_by_list(spark):
+    from corpusloom.operators import bm25
+
+    d = spark.createDataFrame([(i, f"word w{i % 4} x{i}", "en" if i % 3 else "fr") for i in range(60)], "doc_id long, text string, lang string")
+    q = spark.createDataFrame([(1, "w1 word"), (2, "x9 x10 w2")], "query_id long, text string")
+    same = lambda **how: sorted(map(tuple, bm25.top_hits(d, q, 7, **how).collect()))
+    want = same(allowed=d.filter("lang = 'en'").select("doc_id"))
+    assert same(where=F.col("lang") == "en") == want and len(want) == 14
+    assert same(where=F.col("lang") == "en", allowed=d.filter("doc_id < 30").select("doc_id")) == same(allowed=d.filter("lang = 'en' AND doc_id < 30").select("doc_id"))
