@@ -6,8 +6,6 @@ arithmetic, greedy strategies the folds of `folds`; all of it runs inside a docu
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..operators import bm25, chunking, dense, embedding, ingest, store
 from ..sources.shared import shared_folder
 from . import sqltext as S

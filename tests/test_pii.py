@@ -5,7 +5,6 @@ from collections import Counter
 
 import plain_pii
 import pytest
-from pyspark.sql import functions as F
 
 from corpusloom.operators import safety
 
