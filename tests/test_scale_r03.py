@@ -42,3 +42,11 @@ def test_rows_that_share_a_doc_id_are_one_document(spark, asked):
     assert rows(bm25.postings(d), "doc_id", "term", "tf") == [(1, "bb", 2), (1, "here", 1), (1, "same", 2), (2, "ee", 1)]
     s = rows(bm25.all_scores(d, asked), "query_id", "doc_id")
     assert s == [(1, 1), (4, 1), (4, 2)]
+
+
+def test_scaled_scores_need_no_window(spark):
+    hits = spark.createDataFrame([(1, 10, 2.0), (1, 11, 4.0), (1, 12, 3.0), (2, 10, 5.0)], "query_id long, doc_id long, score double")
+    for n, want in ((3, [(1, 10, 0.0), (1, 11, 1.0), (1, 12, 0.5), (2, 10, 1.0)]), (4, [(1, 10, 0.5), (1, 11, 1.0), (1, 12, 0.75), (2, 10, 1.0)]), (None, [(1, 10, 0.0), (1, 11, 1.0), (1, 12, 0.5), (2, 10, 0.0)])):
+        d = bm25.min_max(hits, n)
+        assert rows(d, "query_id", "doc_id", "norm") == want
+        assert "Window" not in plan(d) and "BroadcastHashJoin" in plan(d)
