@@ -50,3 +50,21 @@ def test_scaled_scores_need_no_window(spark):
         d = bm25.min_max(hits, n)
         assert rows(d, "query_id", "doc_id", "norm") == want
         assert "Window" not in plan(d) and "BroadcastHashJoin" in plan(d)
+
+
+def test_only_rare_terms_are_shuffled_to_their_counts(spark, texts):
+    """Few or all terms by broadcast: the same df; a term of many documents takes no part in the shuffle."""
+    tf = bm25.written(bm25.counted(texts), "test-tf")
+    want = rows(tf.groupBy("term").agg(F.count("*").alias("df")))
+    for most in (0, 7, 1000):
+        x = bm25.with_df(tf, most)
+        assert x.count() == tf.count() and rows(x.select("term", "df").distinct(), "term", "df") == want
+        assert "BroadcastHashJoin" in plan(x)
+
+
+def test_counted_terms_are_those_of_a_grouping(spark, texts):
+    want = rows(bm25.terms(texts, "doc_id").groupBy("doc_id", "term").count(), "doc_id", "term", "count")
+    found = bm25.counted(texts)
+    assert rows(found, "doc_id", "term", "tf") == want and "Exchange hash" not in plan(found)
+    odd = spark.createDataFrame([(1, " -Aa9--b\tÄa\n"), (2, "--"), (3, "x")], "doc_id long, text string")
+    assert rows(bm25.counted(odd), "doc_id", "dl", "term", "tf") == [(1, 3, "a", 1), (1, 3, "aa9", 1), (1, 3, "b", 1), (3, 1, "x", 1)]
