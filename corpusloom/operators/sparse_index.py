@@ -17,7 +17,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..sources.shared import written
 from . import bm25
 
@@ -27,6 +26,8 @@ BROADCAST_TERMS = 500_000
 MANIFEST = "build string, built_at timestamp, buckets int, n_docs long, avgdl double"
 COLUMNS = {"postings": "shard int, term string, doc_id long, tf int, dl int", "terms": "term string, df long, n long"}
 BUCKETED = {"postings": "shard", "terms": "term"}
+#: Bytes of text that a bucket holds about; more text makes more buckets, so that a task's sort stays as large.
+BUCKET_BYTES = 16_000_000
 #: Queries with no more distinct terms have them looked up in the files' statistics.
 PUSHED_TERMS = 10
 
@@ -51,15 +52,18 @@ def _store(rows: DataFrame, path: str, build: str, kind: str, buckets: int) -> D
 
 
 def build(docs: DataFrame, path: str, buckets: int | None = None) -> str:
-    """Index docs (doc_id, text) below `path`; gives the build's name. `buckets`: as many as shuffle partitions, unless given."""
+    """Index docs (doc_id, text) below `path`; gives the build's name. `buckets`: one for each BUCKET_BYTES of text, at least as many as shuffle partitions, unless given."""
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     name = uuid.uuid4().hex
     d = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # texts are dealt to the shards; terms come to be there, so that they are counted without another shuffle
+    # texts are dealt to the shards; terms are counted there in each document's row, without a shuffle or a grouping
     dealt = d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).repartition(buckets, "shard")
-    t = dealt.select("shard", "doc_id", X.bag(F.col("text")).alias("bag")).select("shard", "doc_id", F.size("bag").alias("dl"), F.explode("bag").alias("term"))
-    tf = t.groupBy("shard", "doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    tf = bm25.runs(dealt, "shard").withColumn("tf", F.col("tf").cast("int"))
+    if bm25.repeated(d):
+        tf = tf.groupBy("shard", "doc_id", "dl", "term").agg(F.sum("tf").cast("int").alias("tf"))
     postings = _store(tf.select("shard", "term", "doc_id", "tf", "dl"), path, name, "postings", buckets)
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
     _store(terms.repartition(buckets, "term"), path, name, "terms", buckets)

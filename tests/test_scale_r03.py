@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import bm25
+from corpusloom.operators import bm25, evaluation, sparse_index
 
 
 def rows(df, *by):
@@ -68,3 +69,22 @@ def test_counted_terms_are_those_of_a_grouping(spark, texts):
     assert rows(found, "doc_id", "term", "tf") == want and "Exchange hash" not in plan(found)
     odd = spark.createDataFrame([(1, " -Aa9--b\tÄa\n"), (2, "--"), (3, "x")], "doc_id long, text string")
     assert rows(bm25.counted(odd), "doc_id", "dl", "term", "tf") == [(1, 3, "a", 1), (1, 3, "aa9", 1), (1, 3, "b", 1), (3, 1, "x", 1)]
+
+
+def test_index_takes_more_buckets_for_more_text(spark, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(sparse_index, "BUCKET_BYTES", 200)
+    at = str(tmp_path / "i")
+    sparse_index.build(texts, at)
+    index = sparse_index.load(spark, at)
+    assert index.buckets > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows(index.terms, "term", "df", "n") == rows(bm25.term_stats(bm25.term_frequency(texts)), "term", "df", "n")
+
+
+def test_grades_by_label_are_those_of_pairs_without_pairs(spark):
+    v = spark.createDataFrame([(i, None if i % 11 == 0 else i % 3) for i in range(40)], "id long, label int")
+    q = v.filter("id % 10 < 2").withColumnRenamed("id", "query_id")
+    pairs = q.join(v, "label").select("query_id", "id", F.when(F.col("query_id") == F.col("id"), 3.0).otherwise(1.0).alias("relevance"))
+    run = q.join(v.select("id"), F.pmod(F.col("id") * 7 + F.col("query_id"), F.lit(5)) == 0).select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("id") % 7, "id")).alias("rank"))
+    by = evaluation.SameLabel(q, v)
+    for f in (lambda x: evaluation.recall(run, x, [1, 5, 10]), lambda x: evaluation.recall(run, x, [3], 2.0), lambda x: evaluation.reciprocal_rank(run, x), lambda x: evaluation.ndcg(run, x, [1, 5, 10])):
+        assert rows(f(by)) == rows(f(pairs))
