@@ -35,11 +35,16 @@ def sniffed(content: Column) -> Column:
     return F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), "zip").when(head.startswith("D0CF11E0"), "ole").when(start.startswith("<!doctype html") | start.startswith("<html"), "html").otherwise("text")
 
 
-def validate(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """files (path, length, content) to path, extension, mime, length, reject_code, reject_reason (nulls: accepted)."""
+def rejection(max_bytes: int = MAX_BYTES) -> Column:
+    """Why a file (path, length, content) isn't taken; null: it is."""
     ext, kind = extension(F.col("path")), sniffed(F.col("content"))
     agrees = F.when(kind == "pdf", ext == "pdf").when(kind == "zip", ext.isin("docx", "xlsx")).when(kind == "ole", ext.isin("docx", "xlsx")).when(kind == "html", ext == "html").otherwise(ext.isin("csv", "txt", "html"))
-    reason = F.when(F.col("length") == 0, "empty").when(ext == "", "no extension").when(~ext.isin(*MIME), "unsupported type").when(F.col("length") > max_bytes, "too large").when(~agrees, "content is not what the extension says")
+    return F.when(F.col("length") == 0, "empty").when(ext == "", "no extension").when(~ext.isin(*MIME), "unsupported type").when(F.col("length") > max_bytes, "too large").when(~agrees, "content is not what the extension says")
+
+
+def validate(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """files (path, length, content) to path, extension, mime, length, reject_code, reject_reason (nulls: accepted)."""
+    ext, reason = extension(F.col("path")), rejection(max_bytes)
     code = F.when(reason.isin("unsupported type", "content is not what the extension says"), 415).when(reason.isNotNull(), 400)
     return files.select("path", ext.alias("extension"), mime(ext).alias("mime"), "length", code.alias("reject_code"), reason.alias("reject_reason"))
 
@@ -85,9 +90,8 @@ def scan(files: DataFrame) -> DataFrame:
 
     Each type has an order of extractors; the first that gives text wins. Bytes that aren't UTF-8 fail the first two and are read as Latin-1 by the last.
     """
-    v = validate(files).select("path", "extension", "reject_reason")
     latin = F.decode("content", "ISO-8859-1")
-    raw = files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("raw"), latin.alias("latin")).join(v, "path")
+    raw = files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("raw"), latin.alias("latin"), extension(F.col("path")).alias("extension"), rejection().alias("reject_reason"))
     html, plain = html_text(F.col("raw")), F.regexp_replace("raw", r"^\s+|\s+$", "")
     first = F.when(F.col("extension") == "html", html).when(F.col("extension").isin("txt", "csv"), plain)
     old = F.regexp_replace("latin", r"^\s+|\s+$", "")
