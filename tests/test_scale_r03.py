@@ -7,6 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import bm25, evaluation, sparse_index
+from corpusloom.operators import retrieval as R
+from corpusloom.sources import files
 
 
 def rows(df, *by):
@@ -88,3 +90,30 @@ def test_grades_by_label_are_those_of_pairs_without_pairs(spark):
     by = evaluation.SameLabel(q, v)
     for f in (lambda x: evaluation.recall(run, x, [1, 5, 10]), lambda x: evaluation.recall(run, x, [3], 2.0), lambda x: evaluation.reciprocal_rank(run, x), lambda x: evaluation.ndcg(run, x, [1, 5, 10])):
         assert rows(f(by)) == rows(f(pairs))
+
+
+def test_fused_lists_are_made_once(spark):
+    a = spark.range(20).select((F.col("id") % 3).alias("query_id"), "id", (F.col("id") / 3 + 1).cast("int").alias("rank"))
+    b = spark.range(30).select((F.col("id") % 4).alias("query_id"), "id", (F.col("id") / 4 + 1).cast("int").alias("rank"))
+    found = R.rrf(a, b)
+    assert plan(found).count("Range (") == 2
+    score = {(r.query_id, r.id): r.rrf_score for r in found.collect()}
+    assert score[3, 3] == round(1 / 61 + 1 / 61, 8) and score[0, 0] == round(1 / 61 + 1 / 61, 8)  # query 3 has no list in a: rank 0 + 1
+
+
+def test_scans_take_few_texts_at_once(spark, texts, asked):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 10000)
+        bm25.top_hits(texts, asked, 3)
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_scan_shuffles_no_content_and_keeps_rows_apart(spark):
+    f = spark.createDataFrame([("a.txt", b"words"), ("a.txt", b"other words"), ("b.pdf", b"no pdf"), ("c.html", b"<html>x</html>")], "path string, content binary")
+    s = files.scan(f.withColumn("length", F.octet_length("content").cast("long")))
+    assert "Exchange" not in plan(s)
+    assert sorted(map(str, rows(s.na.fill(""), "path", "text", "status"))) == sorted(map(str, [("a.txt", "words", "parsed"), ("a.txt", "other words", "parsed"), ("b.pdf", "", "failed"), ("c.html", "x", "parsed")]))
