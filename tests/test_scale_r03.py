@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import bm25, evaluation, sparse_index
 from corpusloom.operators import retrieval as R
+from corpusloom.plans.registry import QUERIES
 from corpusloom.sources import files
 
 
@@ -117,3 +118,10 @@ def test_a_scan_shuffles_no_content_and_keeps_rows_apart(spark):
     s = files.scan(f.withColumn("length", F.octet_length("content").cast("long")))
     assert "Exchange" not in plan(s)
     assert sorted(map(str, rows(s.na.fill(""), "path", "text", "status"))) == sorted(map(str, [("a.txt", "words", "parsed"), ("a.txt", "other words", "parsed"), ("b.pdf", "", "failed"), ("c.html", "x", "parsed")]))
+
+
+def test_queries_make_chunks_and_hits_once(spark):
+    at = "/root/testdata/sf0.001"
+    q = QUERIES["ingest_summary"](spark, at)
+    assert plan(q).count("Scan parquet") == 2 and {r.phase: r.rows >= r.docs > 0 for r in q.collect()} == {"chunks": True, "vectors": True, "postings": True}
+    assert "MapInArrow" not in plan(QUERIES["context_neardup_pairs"](spark, at))
