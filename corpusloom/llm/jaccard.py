@@ -28,10 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, docs_of, few_or_shuffled, lean, materialise, table
+from .common import checkpointed, docs_of, few_or_shuffled, give_back, lean, materialise, table
 from .tokens import slices
 
 WORDS = 5
+#: Words whose hashes a task remembers at most, about 150 bytes each.
+WORDS_KEPT = 100_000
 PERCENT = 75
 #: Bits of the set of repeated shingles; number of frequent shingles whose counts are kept; what counts as frequent.
 FILTER_BITS = 1 << 27
@@ -66,7 +68,7 @@ def shingles(text: str | None, words: Words, k: int = WORDS) -> np.ndarray:
     own = text.encode().lower().split() if text else []
     if not own:
         return np.zeros(0, np.uint64)
-    if len(words) > 250_000:
+    if len(words) > WORDS_KEPT:
         words.clear()
     h = np.fromiter(map(words.__getitem__, own), np.uint64, len(own))
     if len(h) < k:
@@ -115,6 +117,7 @@ def count_shingles(docs: DataFrame, bucket_bits: int, filter_bits: int, frequent
             if size > 1_500_000:
                 yield flush()
                 size = 0
+                give_back()
         if held:
             yield flush()
 
@@ -205,6 +208,8 @@ def prefixes(docs: DataFrame, bucket_bits: int, filter_bits: int, learned) -> Da
                     c.append(x)
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.record_batch([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=["doc_id", "n", "fp", "rid", "match", "prefix", "tokens"])
+            del b, out
+            give_back()
 
     written = materialise(docs.mapInArrow(lean(run), schema), "jaccard-sets", "uncompressed")
     shared.destroy()

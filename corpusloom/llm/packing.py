@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, running_total, small_table, table
+from .common import give_back, lean, materialise, running_total, small_table, table
 from .tokens import binary_column, default_path, encoder, slices
 
 SEQUENCE_TOKENS = 1024
@@ -37,7 +37,7 @@ WINDOW_TOKENS = 64 * SEQUENCE_TOKENS
 LEAST_QUANTUM = 1024
 
 #: Bytes of text that a worker tokenises at once (or one longer text); it takes about 20 times as many.
-TOKENISED_AT_ONCE = 4_000_000
+TOKENISED_AT_ONCE = 2_000_000
 
 #: Rows (one for each partition and queue, 16 bytes) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_BASES = 500_000
@@ -106,6 +106,8 @@ def tokenise(docs: DataFrame, path: str, end_id: int, lower_words: bool = False)
             cells = binary_column(ids.view(np.uint8), np.concatenate([[0], np.cumsum(sizes)]) * enc.dtype.itemsize)
             yield pa.record_batch([b.column("doc_id"), b.column("queue"), pa.array([part] * len(sizes), pa.int32()), pa.array(seen + np.arange(len(sizes))), pa.array(starts, pa.int64()), pa.array(sizes), cells], names=["doc_id", "queue", "part", "seq", "local_start", "n_tokens", "ids"])
             seen += len(sizes)
+            del b, ids, cells
+            give_back()
 
     return docs.select("doc_id", "queue", "text").mapInArrow(lean(run), TOKENS)
 

@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: Chunks that a worker remembers at most (about 40 bytes each), and the longest of them in bytes; longer ones are asked for anew.
-CACHE_CHUNKS = 1_000_000
+#: Chunks that a worker remembers at most, and the longest of them in bytes; longer ones are asked for anew. Each takes about 40 bytes,
+#: and as much again several times over while new ones are looked up and put beside them.
+CACHE_CHUNKS = 200_000
 CACHE_BYTES = 64
 
 _ODD, _WHITE, _LETTER, _DIGIT, _SIGN = range(5)
