@@ -2,10 +2,10 @@
 
 Sets of distinct 5-word shingles that share at least 75 % are linked; components of links are returned. The join is exact.
 
-1. All shingles are counted, as packed arrays dealt by hash range. What comes back is of fixed size: a bit set of shingles
-   that occur twice or more, and the counts of the most frequent ones. Both only set the order of
-   tokens (single ones first, then repeated ones by hash, then frequent ones by count), so any
-   error in them costs time, never links.
+1. All shingles are counted exactly, dealt by hash range. A task's shingles go out as sorted packs, each with the numbers of the
+   documents it occurs in; what comes back to a pack are the shingles that occur twice or more, with their counts. So a document's
+   shingles are put together without its text being read again, single ones only as a number, and nothing of this is
+   held whole in one place. Tokens are ordered by count (single ones first), then hash.
 2. With threshold t and any order, two linked sets of sizes n and m share their first l common
    tokens within prefixes of n - ceil(t n) + l and m - ceil(t m) + l tokens. Each set lengthens its prefix (larger l) while
    the estimated cost of its candidates falls: more tokens are posted, but a candidate must share l of them before it is verified.
@@ -15,7 +15,7 @@ Sets of distinct 5-word shingles that share at least 75 % are linked; components
    in blocks of records, as one matrix product inside a task that gives only the links that join components, so a
    group of thousands of near copies makes no rows for its pairs. Every pair of a bucket ends up verified or in one component.
 
-Equal sets are one record from the start. Words: [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased. Fewer than five words: the
+Of equal texts one takes part, and equal sets are one record. Words: [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased. Fewer than five words: the
 whole sequence is the one shingle. No words, empty or null text: empty set, linked with nothing.
 Null doc_id: takes part in links, doesn't name a component unless all its members' ids are null. Repeated rows are equal sets. Empty table: no rows. Other columns are not read.
 """
@@ -35,10 +35,10 @@ WORDS = 5
 #: Words whose hashes a task remembers at most, about 150 bytes each.
 WORDS_KEPT = 100_000
 PERCENT = 75
-#: Bits of the set of repeated shingles; number of frequent shingles whose counts are kept; what counts as frequent.
-FILTER_BITS = 1 << 27
-FREQUENT = 1 << 18
-FREQUENT_FROM = 16
+#: Shingles in a pack and in a range of hashes, about; documents in a pack at most.
+PACK = 1_500_000
+RANGE = 1_000_000
+PACK_DOCS = 1 << 16
 MAX_MATCH = 8
 #: Buckets up to this size make pairs; records in a block, about.
 SMALL_BUCKET = 4
@@ -80,78 +80,112 @@ def shingles(text: str | None, words: Words, k: int = WORDS) -> np.ndarray:
     return np.unique(s)
 
 
-def class_key(u: np.ndarray, bucket_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (u >> np.uint64(64 - bucket_bits)).astype(np.int64), (u & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def planes(x: np.ndarray) -> list[bytes]:
+    """Numbers as a compressed string for each place of their bytes: places that hold few values shrink."""
+    import pyarrow as pa
 
+    return [pa.compress(p, codec="zstd", asbytes=True) for p in np.ascontiguousarray(x.view("u1").reshape(len(x), x.itemsize).T)]
 
-def bit_places(low: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return low % bits, (low * 2654435761 >> 15) % bits
 
+def numbers(held: list[bytes], kind: str, n: int) -> np.ndarray:
+    import pyarrow as pa
 
-def count_shingles(docs: DataFrame, bucket_bits: int, filter_bits: int, frequent: int) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The bit set of repeated shingles, and keys and counts of frequent ones."""
-    per = filter_bits >> bucket_bits
+    out = np.empty((n, len(held)), "u1")
+    for i, p in enumerate(held):
+        out[:, i] = np.frombuffer(pa.decompress(p, n, codec="zstd"), "u1")
+    return out.reshape(-1).view(kind)
 
-    def packs(batches):
-        import pyarrow as pa
 
-        words, held, size, seen = Words(), [], 0, set()
+#: Part of a pack in one range of hashes: gaps between its m ascending shingles, in how many (n) and in which (doc) of the pack's documents
+#: each occurs, in how many of all (df). A pack's own row has its documents: digests of text and of set, size of set.
+_PART = "pack long, m int, gap array<binary>, n array<binary>, doc array<binary>, df array<binary>, texts binary, fps binary, sizes binary"
+_KEYS = 16  # bytes of a digest
 
-        def flush():
-            u, n = np.unique(np.concatenate(held), return_counts=True)
-            bucket, low = class_key(u, bucket_bits)
-            cuts = np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1))
-            rows = [(b, low[i:j].astype("<u4").tobytes(), np.minimum(n[i:j], 255).astype("u1")) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
-            held.clear()
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([b"" if (r[2] == 1).all() else r[2].tobytes() for r in rows], pa.binary())], names=["bucket", "low", "n"])
 
-        for b in slices(batches):
-            for t in b.column("text").to_pylist():
-                u = shingles(t, words)
-                if len(u):
-                    fp = hashlib.blake2b(u, digest_size=8).digest()
-                    if fp not in seen:
-                        seen.add(fp)
-                        held.append(u)
-                        size += len(u)
-            if size > 1_500_000:
-                yield flush()
-                size = 0
-                give_back()
-        if held:
-            yield flush()
-
-    def count(t):
-        import pyarrow as pa
+def _part(pack: int, u: np.ndarray, n: np.ndarray, doc: np.ndarray, df: np.ndarray | None = None) -> dict:
+    return {"pack": pack, "m": len(u), "gap": planes(np.diff(u, prepend=np.uint64(0))), "n": planes(n.astype("<u2")), "doc": planes(doc), "df": planes(df.astype("<u4")) if df is not None else None}
+
+
+def _parts(rows: list[dict], **more):
+    import pyarrow as pa
+
+    lists = pa.list_(pa.binary())
+    kinds = {"pack": pa.int64(), "m": pa.int32(), "gap": lists, "n": lists, "doc": lists, "df": lists, "texts": pa.binary(), "fps": pa.binary(), "sizes": pa.binary()} | more
+    return pa.Table.from_pylist(rows, pa.schema(kinds.items()))
+
+
+def _read(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = numbers(r["n"], "<u2", r["m"]).astype(np.int64) + 1
+    return np.cumsum(numbers(r["gap"], "<u8", r["m"]), dtype=np.uint64), n, numbers(r["doc"], "<u2", int(n.sum()))
+
+
+def packs(texts: DataFrame, bits: int) -> DataFrame:
+    """Packs (see `_PART`) by range of hashes: `bits` leading ones. texts: key (digest of the text), text."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        words, seen, pack = Words(), set(), TaskContext.get().partitionId() << 20
+        keys, fps, sizes, held, of = [], [], [], [], []
 
-        lows, ns = [], []
-        for low, n in zip(t.column("low").to_pylist(), t.column("n").to_pylist(), strict=True):
-            lows.append(np.frombuffer(low, "<u4"))
-            ns.append(np.frombuffer(n, "u1").astype(np.int64) if n else np.ones(len(low) // 4, np.int64))
-        low, n = np.concatenate(lows), np.concatenate(ns)
-        order = np.argsort(low, kind="stable")
-        low, n = low[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        total = np.add.reduceat(n, first)
-        key = low[first].astype(np.int64)
-        bits = np.zeros(per, bool)
-        for p in bit_places(key[total > 1], per):
-            bits[p] = True
-        top = np.flatnonzero(total >= FREQUENT_FROM)
-        top = top[np.argsort(-total[top], kind="stable")[: max(16, frequent >> bucket_bits)]]
-        return pa.table([t.column("bucket")[:1], pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([key[top].astype("<u4").tobytes()], pa.binary()), pa.array([total[top].astype("<i8").tobytes()], pa.binary())], names=["bucket", "bits", "key", "df"])
-
-    rows = docs.select("text").mapInArrow(lean(packs), "bucket int, low binary, n binary").groupBy("bucket").applyInArrow(lambda t: count(t), "bucket int, bits binary, key binary, df binary").collect()
-    bits = np.zeros(filter_bits // 8, np.uint8)
-    keys, dfs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for r in rows:
-        at = r["bucket"] * per // 8
-        bits[at : at + per // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-        keys.append((r["bucket"] << 32) + np.frombuffer(bytes(r["key"]), "<u4").astype(np.int64))
-        dfs.append(np.frombuffer(bytes(r["df"]), "<i8"))
-    key, df = np.concatenate(keys), np.concatenate(dfs)
-    order = np.argsort(key)
-    return bits.tobytes(), key[order], df[order]
+        def flush():
+            yield {"range": pack & ((1 << bits) - 1), "pack": pack, "m": 0, "texts": b"".join(keys), "fps": b"".join(fps), "sizes": np.array(sizes, "<i8").tobytes()}
+            u, doc = np.concatenate([np.zeros(0, np.uint64), *held]), np.repeat(np.array(of, "<u2"), [len(x) for x in held])
+            order = np.argsort(u, kind="stable")
+            u, doc = u[order], doc[order]
+            first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))) if len(u) else np.zeros(0, np.int64)
+            ends, u = np.append(first, len(doc)), u[first]
+            cuts = np.searchsorted(u >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if j > i:
+                    yield {"range": b} | _part(pack, u[i:j], np.diff(ends[i : j + 1]) - 1, doc[ends[i] : ends[j]])
+
+        def sent():
+            import pyarrow as pa
+
+            rows = list(flush())
+            for x in (keys, fps, sizes, held, of):
+                x.clear()
+            return _parts(rows, range=pa.int32()).combine_chunks().to_batches()
+
+        size = 0
+        for b in slices(batches):
+            for key, t in zip(b.column("key").to_pylist(), b.column("text"), strict=True):
+                u = shingles(t.as_py(), words)
+                fp = hashlib.blake2b(u, digest_size=_KEYS).digest()
+                if len(u) and fp not in seen:
+                    seen.add(fp)
+                    held.append(u)
+                    of.append(len(keys))
+                    size += len(u)
+                keys.append(key), fps.append(fp), sizes.append(len(u))
+                if size >= PACK or len(keys) == PACK_DOCS:
+                    yield from sent()
+                    size, pack = 0, pack + 1
+                    give_back()
+        if keys:
+            yield from sent()
+
+    return texts.mapInArrow(lean(run), f"{_PART}, range int")
+
+
+def repeated(t):
+    """Of the parts in one range of hashes: shingles that occur in two documents or more, with their counts. Packs' own rows as they are."""
+    rows = t.to_pylist()
+    own, rows = [r for r in rows if r["texts"] is not None], [r for r in rows if r["texts"] is None]
+    read = [_read(r) for r in rows]
+    out = [{k: r[k] for k in ("pack", "m", "texts", "fps", "sizes")} for r in own]
+    if rows:
+        _, at = np.unique(np.concatenate([u for u, _, _ in read]), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([n for _, n, _ in read])).astype(np.int64)
+        lo = 0
+        for r, (u, n, doc) in zip(rows, read, strict=True):
+            df = total[at[lo : lo + len(u)]]
+            lo += len(u)
+            more = df > 1
+            if more.any():
+                out.append(_part(r["pack"], u[more], n[more] - 1, doc[np.repeat(more, n)], df[more]))
+    return _parts(out)
 
 
 def match_of(df: np.ndarray, n: int, need: int) -> tuple[int, int]:
@@ -164,56 +198,44 @@ def match_of(df: np.ndarray, n: int, need: int) -> tuple[int, int]:
     return best + 1, int(reach[best])
 
 
-def prefixes(docs: DataFrame, bucket_bits: int, filter_bits: int, learned) -> DataFrame:
-    """Rows (doc_id, n, fp, rid, match, prefix, tokens), written. prefix and tokens are null where a set can't have a partner
-    but copies of itself, and for further copies in the same task."""
-    per = filter_bits >> bucket_bits
-    shared = docs.sparkSession.sparkContext.broadcast(learned)
-    schema = "doc_id long, n long, fp binary, rid long, match int, prefix array<long>, tokens array<long>"
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        raw, keys, counts = shared.value
-        bits = np.frombuffer(raw, np.uint8)
-        words, seen, rid = Words(), set(), TaskContext.get().partitionId() << 36
-        for b in slices(batches, 1_000_000):
-            out: list[list] = [[], [], [], [], [], []]
-            for t in b.column("text").to_pylist():
-                u = shingles(t, words)
-                n = len(u)
-                fp = hashlib.blake2b(u, digest_size=16).digest() if n else None
-                row = [n, fp, rid, None, None, None]
-                rid += 1
-                if n and fp not in seen:
-                    bucket, low = class_key(u, bucket_bits)
-                    again = np.ones(n, bool)
-                    for p in bit_places(low, per):
-                        at = bucket * per + p
-                        again &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-                    need = -(-PERCENT * n // 100)
-                    if n - int(again.sum()) < n - need + 1:
-                        seen.add(fp)
-                        df = np.where(again, 2, 1)
-                        if len(keys):
-                            k = (bucket << 32) + low
-                            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                            df = np.where(again & (keys[at] == k), counts[at], df)
-                        order = np.lexsort((u, df))
-                        match, reach = match_of(df[order], n, need)
-                        own = order[:reach]
-                        row[3:] = [match, u[own[again[own]]].astype(np.int64), u.astype(np.int64)]
-                for c, x in zip(out, row, strict=True):
-                    c.append(x)
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.record_batch([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=["doc_id", "n", "fp", "rid", "match", "prefix", "tokens"])
-            del b, out
-            give_back()
-
-    written = materialise(docs.mapInArrow(lean(run), schema), "jaccard-sets", "uncompressed")
-    shared.destroy()
-    return written
+def records(t):
+    """Of a pack's parts: rows (key, n, fp, rid, match, prefix, tokens) of its documents. tokens: shingles that other documents have too.
+    match, prefix and tokens are null where a set can't have a partner but copies of itself, and for further copies in the same pack's task."""
+    import pyarrow as pa
+
+    rows = t.to_pylist()
+    own = next(r for r in rows if r["texts"] is not None)
+    rows = [r for r in rows if r["texts"] is None]
+    size, pack = np.frombuffer(own["sizes"], "<i8"), own["pack"]
+    read = [_read(r) for r in rows]
+    none = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "<u2"))]
+    u, n, doc = (np.concatenate(x) for x in zip(*(read or none), strict=True))
+    df = np.concatenate([numbers(r["df"], "<u4", r["m"]) for r in rows] or [np.zeros(0, "<u4")]).astype(np.int64)
+    u, df = np.repeat(u, n), np.repeat(df, n)
+    order = np.lexsort((u, df, doc))
+    u, df = u[order].astype(np.int64), df[order]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(size)))))
+    match, prefix, tokens = [], [], []
+    for i, n in enumerate(size.tolist()):
+        lo, hi = int(ends[i]), int(ends[i + 1])
+        need, single = -(-PERCENT * n // 100), n - (hi - lo)
+        if n and hi - lo >= need:
+            l, reach = match_of(np.concatenate((np.ones(single, np.int64), df[lo:hi])), n, need)
+            match.append(l), prefix.append(u[lo : lo + reach - single]), tokens.append(u[lo:hi])
+        else:
+            match.append(None), prefix.append(None), tokens.append(None)
+    cut = lambda x: [x[i : i + _KEYS] for i in range(0, len(x), _KEYS)]
+    fps = [fp if n else None for fp, n in zip(cut(own["fps"]), size.tolist(), strict=True)]
+    lists = pa.list_(pa.int64())
+    return pa.table({"key": pa.array(cut(own["texts"]), pa.binary()), "n": pa.array(size), "fp": pa.array(fps, pa.binary()), "rid": pa.array((pack << 16) + np.arange(len(size))), "match": pa.array(match, pa.int32()), "prefix": pa.array(prefix, lists), "tokens": pa.array(tokens, lists)})
+
+
+def shingle_sets(texts: DataFrame, n_chars: int) -> DataFrame:
+    """Rows of `records` for texts (key, text), written. n_chars: their length, about."""
+    bits = min(16, max(6, int(n_chars / 7 / RANGE).bit_length()))
+    found = packs(texts, bits).groupBy("range").applyInArrow(lambda t: repeated(t), _PART)
+    found = found.groupBy("pack").applyInArrow(lambda t: records(t), "key binary, n long, fp binary, rid long, match int, prefix array<long>, tokens array<long>")
+    return materialise(found, "jaccard-sets", "uncompressed")
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -277,7 +299,7 @@ def block_links(open_large: DataFrame, sets: DataFrame) -> DataFrame:
     ends = dealt.groupBy("cluster", "kind", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     other = ends.select("cluster", F.col("kind").alias("kind2"), F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     pairs = ends.join(other, "cluster").filter((F.col("block") <= F.col("block2")) & ((F.col("kind") == -1) | (F.col("kind") != F.col("kind2"))) & (F.col("hi") * 100 >= PERCENT * F.col("lo2")) & (F.col("hi2") * 100 >= PERCENT * F.col("lo"))).select("block", "block2")
-    held = sets.join(dealt.select("rid", "root", "block"), "rid").groupBy("block").agg(F.collect_list(F.struct("rid", "root", "tokens")).alias("held"))
+    held = sets.join(dealt.select("rid", "root", "block"), "rid").groupBy("block").agg(F.collect_list(F.struct("rid", "root", "n", "tokens")).alias("held"))
     both = pairs.join(held.select(F.col("block").alias("block2"), F.col("held").alias("held2")), "block2").join(held, "block").select("held", "held2")
 
     def run(batches):
@@ -285,14 +307,14 @@ def block_links(open_large: DataFrame, sets: DataFrame) -> DataFrame:
 
         def read(cell):
             t = cell.values.field("tokens")
-            return cell.values.field("rid").to_pylist(), cell.values.field("root").to_pylist(), t.flatten().to_numpy(), np.diff(t.offsets.to_numpy())
+            return cell.values.field("rid").to_pylist(), cell.values.field("root").to_pylist(), cell.values.field("n").to_numpy(), t.flatten().to_numpy(), np.diff(t.offsets.to_numpy())
 
         for b in batches:
             for i in range(b.num_rows):
-                (ra, ca, ta, na), (rb, cb, tb, nb) = read(b.column("held")[i]), read(b.column("held2")[i])
+                (ra, ca, na, ta, la), (rb, cb, nb, tb, lb) = read(b.column("held")[i]), read(b.column("held2")[i])
                 vocabulary, at = np.unique(np.concatenate([ta, tb]), return_inverse=True)
                 shared = np.zeros((len(na), len(nb)), np.float32)
-                rows_a, rows_b = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+                rows_a, rows_b = np.repeat(np.arange(len(la)), la), np.repeat(np.arange(len(lb)), lb)
                 for lo in range(0, len(vocabulary), 8192):  # slices of the vocabulary keep the matrices small
                     x, y = np.zeros((len(na), 8192), np.float32), np.zeros((len(nb), 8192), np.float32)
                     for m, rows, cols in ((x, rows_a, at[: len(ta)]), (y, rows_b, at[len(ta) :])):
@@ -338,22 +360,32 @@ def link_components(sets: DataFrame) -> DataFrame:
     return stars(roots.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, filter_bits: int = FILTER_BITS, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document (doc_id, text)."""
-    d = docs_of(docs)
-    bucket_bits = min(16, max(6, int(16 * d.rdd.getNumPartitions()).bit_length()))
-    learned = count_shingles(d, bucket_bits, filter_bits, frequent)
-    rows = prefixes(d, bucket_bits, filter_bits, learned)
-    groups = materialise(rows.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.when(F.col("prefix").isNotNull(), F.col("rid"))).alias("owner")), "jaccard-records")
-    owners = few_or_shuffled(materialise(groups.filter("owner IS NOT NULL").select(F.col("owner").alias("rid")), "jaccard-owners"))
-    sets = rows.filter("prefix IS NOT NULL").join(owners, "rid", "left_semi")
+def near_duplicates(docs: DataFrame, filter_bits: int = 0, frequent: int = 0) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document (doc_id, text).
+
+    filter_bits and frequent sized a filter that is no longer made; they are taken and not used.
+    """
+    d = docs_of(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    listed = materialise(d.select("doc_id", "key", F.length("text").alias("n_chars")), "jaccard-texts")
+    texts = materialise(listed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_chars").alias("n_chars")), "jaccard-copies")
+    one = few_or_shuffled(materialise(texts.filter("copies > 1 AND first IS NOT NULL").select("key", "first"), "jaccard-copied"))
+    rows = d.join(one, "key", "left").filter("first IS NULL OR doc_id = first").select("key", "text")
+    rows = shingle_sets(rows, texts.agg(F.sum("n_chars")).first()[0] or 0)
+    ready = rows.filter("prefix IS NOT NULL")
+    again = ready.groupBy("fp").agg(F.min("rid").alias("owner"), F.count("*").alias("copies")).filter("copies > 1")
+    again = few_or_shuffled(materialise(ready.select("fp", "rid").join(again, "fp").filter("rid <> owner").select("rid"), "jaccard-again"))
+    sets = ready.join(again, "rid", "left_anti")
     roots = link_components(sets)
+    known = rows.select("key", "n", "fp").distinct()
+    groups = known.filter("fp IS NOT NULL").join(texts.select("key", "first"), "key").groupBy("fp").agg(F.min("first").alias("first"))
+    groups = materialise(groups.join(sets.select("fp", F.col("rid").alias("owner")), "fp", "left"), "jaccard-records")
     linked = groups.filter("owner IS NOT NULL").join(roots, F.col("owner") == F.col("u")).select("fp", "first", F.col("v").alias("root"))
     centres = groups.join(roots.select(F.col("v").alias("owner")).distinct(), "owner").select("fp", "first", F.col("owner").alias("root"))
     linked = linked.unionByName(centres)
     smallest = linked.groupBy("root").agg(F.min("first").alias("component"))
     named = groups.join(linked.join(smallest, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
-    return rows.select("doc_id", "n", "fp").join(named, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
+    named = known.join(named, "fp", "left").select("key", "n", "component")
+    return listed.join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
