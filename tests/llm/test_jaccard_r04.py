@@ -46,3 +46,13 @@ def test_packs_and_ranges_of_any_size(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "RANGE", 10)
     monkeypatch.setattr(jaccard, "PACK_DOCS", 2)
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == want
+
+
+def test_pipeline_near_writes_equal_texts_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    frames, write = {}, jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, tag, *more: frames.setdefault(tag, write(df, tag, *more)))
+    docs = spark.range(0, 80, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e f g h i "), F.col("id") % 10).alias("text"), F.lit("en").alias("lang"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == list(range(10))
+    assert frames["jaccard-sets"].count() == 10
